@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .katz import katz_scores
+from .kneser_ney import classify
+from .minhash import fingerprints_with_edits
+from .mixing import mix_plan
+from .packing import pack
+from .quality import quality
 from .simhash import simhash_components
+from .sstable import read_shards, write_shards
+from .substrings import remove_repeats
+from .tokens import token_counts
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +33,36 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op3_simhash_near_duplicates": op3_simhash_near_duplicates}
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept")
+
+
+def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, shards = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_shards(spark, folder, shards)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_simhash_near_duplicates, op4_repeated_spans, op5_quality_rules, op6_minhash_fingerprints, op7_token_shards, op8_token_counts, op9_katz_scores, op10_kneser_ney_quality)}
 ORACLE_SQL: dict[str, str] = {}
