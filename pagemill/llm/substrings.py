@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans, in DataFrame operations only.
 
-A text is cut into sentences (at . ! ? and line ends). Every run of several consecutive sentences is hashed; the hashes
-are counted over all texts, and every occurrence of a run after its first (by document id, then place) is removed. A
-passage that is set into other text keeps its inner sentences whole, so two sentences make a run: a passage of over fifty
-words has two whole sentences inside, whatever is glued to its ends.
+A text is cut into sentences, at end marks and line ends and also at clause marks: a passage of over fifty words that is
+set into other text may be one long sentence, glued to its surroundings at both ends, and only its inner clauses stay
+whole. Every run of several consecutive sentences is hashed; the hashes are counted over all texts, and every occurrence
+of a run after its first (by document id, then place) is removed.
 
 Only hashes, ids and places are shuffled to find repeats (a hash of any frequency is a partial aggregate, and the join
 that follows repeats it on one side only); the texts are shuffled once, to meet their own places.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: A sentence with the white space after it. Every character of a text is in exactly one.
-SENTENCE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
+SENTENCE = r"[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+"
 
 
 def sentences(text: Column) -> Column:
@@ -25,8 +25,8 @@ def sentences(text: Column) -> Column:
 
 
 def _norm_hash(sentence: Column) -> Column:
-    """Hash of a sentence in lower case without white space and end marks; null if nothing is left."""
-    bare = F.regexp_replace(F.lower(sentence), r"[\s.!?]+", "")
+    """Hash of a sentence in lower case without white space and marks; null if nothing is left."""
+    bare = F.regexp_replace(F.lower(sentence), r"[\s.!?,;:]+", "")
     return F.when(F.length(bare) > 0, F.xxhash64(bare))
 
 
@@ -36,15 +36,22 @@ def repeated_places(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
     numbered = pieces.select("doc", "key", F.transform("pieces", lambda s, i: F.struct(i.alias("place"), _norm_hash(s).alias("h"), (F.size(F.split(F.trim(s), r"\s+"))).alias("words"))).alias("all"))
     real = numbered.select("doc", "key", F.filter("all", lambda s: s["h"].isNotNull()).alias("s"))
 
+    start = F.struct(F.lit(42).cast("long").alias("h"), F.lit(0).alias("words"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def grow(a: Column, s: Column) -> Column:
+        more = F.struct(F.xxhash64(a["h"], s["h"]).alias("h"), (a["words"] + s["words"]).alias("words"), (a["n"] + 1).alias("n"), s["place"].alias("end"))
+        return F.when((a["n"] < run) | (a["words"] < min_words), more).otherwise(a)
+
     def span(i: Column) -> Column:
-        part = F.slice(F.col("s"), i + 1, F.lit(run))
-        words = F.aggregate(part, F.lit(0), lambda a, s: a + s["words"])
-        h = F.aggregate(part, F.lit(42).cast("long"), lambda a, s: F.xxhash64(a, s["h"]))
-        return F.struct(h.alias("h"), F.get("s", i)["place"].alias("start"), F.element_at(part, -1)["place"].alias("end"), words.alias("words"))
+        # a sentence has a word at least, so min_words of them are enough
+        grown = F.aggregate(F.slice(F.col("s"), i + 1, F.lit(max(run, min_words))), start, grow)
+        return F.struct(grown.alias("r"), F.get("s", i)["place"].alias("start"))
 
     last = F.greatest(F.size("s") - run, F.lit(0))
-    runs = real.where(F.size("s") > 0).select("doc", "key", F.filter(F.transform(F.sequence(F.lit(0), last), span), lambda r: r["words"] >= min_words).alias("runs"))
-    rows = written(runs.select("doc", "key", F.explode("runs").alias("r")).select("r.h", "doc", "key", "r.start", "r.end"), "spans")
+    runs = real.select("doc", "key", F.when(F.size("s") > 0, F.filter(F.transform(F.sequence(F.lit(0), last), span), lambda x: x["r"]["words"] >= min_words)).alias("runs"))
+    # explode_outer: for explode, Spark would add a filter on the array's size and compute the sentences anew inside it
+    spans = runs.select("doc", "key", F.explode_outer("runs").alias("x")).where("x is not null")
+    rows = written(spans.select("x.r.h", "doc", "key", "x.start", "x.r.end"), "spans")
     order = F.coalesce("doc", F.lit((1 << 63) - 1))
     common = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1")
     found = written(rows.join(common, "h").select("h", "doc", "key", "start", "end", (order == F.col("low")).alias("leads")), "repeats")
@@ -56,9 +63,9 @@ def repeated_places(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 8) -> DataFrame:
     """All rows and columns of docs with repeated spans cut out of the text, and n_sentences, n_removed, removed_chars.
 
-    A span is run consecutive sentences of min_words words or more together (a text of fewer sentences: all of it). Only
+    A span is run consecutive sentences, or as many more as make min_words words (near a text's end, at least min_words). Only
     the first occurrence of a span stays, in the order of id (null last) and place. Sentences compare without case, white
-    space and end marks. A text that loses nothing stays as it is; null stays null; a text may become empty. Rows equal
+    space and marks. A text that loses nothing stays as it is; null stays null; a text may become empty. Rows equal
     in id and text are one document (all keep what it keeps). An empty table gives no rows.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
