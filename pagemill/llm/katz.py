@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .common import ascii_lower_words, written
 
 #: Rows of an input partition that make a chunk.
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 2048
 #: Good-Turing discounts hold for counts up to this; larger counts lose as much as this one does, so that every history
 #: has something left for the words not seen after it.
 GT_MAX = 5
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(s) & ~1 & (1 << 64) - 1) for s in (b"\n end", b"\n start"))  # no word has white space
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
