@@ -53,9 +53,10 @@ def repeated_places(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
     spans = runs.select("doc", "key", F.explode_outer("runs").alias("x")).where("x is not null")
     rows = written(spans.select("x.r.h", "doc", "key", "x.start", "x.r.end"), "spans")
     order = F.coalesce("doc", F.lit((1 << 63) - 1))
-    common = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1")
+    # written, so that the join that follows is between two tables, of which Spark can split a frequent hash
+    common = written(rows.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1"), "common")
     found = written(rows.join(common, "h").select("h", "doc", "key", "start", "end", (order == F.col("low")).alias("leads")), "repeats")
-    first = found.where("leads").groupBy("h").agg(F.min(F.struct("key", "start")).alias("first"))
+    first = written(found.where("leads").groupBy("h").agg(F.min(F.struct("key", "start")).alias("first")), "first")
     again = found.join(first, "h").where(~F.col("leads") | (F.struct("key", "start") != F.col("first")))
     return again.groupBy("doc", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "end"))))).alias("places"))
 
