@@ -1,6 +1,459 @@
-"""Registered queries of the engine and their DuckDB equivalents."""
+"""Registered queries of the engine, each over whole tables, and DuckDB SQL with the same columns and rows.
+
+Search queries take every vector whose id is divisible by 50 as a query, against all vectors. Labels stand for books and
+pages, documents for units.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluation, index, ingest, quiz, refine, retrieval, units, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# -- retrieval --------------------------------------------------------------------------------------------------------
+
+Q_SQL = """
+WITH near AS (
+  SELECT q.vec_id AS qid, q.label AS q_label, v.vec_id AS id, v.label AS label,
+         1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS distance
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS nearness FROM near) WHERE nearness <= {n})
+"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector")
+    return retrieval.top_n(q, v, n)
+
+
+def _hits(spark: SparkSession, sf_dir: str, n: int = retrieval.FETCH_LIMIT) -> DataFrame:
+    """Scored hits on documents, with the labels of query and hit."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(labels, "id")
+    hits = retrieval.scored(retrieval.current(_nearest(spark, sf_dir, n), docs))
+    return hits.join(labels.select(F.col("id").alias("qid"), F.col("label").alias("q_label")), "qid")
+
+
+HITS_SQL = Q_SQL.format(n=300) + """,
+hits AS (
+  SELECT t.*, round(1 - t.distance - 0.1 * greatest(0, 1 - length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) / 80), 4) AS score
+  FROM top t JOIN documents d ON d.doc_id = t.id),
+gated AS (
+  SELECT * FROM (SELECT *, max((q_label = label)::INT) OVER (PARTITION BY qid) AS has_match FROM hits) WHERE q_label = label OR has_match = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, distance, id) AS rank FROM gated),
+cut AS (
+  SELECT * FROM (SELECT *, least(0.9, min_by(distance, rank) OVER (PARTITION BY qid) + 0.85) AS c FROM ranked) WHERE distance <= c)
+"""
+
+
+@query(HITS_SQL + "SELECT qid, no, id, round(distance, 6) AS distance, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS no FROM cut) WHERE no <= 5")
+def retrieve_sources(spark, sf_dir):
+    hits = retrieval.ranked(retrieval.page_gate(_hits(spark, sf_dir), F.col("label") == F.col("q_label")))
+    cut = retrieval.margin_cut(hits, max_distance=0.9, margin=0.85)
+    return retrieval.numbered(cut, 5).select("qid", F.col("no").cast("long").alias("no"), "id", F.round("distance", 6).alias("distance"), "score")
+
+
+@query(Q_SQL.format(n=10) + "SELECT qid, id, nearness, round(distance, 6) AS distance FROM top")
+def multi_query_topk(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+    return _nearest(spark, sf_dir, 10).select("qid", "id", rank.cast("long").alias("nearness"), F.round("distance", 6).alias("distance"))
+
+
+@query(HITS_SQL + "SELECT qid, count(*) AS n_kept, round(max(distance), 6) AS farthest FROM cut GROUP BY qid")
+def distance_margin_filter(spark, sf_dir):
+    hits = retrieval.ranked(retrieval.page_gate(_hits(spark, sf_dir), F.col("label") == F.col("q_label")))
+    return retrieval.margin_cut(hits, 0.9, 0.85).groupBy("qid").agg(F.count("*").alias("n_kept"), F.round(F.max("distance"), 6).alias("farthest"))
+
+
+@query(Q_SQL.format(n=3) + "SELECT qid, id FROM (SELECT *, max((q_label = label)::INT) OVER (PARTITION BY qid) AS has_match FROM (SELECT * FROM top WHERE qid <> id)) WHERE q_label = label OR has_match = 0")
+def conditional_page_gate(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    hits = _nearest(spark, sf_dir, 3).where("qid <> id").join(labels, "id").join(labels.select(F.col("id").alias("qid"), F.col("label").alias("q_label")), "qid")
+    return retrieval.page_gate(hits, F.col("label") == F.col("q_label")).select("qid", "id")
+
+
+@query(Q_SQL.format(n=5) + """, own AS (
+  SELECT qid, q_label, count(*) AS n, bool_and(label = q_label) AS passed FROM near WHERE label = q_label GROUP BY ALL)
+SELECT o.qid AS id, o.q_label AS case_book, o.passed, count(*) AS n_free, count(*) FILTER (WHERE t.label <> o.q_label) AS n_other,
+       min_by(t.label <> o.q_label, t.nearness) AS first_other
+FROM own o JOIN top t USING (qid) GROUP BY ALL""")
+def book_filter_check(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("book_id"))
+    cases = v.where("id % 50 = 0").select("id", "book_id")
+    found = cases.join(v.select(F.col("id").alias("unit"), "book_id"), "book_id").select("id", "book_id")
+    free = _nearest(spark, sf_dir, 5).withColumn("nearness", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
+    free = free.join(v.select("id", "book_id"), "id").select(F.col("qid").alias("id"), "nearness", "book_id")
+    rows = evaluation.filter_check(cases, found, free)
+    return rows.select("id", F.col("case_book").cast("int").alias("case_book"), "passed", "n_free", "n_other", "first_other")
+
+
+@query()
+def page_context_of_units(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    texts = chunks.select("chunk_id", F.transform("blocks", lambda b: T.strip(F.regexp_replace(F.regexp_replace(F.coalesce(b["render"], F.lit("")), units.IMAGE_MARK, ""), units.FENCED_CODE, ""))).alias("texts"))
+    rows = units.build_units(chunks).select("unit_id", "chunk_id", "block_start", "block_end").join(texts, "chunk_id")
+    return rows.select("unit_id", retrieval.page_context(F.col("texts"), F.col("block_start"), F.col("block_end"), 600).alias("context"))
+
+
+# -- texts ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, round(0.1 * greatest(0, 1 - length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) / 80), 6) AS penalty FROM documents")
+def short_penalty_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.short_penalty(F.col("text")), 6).alias("penalty"))
+
+
+#: Reasons by the opening words of a sentence, for prose in the documents' languages.
+PROSE_PATTERNS = {"opening": "^(In|De|La|Der) ", "looking back": "^(Was|Est|Las|Die) ", "likeness": " (as|comme|como|wie) ", "praise": " (this|cette|esta|diese) "}
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 0)"
+_KIND = "CASE WHEN regexp_matches({s}, '^(In|De|La|Der) ') THEN 0 WHEN regexp_matches({s}, '^(Was|Est|Las|Die) ') THEN 1 WHEN regexp_matches({s}, ' (as|comme|como|wie) ') THEN 2 WHEN regexp_matches({s}, ' (this|cette|esta|diese) ') THEN 3 ELSE -1 END"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, {_SENTENCES} AS sents FROM documents),
+k AS (SELECT doc_id, sents, list_transform(sents, lambda x: {_KIND.format(s='x')}) AS kinds FROM s),
+f AS (SELECT *, coalesce(list_sum(list_transform(list_filter(sents, lambda x: ({_KIND.format(s='x')}) = -1), lambda x: length(x))), 0) AS facts,
+  CASE kinds[1] WHEN 0 THEN 'opening' WHEN 1 THEN 'looking back' END AS o,
+  len(list_filter(sents[2:], lambda x: ({_KIND.format(s='x')}) = -1 AND regexp_matches(x, ' is .*[.]$'))) > 0 AS defines FROM k),
+v AS (SELECT doc_id, arg_max(name, n * 1000000 - early) AS name FROM (
+  SELECT doc_id, unnest(['opening', 'looking back', 'likeness', 'praise']) AS name, unnest([len(list_filter(kinds, lambda x: x = 0)), len(list_filter(kinds, lambda x: x = 1)), len(list_filter(kinds, lambda x: x = 2)), len(list_filter(kinds, lambda x: x = 3))]) AS n,
+  unnest([list_position(kinds, 0), list_position(kinds, 1), list_position(kinds, 2), list_position(kinds, 3)]) AS early FROM k) WHERE n > 0 GROUP BY doc_id)
+SELECT f.doc_id, len(sents) AS n_sentences, CASE WHEN o IS NOT NULL AND NOT defines THEN o || '(첫 문장)' WHEN facts < 40 THEN coalesce(v.name, '내용 부족') END AS reason
+FROM f LEFT JOIN v USING (doc_id)""")
+def fit_gate(spark, sf_dir):
+    reason = T.unfit_reason(F.col("text"), F.lit(False), PROSE_PATTERNS, definition=" is .*[.]$")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentence_list(F.col("text"))).cast("long").alias("n_sentences"), reason.alias("reason"))
+
+
+_SQUASH = "regexp_replace(regexp_replace(translate({c}, '‘’“”', '''''\"\"'), '\\s+', '', 'g'), '[.!?]+$', '')"
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT doc_id, {_SQUASH.format(c='unnest(sents)')} AS k FROM (SELECT doc_id, {_SENTENCES} AS sents FROM documents)),
+b AS (SELECT item_id, text, {_SQUASH.format(c='unnest(sents)')} AS k FROM (SELECT item_id, text, {_SENTENCES} AS sents FROM benchmark))
+SELECT DISTINCT item_id, doc_id FROM b JOIN s USING (k) JOIN documents d USING (doc_id)
+WHERE length(k) >= 8 AND contains({_SQUASH.format(c='d.text')}, {_SQUASH.format(c='b.text')})""")
+def evidence_in_documents(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    keys = lambda df, i: df.select(i, F.explode_outer(T.sentence_list(F.col("text"))).alias("s")).select(i, T.squash(F.col("s")).alias("k")).where(F.length("k") >= 8).distinct()
+    pairs = keys(items, "item_id").join(keys(docs, "doc_id"), "k").select("item_id", "doc_id").distinct()
+    pairs = pairs.join(items.select("item_id", T.squash(F.col("text")).alias("item")), "item_id").join(docs.select("doc_id", T.squash(F.col("text")).alias("whole")), "doc_id")
+    return pairs.where(F.contains("whole", F.col("item"))).select("item_id", "doc_id")
+
+
+@query()
+def blank_out_mask(spark, sf_dir):
+    first = F.get(T.sentence_list(F.col("text")), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", first.alias("s")).where("s is not null")
+    answer = F.regexp_extract("s", "[A-Za-z]{4,}", 0)
+    return rows.select("doc_id", T.make_question(F.col("s"), answer).alias("q")).select("doc_id", "q.*")
+
+
+@query("SELECT doc_id, coalesce(nullif(list_aggregate(list_filter(list_transform(string_split(regexp_replace(text[:200], '[ \\t\\n]+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '^[?!.,~]+|[?!.,~]+$', '', 'g')), lambda w: length(w) > 0), 'string_agg', ' '), ''), text[:200]) AS keywords FROM documents")
+def question_keyword_lists(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.question_keywords(F.substring("text", 1, 200)).alias("keywords"))
+
+
+@query("SELECT doc_id, list_transform(list_filter(string_split_regex(text[:60], '[\\s,]+'), lambda w: length(w) >= 2), lambda w: lower(w)) AS tokens FROM documents WHERE len(list_filter(string_split_regex(text[:60], '[\\s,]+'), lambda w: length(w) >= 2)) > 0")
+def gate_tokens(spark, sf_dir):
+    words = F.filter(F.split(F.substring("text", 1, 60), "(?U)[\\s,]+"), lambda w: F.length(w) >= 2)
+    return table(spark, sf_dir, "documents").where(F.size(words) > 0).select("doc_id", T.concept_tokens(F.substring("text", 1, 60)).alias("tokens"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN lang IN ('en', 'fr') THEN doc_id % 8 = 0 WHEN lang = 'de' THEN doc_id % 8 <> 0 END
+  WHEN 1 THEN length(lang) + doc_id % 3 = 4 WHEN 2 THEN CASE WHEN source = 'src3' OR source = 'src5' THEN true WHEN lang = 'es' THEN false END
+  ELSE CASE WHEN lower(source) = source THEN true END END AS result FROM documents""")
+def grade_three_valued(spark, sf_dir):
+    m = F.col("doc_id") % 4
+    fmt = F.when(m == 0, "ox").when(m == 1, "mcq").when(m == 2, "short").otherwise("blank")
+    reply = F.when(m == 0, F.when(F.col("lang").isin("en", "fr"), " O ").when(F.col("lang") == "de", "거짓").otherwise("?")).when(m == 1, (F.length("lang") + F.col("doc_id") % 3 - 1).cast("string"))
+    reply = reply.when(m == 2, F.when(F.col("source").isin("src3", "src5"), F.concat(F.lit("'"), F.upper("source"), F.lit("()'"))).when(F.col("lang") == "es", " ").otherwise(F.lit("other"))).otherwise(F.concat(F.lit("."), "source"))
+    accepted = F.when(m == 2, F.array(F.lit("src3"), F.lit("src 5"))).otherwise(F.array("source"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", fmt.alias("fmt"), (F.col("doc_id") % 8 == 0).alias("ox"), F.lit(2).alias("i"), accepted.alias("a"), reply.alias("r"))
+    return rows.select("doc_id", T.grade(F.col("fmt"), F.col("ox"), F.col("i"), F.col("a"), F.col("r")).alias("result"))
+
+
+# -- pages ------------------------------------------------------------------------------------------------------------
+
+_PAGE = "regexp_matches(url, '^https?://[^/?#]+/[a-z]+/\\d+/?([?#].*)?$')"
+
+
+@query(f"SELECT page_id, CASE WHEN {_PAGE} THEN 'page' END AS kind, CASE WHEN {_PAGE} THEN regexp_extract(url, '^https?://[^/?#]+/[a-z]+/(\\d+)', 1)::BIGINT END AS id FROM pages")
+def parse_target_url(spark, sf_dir):
+    found = ingest.parse_target(F.col("url"), page_path="^/[a-z]+/(\\d+)/?$", book_path="^/book/(\\d+)/?$")
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("t")).select("page_id", "t.kind", "t.id")
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refine.parsed_pages(table(spark, sf_dir, "pages"), selector="article", tree_mode="html5")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _parsed(spark, sf_dir)
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), (F.col("page_id") % 10).alias("book_id"), F.lit("book").alias("book_title"), F.array(title).alias("breadcrumb"))
+    return refine.refine(pages, parsed, base_url="https://pages.example")[0]
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    rows = refine.block_rows(_parsed(spark, sf_dir))
+    return rows.select("page_id", "pos", "type", "level", "text", "render", "embed")
+
+
+@query()
+def html_blocks_nested(spark, sf_dir):
+    """As the tree nests without implied ends of paragraphs."""
+    parsed = refine.parsed_pages(table(spark, sf_dir, "pages"), selector="article")
+    return refine.block_rows(parsed).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("render")).alias("chars"))
+
+
+@query()
+def block_kind_counts(spark, sf_dir):
+    return refine.block_rows(_parsed(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def excluded_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit(None).cast("long").alias("book_id"), F.lit(None).cast("string").alias("book_title"), F.lit(None).cast("array<string>").alias("breadcrumb"))
+    return refine.refine(pages, _parsed(spark, sf_dir))[1]
+
+
+@query()
+def paragraph_units(spark, sf_dir):
+    rows = units.build_units(_chunks(spark, sf_dir))
+    return rows.select("unit_id", "page_id", "section", "fallback", "url", "text", "block_start", "block_end", "embed_hash")
+
+
+@query()
+def code_store(spark, sf_dir):
+    """Code blocks of conversations: fenced code as pre elements."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.concat(F.lit("<article><pre><code>"), "text", F.lit("</code></pre></article>")).alias("html"))
+    parsed = refine.parsed_pages(turns, selector="article")
+    chunks = parsed.select(F.concat(F.col("page_id").cast("string"), F.lit("-01")).alias("chunk_id"), "page_id", F.lit(None).cast("long").alias("book_id"), "blocks")
+    return refine.code_rows(chunks).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# -- folds and windows ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT *, role <> coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS fresh FROM conversations),
+g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT conv_id, run::BIGINT AS run, role, min(turn) AS first_turn, max(turn) AS last_turn FROM g GROUP BY conv_id, run, role""")
+def runs_of_equal_kind(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    fresh = (F.col("role") != F.coalesce(F.lag("role").over(w), F.lit(""))).cast("long")
+    rows = table(spark, sf_dir, "conversations").withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+@query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS section FROM conversations""")
+def carry_forward_section(spark, sf_dir):
+    blocks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", "subheading").otherwise("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), F.md5("text").alias("text"), F.lit(None).cast("string").alias("anchor"))
+    return units.sections(blocks).select(F.col("page_id").alias("conv_id"), F.col("pos").alias("turn"), "section")
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x))), lambda x: x > 0) AS len FROM documents),
+a(doc_id, len, i, s, w, done) AS (
+  SELECT doc_id, len, 2::BIGINT, 1::BIGINT, len[1]::BIGINT, []::STRUCT(s BIGINT, e BIGINT, w BIGINT)[] FROM l WHERE len(len) > 0
+  UNION ALL
+  SELECT doc_id, len, i + 1, CASE WHEN w < 200 AND w + 1 + len[i] <= 600 THEN s ELSE i END,
+    CASE WHEN w < 200 AND w + 1 + len[i] <= 600 THEN w + 1 + len[i] ELSE len[i] END,
+    CASE WHEN w < 200 AND w + 1 + len[i] <= 600 THEN done ELSE list_append(done, {'s': s, 'e': i - 1, 'w': w}) END
+  FROM a WHERE i <= len(len)),
+one AS (SELECT doc_id, list_append(done, {'s': s, 'e': len(len)::BIGINT, 'w': w}) AS r FROM a WHERE i = len(len) + 1),
+b(doc_id, r, i, out) AS (
+  SELECT doc_id, r, 2::BIGINT, [r[1]] FROM one
+  UNION ALL
+  SELECT doc_id, r, i + 1, CASE WHEN r[i].w < 100 AND out[-1].w + 1 + r[i].w <= 600
+    THEN list_append(out[:-2], {'s': out[-1].s, 'e': r[i].e, 'w': out[-1].w + 1 + r[i].w}) ELSE list_append(out, r[i]) END
+  FROM b WHERE i <= len(r))
+SELECT doc_id, u.s - 1 AS block_start, u.e AS block_end FROM (SELECT doc_id, unnest(out) AS u FROM b WHERE i = len(r) + 1)""")
+def greedy_merge_units(spark, sf_dir):
+    lengths = F.filter(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x))), lambda x: x > 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", lengths.alias("lengths")).where(F.size("lengths") > 0)
+    kinds = F.transform("lengths", lambda x: F.lit("paragraph"))
+    merged = units.merged(units.ranges(kinds), F.col("lengths"), F.transform("lengths", lambda x: F.lit(0)))
+    out = rows.select("doc_id", merged.alias("r")).select("doc_id", F.explode_outer("r").alias("u"))
+    return out.select("doc_id", F.col("u.s").cast("long").alias("block_start"), F.col("u.e").cast("long").alias("block_end"))
+
+
+@query("""WITH RECURSIVE items AS (
+  SELECT r_regionkey::BIGINT + 1 AS id, NULL::BIGINT AS parent_id, r_name AS title FROM region
+  UNION ALL SELECT 1000 + n_nationkey, n_regionkey + 1, n_name FROM nation
+  UNION ALL SELECT 100000 + c_custkey, 1000 + c_nationkey, c_name FROM customer),
+up AS (SELECT id, parent_id, [title] AS t FROM items UNION ALL SELECT up.id, i.parent_id, list_prepend(i.title, up.t) FROM up JOIN items i ON up.parent_id = i.id)
+SELECT id, arg_max(t, len(t)) AS breadcrumb FROM up GROUP BY id""")
+def toc_breadcrumb(spark, sf_dir):
+    region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
+    items = region.selectExpr("r_regionkey + 1 AS id", "CAST(NULL AS BIGINT) AS parent_id", "r_name AS title")
+    items = items.unionByName(nation.selectExpr("1000 + n_nationkey AS id", "n_regionkey + 1 AS parent_id", "n_name AS title"))
+    items = items.unionByName(customer.selectExpr("100000 + c_custkey AS id", "1000 + c_nationkey AS parent_id", "c_name AS title"))
+    return ingest.breadcrumbs(items)
+
+
+# -- vector table -----------------------------------------------------------------------------------------------------
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A stored version of the vectors, and a new one in which a fifth has changed."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("unit_id"), "vec_id", "label", "embedding")
+    stored = v.where("vec_id % 7 <> 0").withColumn("embed_hash", F.md5(F.col("vec_id").cast("string")))
+    new = v.where("vec_id % 11 <> 0").withColumn("embed_hash", F.md5(F.when(F.col("vec_id") % 5 == 0, F.col("vec_id") + 1).otherwise(F.col("vec_id")).cast("string")))
+    return stored, new
+
+
+VERSIONS_SQL = """WITH stored AS (SELECT vec_id, embedding, md5(vec_id::VARCHAR) AS h FROM embeddings WHERE vec_id % 7 <> 0),
+fresh AS (SELECT vec_id, md5((CASE WHEN vec_id % 5 = 0 THEN vec_id + 1 ELSE vec_id END)::VARCHAR) AS h FROM embeddings WHERE vec_id % 11 <> 0)
+"""
+
+
+@query(VERSIONS_SQL + """SELECT coalesce(s.vec_id, f.vec_id)::VARCHAR AS unit_id, CASE WHEN s.h IS NULL THEN 'new' WHEN f.h IS NULL THEN 'stale' WHEN s.h = f.h THEN 'same' ELSE 'changed' END AS status
+FROM stored s FULL JOIN fresh f ON s.vec_id = f.vec_id""")
+def incremental_diff(spark, sf_dir):
+    return index.diff(*_versions(spark, sf_dir)).select("unit_id", "status")
+
+
+@query(VERSIONS_SQL + "SELECT f.vec_id::VARCHAR AS unit_id, k.vec_id IS NOT NULL AS reused FROM fresh f LEFT JOIN stored k ON f.h = k.h")
+def vector_reuse(spark, sf_dir):
+    stored, new = _versions(spark, sf_dir)
+    return new.join(index.reusable(stored), "embed_hash", "left").select("unit_id", F.col("kept").isNotNull().alias("reused"))
+
+
+@query(VERSIONS_SQL + "SELECT vec_id::VARCHAR AS unit_id, h AS embed_hash FROM fresh UNION ALL SELECT vec_id::VARCHAR, h FROM stored WHERE vec_id NOT IN (SELECT vec_id FROM fresh)")
+def index_upsert(spark, sf_dir):
+    stored, new = _versions(spark, sf_dir)
+    return index.upserted(stored, new).select("unit_id", "embed_hash")
+
+
+# -- questions --------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT conv_id, turn, list_sort(list_distinct([(conv_id % 7 + 1)::INT, (turn % 5 + 1)::INT])) AS nos FROM conversations)
+SELECT conv_id, turn, b.item_id AS source FROM c JOIN benchmark b ON list_contains(nos, b.item_id::INT)""")
+def citations_semi_join(spark, sf_dir):
+    answer = F.concat(F.lit("as in ["), F.col("conv_id") % 7 + 1, F.lit("] and ["), F.col("turn") % 5 + 1, F.lit("], see ["), F.col("turn") % 5 + 1, F.lit("]"))
+    cited = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode_outer(T.cited_numbers(answer)).alias("no"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source"))
+    return cited.join(items, F.col("no") == F.col("source")).select("conv_id", "turn", "source")
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'format error' WHEN 1 THEN 'rejected' WHEN 2 THEN 'invalid'
+  WHEN 3 THEN 'invalid' WHEN 4 THEN 'unverified' ELSE 'ok' END AS status FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 40""")
+def question_status(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.length(F.regexp_replace("text", "[^A-Za-z]", "")) >= 40)
+    m = F.col("doc_id") % 6
+    field = lambda **k: F.to_json(F.struct(*[(v if not isinstance(v, (str, bool, int)) else F.lit(v)).alias(n) for n, v in k.items()]))
+    four = F.array(*[F.lit(x) for x in ("a", "a", "b", "c")])
+    reply = F.when(m == 0, F.lit("no braces here")).when(m == 1, field(reject_reason="비유")).when(m == 2, field(reject_reason="없음", statement="s", answer="true", evidence=F.col("text")))
+    reply = reply.when(m == 3, field(reject_reason="없음", question="which?", choices=four, choice_notes=four, answer_index=1, evidence=F.col("text")))
+    reply = reply.when(m == 4, field(reject_reason="없음", statement="s", answer=True, evidence="not a word of the text, at all")).otherwise(F.concat(F.lit("<think>{}</think>"), field(reject_reason="없음", statement="s", answer=False, evidence=F.col("text"))))
+    rows = docs.select("doc_id", "text", F.when(m == 3, "mcq").otherwise("ox").alias("fmt"), reply.alias("reply"))
+    return quiz.judged(quiz.questions(rows)).select("doc_id", "status")
+
+
+@query("""SELECT doc_id // 10 AS case_id, arg_min(doc_id, (toxic::BIGINT * 1000000 + n % 3 * 1000 + rank)) AS doc_id, min(r)::BIGINT AS round FROM (
+  SELECT *, min(r) OVER (PARTITION BY doc_id // 10) AS f FROM (SELECT l.doc_id, toxic, d.n_chars AS n, quality, row_number() OVER (PARTITION BY l.doc_id // 10 ORDER BY l.doc_id) AS rank,
+  (row_number() OVER (PARTITION BY l.doc_id // 10 ORDER BY l.doc_id) - 1) // 3 AS r FROM labels l JOIN documents d USING (doc_id)) WHERE quality = 1 AND r < 2) WHERE r = f GROUP BY 1""")
+def best_candidate(spark, sf_dir):
+    case = F.floor(F.col("doc_id") / 10)
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("case_id", case)
+    rank = F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id"))
+    tries = rows.select("case_id", "doc_id", rank.alias("rank"), (F.col("quality") == 1).alias("passed"), (F.col("toxic") == 0).alias("exact"), (F.col("n_chars") % 3).alias("blanks"))
+    return evaluation.best_candidates(tries).select("case_id", "doc_id", F.floor((F.col("rank") - 1) / 3).cast("long").alias("round"))
+
+
+@query("""WITH c AS (SELECT CASE WHEN toxic = 1 THEN '(오류: x)' WHEN quality = 0 THEN '(거부: y)' ELSE text END AS cell FROM labels JOIN documents USING (doc_id))
+SELECT CASE WHEN length(cell) = 0 THEN '건너뜀' WHEN starts_with(cell, '(출제 못함') OR starts_with(cell, '(거부') THEN '출제 못함' WHEN starts_with(cell, '(오류') THEN '오류' WHEN starts_with(cell, '(건너뜀') THEN '건너뜀' ELSE '출제' END AS status, count(*) AS n FROM c GROUP BY 1""")
+def status_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    cell = F.when(F.col("toxic") == 1, "(오류: x)").when(F.col("quality") == 0, "(거부: y)").otherwise(F.col("text"))
+    return evaluation.status_counts(rows.select(cell.alias("cell")), "cell")
+
+
+@query("""WITH r AS (SELECT regexp_extract(CASE WHEN quality = 0 THEN lang || '(q)' ELSE source END, '^[^(]*') AS reason FROM labels JOIN documents USING (doc_id) WHERE quality = 0 OR toxic = 1)
+SELECT reason, count(*) AS n, round(count(*) / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY reason""")
+def reject_share(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").where("quality = 0 or toxic = 1").join(table(spark, sf_dir, "documents"), "doc_id")
+    reason = F.when(F.col("quality") == 0, F.concat("lang", F.lit("(q)"))).otherwise(F.col("source"))
+    return evaluation.reject_shares(rows.select(reason.alias("reason"))).select("reason", "n", F.round("share", 6).alias("share"))
+
+
+@query()
+def quiz_slots(spark, sf_dir):
+    """Slots of each document's quiz, a slot for each 500 characters."""
+    total = F.floor(F.length("text") / 500).cast("int") + 1
+    return table(spark, sf_dir, "documents").select("doc_id", quiz.slot_origins(total, F.lit(3), F.col("doc_id"), 7).alias("origins"))
+
+
+# -- vectors, events --------------------------------------------------------------------------------------------------
+
+_DOT0 = "embedding::DOUBLE[]"
+
+
+@query(f"""WITH f AS (SELECT embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id = 0)
+SELECT vec_id AS id, round(sqrt(list_dot_product({_DOT0}, {_DOT0})), 6) AS norm, round(list_min({_DOT0}), 6) AS min, round(list_max({_DOT0}), 6) AS max,
+  round(list_avg({_DOT0}), 6) AS mean, len(list_filter({_DOT0}, lambda x: abs(x) > 0.1)) AS n_large, round(list_cosine_similarity({_DOT0}, f), 6) AS cosine FROM embeddings, f""")
+def vector_stats(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    first = v.where("id = 0").first()["v"]
+    s = vectors.stats(v, F.array(*[F.lit(float(x)) for x in first]))
+    return s.select("id", *[F.round(c, 6).alias(c) for c in ("norm", "min", "max", "mean")], F.col("n_large").cast("long").alias("n_large"), F.round("cosine", 6).alias("cosine"))
+
+
+@query("""SELECT dim, round(var_pop(x), 8) AS variance FROM (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY dim""")
+def dimension_variance(spark, sf_dir):
+    return vectors.dimensions(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v"))).select(F.col("dim").cast("long").alias("dim"), F.round("variance", 8).alias("variance"))
+
+
+@query("""SELECT label, n, round(sqrt(s), 6) AS length FROM (SELECT label, count(*) // 64 AS n, 0 AS z FROM embeddings, range(64) GROUP BY label)
+JOIN (SELECT label, sum(m * m) AS s FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label) USING (label)""")
+def label_centres(spark, sf_dir):
+    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    centre = long.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
+    return centre.groupBy("label").agg(F.max("n").alias("n"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 6).alias("length"))
+
+
+@query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 20)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM s a JOIN s b ON a.vec_id < b.vec_id""")
+def similarity_matrix(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.similarity(vectors.selected(v, where=F.lit(True), limit=20)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def principal_plane(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.plane(v).select("id", F.round(F.abs(F.get("coords", F.lit(0))), 4).alias("x"), F.round(F.abs(F.get("coords", F.lit(1))), 4).alias("y"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY event_type")
+def json_extract_props(spark, sf_dir):
+    reply = F.concat(F.lit("here it is: "), "props", F.lit(" done"))
+    k = F.get_json_object(quiz.extracted_json(reply), "$.k").try_cast("long")
+    return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
