@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it.
+
+    A column that lambdas of a later column refer to is not safe for that: a filter on the later column is pushed below
+    both, and then the former is computed anew for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_list(text: Column) -> Column:
     """Words of a text, in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

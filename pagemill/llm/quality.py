@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, word_list
+from .common import WORD, let, word_list
 
 #: Parameters of the line rules. A line fails if any holds.
 SEPARATORS = r"[|»]"  # navigation: three separators or more, and one for every five words
@@ -32,17 +32,22 @@ def line_fails(line: Column) -> Column:
     return navigation | line.rlike(BOILERPLATE) | ((n < 8) & ~line.rlike(ENDS_WELL)) | (count_of(line, SHOUTS) * 4 >= n) | ((marks >= 6) & (marks * 2 >= n))
 
 
-def repeat_words(docs: DataFrame, words: str = "words") -> DataFrame:
-    """docs with n_repeat_words: words in three-word windows that are found twice or more in the row."""
-    w = F.col(words)
-    windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    docs = docs.withColumn("_sorted", F.sort_array(windows))
-    s = F.col("_sorted")
-    twice = lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"])
-    docs = docs.withColumn("_places", F.sort_array(F.transform(F.filter(s, lambda x, j: F.coalesce(twice(x, j), F.lit(False))), lambda x: x["i"])))
-    p = F.col("_places")
-    covered = F.aggregate(F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return docs.withColumn("n_repeat_words", covered).drop("_sorted", "_places")
+def repeat_words(words: Column) -> Column:
+    """How many words are in three-word windows that are found twice or more among the words."""
+
+    def windows(w: Column) -> Column:
+        hashed = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
+        return F.sort_array(F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), hashed))
+
+    def places(s: Column) -> Column:
+        twice = lambda x, j: F.coalesce((F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]), F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, twice), lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        own = F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3)))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return let(words, lambda w: let(windows(w), lambda s: let(places(s), covered)))
 
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -54,23 +59,29 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text has no words (so it is not kept) and stays null. Windows are compared by 64-bit hashes within a text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
     has_word = lambda line: line.rlike(WORD)
-    out = docs.withColumn("_words", word_list(F.col(text_col))).withColumn("_lines", lines)
-    out = repeat_words(out, "_words")
-    real = F.filter("_lines", has_word)
-    out = out.withColumn("_real", real).withColumn("_good", F.filter("_lines", lambda line: ~(has_word(line) & line_fails(line))))
-    left = F.aggregate(F.transform("_good", lambda line: count_of(line, WORD)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.select(
-        *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        (F.size("_real") - F.size(F.array_distinct("_real"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        left.alias("_left"),
-        F.when(F.col(text_col).isNotNull(), F.array_join("_good", "\n")).alias("clean_text"),
-    )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    lost = F.col("n_words") - F.col("_left")
-    return out.withColumn("base_failed", failed).withColumn("lost_words", lost).withColumn("kept", ~failed & (lost <= MAX_LOST * F.col("n_words"))).drop("_left")
+    good = lambda lines: F.filter(lines, lambda line: ~(has_word(line) & line_fails(line)))
+    words_of = lambda lines: F.aggregate(F.transform(lines, lambda line: count_of(line, WORD)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of_words(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeated"))
+
+    def of_lines(lines: Column) -> Column:
+        real = F.filter(lines, has_word)
+        n_dup = let(real, lambda r: (F.size(r) - F.size(F.array_distinct(r))).cast("long"))
+        return let(good(lines), lambda g: F.struct(n_dup.alias("n_dup"), words_of(g).alias("left")))
+
+    def verdict(w: Column, q: Column) -> Column:
+        failed = (w["n"] < 50) | (100 * w["repeated"] > 50 * w["n"])
+        lost = w["n"] - q["left"]
+        return F.struct(
+            w["n"].alias("n_words"), w["chars"].alias("word_chars"), q["n_dup"].alias("n_dup_lines"), w["repeated"].alias("n_repeat_words"),
+            failed.alias("base_failed"), lost.alias("lost_words"), (~failed & (lost <= MAX_LOST * w["n"])).alias("kept"),
+        )
+
+    lines = F.split(text, "\n", -1)
+    found = let(let(word_list(F.col(text_col)), of_words), lambda w: let(let(lines, of_lines), lambda q: verdict(w, q)))
+    out = docs.withColumn("_q", found)
+    n_symbols = (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long")
+    clean = F.when(F.col(text_col).isNotNull(), F.array_join(good(lines), "\n"))
+    return out.select(*docs.columns, n_symbols.alias("n_symbols"), clean.alias("clean_text"), "_q.*")
