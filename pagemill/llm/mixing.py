@@ -1,8 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Every source is a flow. Its documents are shuffled by a hash, and a copy of a document finishes, in virtual time, at the
-source's words up to and including it divided by the source's target. All copies are ordered by virtual finish time and
-cut where the total budget is used up, so that at every point of the stream the sources stand near their weights.
+source's words up to and including it divided by the source's target. The stream is all copies in the order of virtual
+finish time, so that at every point of it the sources stand near their weights. The targets add up to the total budget,
+so the budget is used up at virtual time 1; there the stream is cut. Of the copies that lie across the cut, those are
+taken that have at least half of their words before it, so a source misses its target by half a document at most.
 
 Running sums are taken in two levels (buckets of a source's shuffle order, then rows of a bucket), so that a source with
 a third of all rows is spread over as many tasks as its size asks for. Only narrow rows (no text) are shuffled.
@@ -19,8 +21,6 @@ from .common import WORD, written
 
 #: Rows of a source that one running sum goes over.
 BUCKET_ROWS = 1000
-#: Bins of virtual time in which the cut is looked for: a bin holds this share of a target's words.
-BINS = 4096
 #: A table of sources up to this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: A document above this share of its source's target comes after the source's others in each pass.
@@ -82,28 +82,15 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     running = rows.withColumn("running", F.sum("size").over(within)).join(sums, ["sid", "bucket"])
     running = written(running.select("id", "row_key", "source", "sid", "size", "source_size", "target", (F.col("base") + F.col("running")).alias("upto")), "running")
 
-    def finish(epoch: int | Column) -> Column:
+    def finish(epoch: int) -> Column:
         return F.coalesce((F.col("source_size") * epoch + F.col("upto")) / F.when(F.col("target") > 0, F.col("target")), F.lit(0.0))
 
-    # the cut: the bin of virtual time in which the budget runs out, then the last copy in it that still fits
-    copies = running.select("sid", "row_key", "id", "size", "source_size", "target", "upto", F.explode(F.array(*[F.lit(e) for e in range(repeat)])).alias("epoch")).withColumn("v", finish(F.col("epoch")))
-    bin_of = F.least(F.floor(F.col("v") * BINS), F.lit(4 * BINS)).cast("long")
-    budget = running.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bins = copies.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    over = bins.select("bin", (upto - F.col("words")).alias("before"), upto.alias("upto")).where(F.col("upto") > budget).orderBy("bin").first()
-    order = ("v", "sid", "row_key", "id")
-    taken: Column = F.lit(repeat)
-    if over is not None:
-        edge = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + int(over["before"])
-        last = copies.where(bin_of == int(over["bin"])).select(*order, edge.alias("used")).where(F.col("used") <= budget).orderBy(*[F.desc(c) for c in order]).first()
-        if last is None:
-            fits = lambda e: finish(e) * BINS < float(over["bin"])
-        else:
-            place = F.struct(F.col("sid"), F.col("row_key"), F.col("id")) <= F.struct(F.lit(last["sid"]), F.lit(last["row_key"]).cast("long"), F.lit(last["id"]).cast("long"))
-            fits = lambda e: (finish(e) < float(last["v"])) | ((finish(e) == float(last["v"])) & place)
-        taken = sum((fits(e).cast("int") for e in range(1, repeat)), fits(0).cast("int"))
-    return running.select("id", "row_key", "source", "size", "source_size", "target", taken.cast("int").alias("copies"), finish(0).alias("finish"))
+    def taken(epoch: int) -> Column:
+        """Whether this copy has half of its words before virtual time 1."""
+        return (F.col("source_size") * epoch + F.col("upto") - F.col("size") / 2 <= F.col("target")).cast("int")
+
+    copies = sum((taken(e) for e in range(1, repeat)), taken(0))
+    return running.select("id", "row_key", "source", "size", "source_size", "target", copies.alias("copies"), finish(0).alias("finish"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), repeat: int = 3, seed: int = 1) -> DataFrame:
