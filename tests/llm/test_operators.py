@@ -143,7 +143,7 @@ def test_op5_quality(tricky, tricky_rows, nothing):
     want = Counter((r[0], *brute.base_quality(r[1])) for r in tricky_rows)
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows) == want
     kept = {r["doc_id"]: r["kept"] for r in rows}
-    assert kept[0] and kept[11] and kept[100] is not None and not (kept[13] or kept[14] or kept[15] or kept[5] or kept[4])
+    assert kept[0] and kept[9] and not (kept[13] or kept[14] or kept[15] or kept[5] or kept[4])
     assert {r["doc_id"] for r in got.where("kept").collect()} == {i for i, k in kept.items() if k}
     clean = {r["doc_id"]: r["clean_text"] for r in rows}
     assert clean[5] is None and clean[14] == ""
