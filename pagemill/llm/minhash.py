@@ -61,7 +61,7 @@ def edited(text: str, onward: str) -> str:
     return text[: len(text) - half] + onward[:half]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
@@ -79,12 +79,12 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     def compare(key: int | None, text: str, onward: str, mine: np.ndarray, next_one: np.ndarray) -> tuple:
         new = edited(text, onward)
         other = signature(shingle_hashes(new, shingle), a, b)
-        sha = hashlib.sha256(new.encode("utf-8", "replace")).hexdigest()
-        return key, len(text), sha, mine.tobytes().hex(), other.tobytes().hex(), likeness(mine, other), likeness(mine, next_one)
+        sha = hashlib.sha256(new.encode("utf-8", "replace")).digest()
+        return key, len(text), sha, mine.tobytes(), other.tobytes(), likeness(mine, other), likeness(mine, next_one)
 
     def table(rows: list[tuple], ends: list[tuple]) -> pa.RecordBatch:
         rows = [(*r, None, None, None) for r in rows] + [(None,) * len(NAMES) + e for e in ends]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*NAMES, "end", "end_id", "end_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,8 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
             if rows:
                 yield table(rows, []).select(NAMES)
 
-    return found.where("end is null").select(*NAMES).unionByName(last.mapInArrow(finish, RESULT))
+    done = found.where("end is null").select(*NAMES).unionByName(last.mapInArrow(finish, RESULT))
+    return done.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in done.dtypes])
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, n_perms: int = 128, bands: int = 32, threshold: float = 0.8) -> DataFrame:
