@@ -46,3 +46,11 @@ def test_near_dedup_against_brute_force(spark):
 def test_run(spark):
     rows = cp.run(spark, f"{DATA}/sf0.001").collect()
     assert sum(r["length"] for r in rows if r["offset"] == 0) > 0
+
+
+def test_quality_sql(spark, duck):
+    from helpers import rows_of
+
+    from pagemill.llm.queries import ORACLE_SQL, QUERIES
+
+    assert rows_of(QUERIES["op5_quality_rules"](spark, f"{DATA}/sf0.001").toPandas()) == rows_of(duck(ORACLE_SQL["op5_quality_rules"]))
