@@ -248,3 +248,34 @@ def test_metadata(spark):
     row = index.metadata(df, "unbound", "m").first()
     assert (row["page_id"], row["book_id"], row["path"], row["source_dir"]) == (-1, -1, "a > b", "unbound")
     assert units.MIN_UNIT_CHARS == 30
+
+
+def test_build(spark, tmp_path):
+    from pagemill.plans import build as b
+
+    html = "<article><h2>Part</h2><p>A first paragraph that is long enough to be kept.</p><p>{}</p></article>"
+    schema = "page_id long, title string, book_id long, book_title string, breadcrumb array<string>, html string"
+    pages = lambda text: spark.createDataFrame([(1, "T", 1, "B", ["B", "T"], html.format(text)), (2, "Preface", 1, "B", ["B"], html.format("x"))], schema)
+    root, calls = f"file://{tmp_path}", {"selector": "article", "include_ids": [1]}
+    first = b.build(spark, pages("more " * 120), root, providers.hashing_embed, **calls)
+    assert first["refine"]["chunks"] and first["refine"]["excluded"] and first["embed"]["new"] == 2
+    again = b.build(spark, pages("more " * 120), root, providers.hashing_embed, **calls)
+    assert not again["refine"]["chunks"] and again["embed"] == {"same": 2, "seconds": again["embed"]["seconds"]}
+    third = b.build(spark, pages("less " * 120), root, providers.hashing_embed, **calls)
+    assert third["embed"]["changed"] == 1 and third["embed"]["same"] == 1
+    assert b.latest(spark, f"{root}/vectors").count() == 2
+    with pytest.raises(ValueError):
+        b.stage_slice("embed", "refine")
+
+
+def test_prompts_and_replies(spark):
+    replies = spark.createDataFrame([("s", 'so {"formats": [{"no": 1, "format": "ox"}, {"no": 9, "format": "ox"}, {"no": 2, "format": "no"}, {"no": 1, "format": "mcq"}]}', 3), ("t", "nothing", 3)], "session string, reply string, n_candidates int")
+    assert [tuple(r) for r in quiz.chosen_formats(replies, ["ox", "mcq"]).collect()] == [("s", 1, "mcq")]
+    rows = spark.createDataFrame([("s", 2, "p", "b"), ("s", 1, "p", "a")], "session string, no int, path string, text string")
+    assert quiz.source_listing(rows).first()["listing"] == "[1] p\na\n\n[2] p\nb"
+    kinds = spark.createDataFrame([("429 slow",), ("limit of tokens per day",), ("json_validate_failed",), ("x",), (None,)], "e string").select(quiz.error_class(F.col("e")).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["rate limit", "daily limit", "schema", "other", None]
+    scores = spark.createDataFrame([("s", True), ("s", None), ("s", False)], "session string, result boolean")
+    assert tuple(quiz.score_summary(scores).first()) == ("s", 3, 2, 1)
+    text = spark.range(1).select(quiz.quiz_prompt(F.lit("T"), F.lit("Q"), F.lit("P"), F.array(F.lit("x")), F.lit("O/X"))).first()[0]
+    assert "[이미 낸 문제]\n- x" in text and text.endswith("O/X 문제 1개를 만들어.")
