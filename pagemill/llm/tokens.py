@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -39,8 +40,24 @@ ODD_SPACE = _one_of((0x0B, 0x0C), (0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1
 #: Characters of which two regular expression libraries may know different properties; texts with one go to the library as a whole.
 OTHER = _one_of((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC), outside=True)
 SEGMENT = re.compile(r"\s*\S+|\s+")
-#: A word and the punctuation after it, between which both kinds of tokenizer cut.
-WORD_AND_MARKS = re.compile(r"(\s*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]+)")
+#: White space, a word of plain Latin letters, and the marks after it: both kinds of tokenizer cut between the three, save
+#: that byte-level BPE takes one space along with the word.
+PLAIN_SEGMENT = re.compile(r"(\s*)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """Byte -> printable character of byte-level BPE: printable Latin-1 stands for itself, the others follow from 256."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+ALPHABET = byte_alphabet()
+
+
+def as_bytes(text: str) -> str:
+    """A text as the BPE model sees it: a character for each byte."""
+    return text.encode().decode("latin-1").translate(ALPHABET)
 
 
 @cache
@@ -60,6 +77,9 @@ class SegmentEncoder(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tok, self.special = tokenizer(path), _special(path)
+        self.bpe = self.tok.model.tokenize
+        #: the kind that lowers case and drops white space
+        self.drops_space = self.tok.normalizer is not None
 
     @staticmethod
     @lru_cache(maxsize=4)
@@ -72,8 +92,19 @@ class SegmentEncoder(dict):
     def __missing__(self, segment: str) -> bytes:
         if len(self) >= CACHE_SEGMENTS:
             self.clear()
-        cut = WORD_AND_MARKS.fullmatch(segment)
-        ids = self[cut[1]] + self[cut[2]] if cut else self.whole(segment)
+        cut = PLAIN_SEGMENT.fullmatch(segment)
+        if cut is None:
+            ids = self.whole(segment)
+        elif cut[3]:
+            ids = self[cut[1] + cut[2]] + self[cut[3]]
+        elif cut[1] and self.drops_space:
+            ids = self[cut[2]]
+        elif cut[1] and cut[1] != " ":
+            # of white space before a word, the last character is apart: a space goes with the word, another stands alone
+            first, last = cut[1][:-1], cut[1][-1]
+            ids = (self[first] if first else b"") + (self[" " + cut[2]] if last == " " else self[last] + self[cut[2]])
+        else:
+            ids = array("I", [t.id for t in self.bpe(as_bytes(segment.lower() if self.drops_space else segment))]).tobytes()
         self[segment] = ids
         return ids
 
@@ -94,7 +125,7 @@ def whole_tokens(path: str) -> dict[str, int]:
     """
     tok = tokenizer(path)
     vocab = tok.get_vocab(with_added_tokens=False)
-    back = {c: b for b, c in _byte_alphabet().items()}
+    back = {c: b for b, c in ALPHABET.items()}
     texts = {}
     for entry, token in vocab.items():
         try:
@@ -106,13 +137,6 @@ def whole_tokens(path: str) -> dict[str, int]:
     return {s: 1 for s, e in zip(names, found, strict=True) if e.ids == [texts[s]] and regex.fullmatch(BYTE_LEVEL_PATTERN, s)}
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """Byte -> printable character of byte-level BPE: printable Latin-1 stands for itself, the others follow from 256."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 _COUNTERS: dict[str, TokenCounter] = {}
 
 
@@ -128,7 +152,7 @@ class TokenCounter(dict):
         if len(self) >= CACHE_SEGMENTS + len(self.whole_table):
             self.clear()
             self.update(self.whole_table)
-        n = self[token] = len(self.tok.encode(token, add_special_tokens=False).ids)
+        n = self[token] = len(self.tok.model.tokenize(as_bytes(token)))  # a pre-token is merged as it is
         return n
 
     @staticmethod

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,16 +226,20 @@ def test_op8_whole_tokens():
 ODD = ["", " ", "a  b", "\n\na\r\nb ", "it's we'LL 'quoted'", "naïve Ünïcode ﬁ ½ ² １２", "日本語 한국어 text", "x y z　\x1cq\x85", "<|endoftext|>a <|startoftext|> b", "é ́ ΑΣ ΑΣ. ΟΔΟΣ", "tab\tsep\x0bvt\x0cff", "😀 emoji👍🏽 zwj👩‍👩‍👧", "3.14e-10,000", "a.b,c;d:e!f?", "word... (x) [y] {z}", "﻿bom", "İstanbul I ı"]
 
 
+RNG = random.Random(4)
+MIXED = ["".join(RNG.choice(["a", "word", "É", "\n", " ", "  ", "\t", "\r\n", ".", ",!", "'s", "9", "-"]) for _ in range(RNG.randrange(1, 14))) for _ in range(1500)]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORDS])
 def test_segments_encode_as_whole_texts(path):
     tok, own = Tokenizer.from_file(path), tokens.SegmentEncoder(path)
-    for text in [*ODD, " ".join(ODD), "\n".join(ODD)]:
+    for text in [*ODD, " ".join(ODD), "\n".join(ODD), *MIXED]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
 def test_pre_tokens_count_as_whole_texts():
     tok, own = Tokenizer.from_file(BYTE), tokens.TokenCounter(BYTE, tokens.whole_tokens(BYTE))
-    for text in [*ODD, " ".join(ODD), "\n".join(ODD)]:
+    for text in [*ODD, " ".join(ODD), "\n".join(ODD), *MIXED]:
         assert own.count(text) == len(tok.encode(text, add_special_tokens=False).ids), text
 
 
