@@ -25,11 +25,17 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def line_fails(line: Column) -> Column:
-    n = count_of(line, WORD)
+def line_fails(line: Column, n: Column) -> Column:
+    """Whether a line of n words fails a rule. A blank line never does."""
     separators, marks = count_of(line, SEPARATORS), count_of(line, MARKS)
-    navigation = (separators >= 3) & (separators * 5 >= n)
-    return navigation | line.rlike(BOILERPLATE) | ((n < 8) & ~line.rlike(ENDS_WELL)) | (count_of(line, SHOUTS) * 4 >= n) | ((marks >= 6) & (marks * 2 >= n))
+    navigation = let(separators, lambda k: (k >= 3) & (k * 5 >= n))
+    marked = let(marks, lambda k: (k >= 6) & (k * 2 >= n))
+    return (n > 0) & (navigation | marked | (count_of(line, SHOUTS) * 4 >= n) | ((n < 8) & ~line.rlike(ENDS_WELL)) | line.rlike(BOILERPLATE))
+
+
+def judged_lines(lines: Column) -> Column:
+    """For each line its words and whether it fails."""
+    return F.transform(lines, lambda line: let(count_of(line, WORD), lambda n: F.struct(n.alias("n"), line_fails(line, n).alias("fails"))))
 
 
 def repeat_words(words: Column) -> Column:
@@ -60,8 +66,8 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda line: line.rlike(WORD)
-    good = lambda lines: F.filter(lines, lambda line: ~(has_word(line) & line_fails(line)))
-    words_of = lambda lines: F.aggregate(F.transform(lines, lambda line: count_of(line, WORD)), F.lit(0).cast("long"), lambda a, x: a + x)
+    lost_words = lambda judged: F.aggregate(judged, F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
+    good = lambda lines: F.filter(lines, lambda line: ~let(count_of(line, WORD), lambda n: line_fails(line, n)))
 
     def of_words(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeated"))
@@ -69,11 +75,11 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def of_lines(lines: Column) -> Column:
         real = F.filter(lines, has_word)
         n_dup = let(real, lambda r: (F.size(r) - F.size(F.array_distinct(r))).cast("long"))
-        return let(good(lines), lambda g: F.struct(n_dup.alias("n_dup"), words_of(g).alias("left")))
+        return F.struct(n_dup.alias("n_dup"), lost_words(judged_lines(lines)).alias("lost"))
 
     def verdict(w: Column, q: Column) -> Column:
         failed = (w["n"] < 50) | (100 * w["repeated"] > 50 * w["n"])
-        lost = w["n"] - q["left"]
+        lost = q["lost"]
         return F.struct(
             w["n"].alias("n_words"), w["chars"].alias("word_chars"), q["n_dup"].alias("n_dup_lines"), w["repeated"].alias("n_repeat_words"),
             failed.alias("base_failed"), lost.alias("lost_words"), (~failed & (lost <= MAX_LOST * w["n"])).alias("kept"),
