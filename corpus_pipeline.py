@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import WORD, table, written
 from pagemill.llm.mixing import mix
+from pagemill.llm.near_copies import near_copy_components
 from pagemill.llm.packing import pack
 from pagemill.llm.quality import quality
-from pagemill.llm.simhash import simhash_components
 from pagemill.llm.substrings import remove_repeats
 
 #: Near copies: fingerprints of 576 bits over five-word shingles. Two texts of shingle likeness 0.8 differ in 86 of the
 #: bits on average, with a deviation of 9; 94 takes most of those along, and unrelated texts differ in 288. Segments of 26
 #: bits keep chance matches rare (of n fingerprints, about n / 2**26 for each look-up), and twenty of them find a pair of
-#: likeness 0.8 with a chance of 0.82, of 0.85 with 0.98.
+#: likeness 0.8 with a chance of 0.82, of 0.85 with 0.98. near_copy_components finds the others by shingle prefixes, and
+#: verifies all on the shingle sets, so these numbers decide the cost but not the result.
 NEAR_COPIES = {"shingle": 5, "n_longs": 9, "segments": 20, "segment_bits": 26, "radius": 1, "max_distance": 94}
+LIKENESS = 0.8
 
 
 def with_text(docs: DataFrame, like: DataFrame, text: str) -> DataFrame:
@@ -40,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest id. Rows without an id go by their text."""
     ident = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     keyed = docs.withColumn("_ident", ident)
-    groups = simhash_components(keyed, id_col="_ident", **NEAR_COPIES)
+    groups = near_copy_components(keyed, id_col="_ident", threshold=LIKENESS, **NEAR_COPIES)
     kept = groups.where("id = component").select(F.col("id").alias("_ident")).distinct()
     first = F.row_number().over(Window.partitionBy("_ident").orderBy("text"))
     return keyed.join(kept, "_ident", "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)

@@ -54,3 +54,24 @@ def test_quality_sql(spark, duck):
     from pagemill.llm.queries import ORACLE_SQL, QUERIES
 
     assert rows_of(QUERIES["op5_quality_rules"](spark, f"{DATA}/sf0.001").toPandas()) == rows_of(duck(ORACLE_SQL["op5_quality_rules"]))
+
+
+def test_near_dedup_is_exact_at_the_threshold(spark):
+    import random
+
+    rng = random.Random(8)
+    texts, common = [], [f"common{k}" for k in range(12)]
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts.append(base)
+        for k in (1, 2, 3, 4, 5, 6):  # k changed words, five shingles each: likeness from 0.9 to 0.5
+            other = list(base)
+            for at in range(k):
+                other[8 + 13 * at] = f"x{rng.randrange(10**6)}"
+            texts.append(other)
+    texts += [common + [f"y{rng.randrange(10**6)}" for _ in range(40)] for _ in range(60)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {i: frozenset(brute.shingles(" ".join(t), 5)) for i, t in enumerate(texts)}
+    groups = brute.components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()} == set(groups.values())
