@@ -1,21 +1,38 @@
-"""Substring dedup by sliding sentence spans, in DataFrame operations only.
+"""Substring dedup by sliding sentence spans, then by windows of words.
 
 A text is cut into sentences, at end marks and line ends and also at clause marks: a passage of over fifty words that is
 set into other text may be one long sentence, glued to its surroundings at both ends, and only its inner clauses stay
 whole. Every run of several consecutive sentences is hashed; the hashes are counted over all texts, and every occurrence
 of a run after its first (by document id, then place) is removed.
 
+What spans miss, as a passage that is one clause glued at both ends, is found in the texts that are left: every run of
+WINDOW words that stands in an earlier place goes, word by word. Of the runs of GRAM words, each text puts the least of
+every WINDOW - GRAM + 1 consecutive ones forward (winnowing), so that two texts with a common run of WINDOW words have a
+common gram; only around such grams are all windows hashed and counted.
+
 Only hashes, ids and places are shuffled to find repeats (a hash of any frequency is a partial aggregate, and the join
-that follows repeats it on one side only); the texts are shuffled once, to meet their own places.
+that follows repeats it on one side only); the texts are shuffled to meet their own places, and are written in between.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: Words of a run that may stand only once, and of the grams that are put forward to find it.
+WINDOW, GRAM = 50, 20
+#: Base of the rolling hashes, odd, so that it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_MARKS = str.maketrans("", "", ".!?,;:")
+
 #: A sentence with the white space after it. Every character of a text is in exactly one.
 SENTENCE = r"[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+"
 
@@ -61,12 +78,104 @@ def repeated_places(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
     return again.groupBy("doc", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "end"))))).alias("places"))
 
 
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+
+
+def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k words."""
+    n = len(hashes)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    powers, inverse = np.full(n, BASE, np.uint64), np.full(n - k + 1, pow(BASE, -1, 1 << 64), np.uint64)
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.cumprod(powers, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+    x = (sums[k:] - sums[:-k]) * inverse
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def _grams(text: str | None) -> np.ndarray:
+    """Hashes of the grams that a text puts forward; none if it has fewer words than a window."""
+    grams = _rolled(_word_hashes((text or "").lower().translate(_MARKS).split()), GRAM)
+    span = WINDOW - GRAM + 1
+    if len(grams) < span:
+        return grams[:0]
+    least = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1)
+    return grams[np.unique(least + np.arange(len(least)))]
+
+
+def _windows(text: str, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, start, end) of the windows around those grams of a text that are in common; start, end: characters."""
+    words = [(w, m.start()) for m in re.finditer(r"\S+", text) if (w := m.group().lower().translate(_MARKS))]
+    hashes = _word_hashes([w for w, _ in words])
+    windows = _rolled(hashes, WINDOW)
+    hit = np.isin(_rolled(hashes, GRAM), common)
+    counts = np.concatenate([[0], np.cumsum(hit)])
+    at = np.flatnonzero(counts[np.arange(len(windows)) + WINDOW - GRAM + 1] > counts[np.arange(len(windows))])
+    starts = np.array([*(i for _, i in words), len(text)], np.int64)
+    return windows[at].view(np.int64), at.astype(np.int64), starts[at], starts[at + WINDOW]
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """docs (doc long, key long, text) -> (doc, key, ranges array<start, end>): characters that a non-first window covers."""
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [_grams(t.as_py()).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.list_(pa.int64()))], names=["doc", "key", "grams"])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, key, text, common in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = _windows(text, np.array(common, np.int64).view(np.uint64))
+                n = len(found[0])
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), *map(pa.array, found)], names=["doc", "key", "h", "place", "start", "end"])
+
+    docs = docs.select("doc", "key", "text")
+    put = written(docs.mapInArrow(forward, "doc long, key long, grams array<long>").select("doc", "key", F.explode_outer("grams").alias("g")).where("g is not null"), "grams")
+    common = written(put.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "common")
+    near = written(put.join(common, "g").groupBy("doc", "key").agg(F.collect_set("g").alias("grams")).withColumnsRenamed({"doc": "d", "key": "k"}), "near")
+    met = docs.join(near, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc", "key", "text", "grams")
+    rows = written(met.mapInArrow(around, "doc long, key long, h long, place long, start long, end long"), "windows")
+    order = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "key", "place")
+    first = written(rows.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").drop("n"), "first")
+    # in the text of the first itself, only what does not overlap it
+    same = (F.col("key") == F.col("first.key")) & (order["doc"] == F.col("first.doc"))
+    again = rows.join(first, "h").where(~same | (F.col("place") >= F.col("first.place") + WINDOW))
+    return again.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+
+
+def _without(text: Column, ranges: Column) -> Column:
+    """A text without ranges (sorted by start)."""
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
+
+    def step(a: Column, r: Column) -> Column:
+        more = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(r["start"] - a["at"], F.lit(0)).cast("int"))
+        return F.struct(F.concat(a["kept"], more).alias("kept"), F.greatest(a["at"], r["end"]).alias("at"))
+
+    return F.aggregate(ranges, start, step, lambda a: F.concat(a["kept"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+
+
+def _touched(text: Column, ranges: Column) -> Column:
+    """How many sentences of a text lose a character by ranges."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"))
+
+    def step(a: Column, s: Column) -> Column:
+        end = a["at"] + F.length(s)
+        return F.struct(end.alias("at"), (a["n"] + F.exists(ranges, lambda r: (r["start"] < end) & (r["end"] > a["at"])).cast("int")).alias("n"))
+
+    return F.aggregate(sentences(text), start, step, lambda a: a["n"])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 8) -> DataFrame:
-    """All rows and columns of docs with repeated spans cut out of the text, and n_sentences, n_removed, removed_chars.
+    """All rows and columns of docs with repeated spans and windows cut out of the text, and n_sentences, n_removed, removed_chars.
 
     A span is run consecutive sentences, or as many more as make min_words words (near a text's end, at least min_words). Only
-    the first occurrence of a span stays, in the order of id (null last) and place. Sentences compare without case, white
-    space and marks. A text that loses nothing stays as it is; null stays null; a text may become empty. Rows equal
+    the first occurrence of a span stays, in the order of id (null last) and place. Then the same holds for every run of
+    WINDOW words of what is left. All compare without case, white space and marks. n_removed: sentences that lose something. A text that loses nothing stays as it is; null stays null; a text may become empty. Rows equal
     in id and text are one document (all keep what it keeps). An empty table gives no rows.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -77,5 +186,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = joined.withColumn("_pieces", sentences(F.col(text_col)))
     gone = F.coalesce(F.col("_places"), F.array().cast("array<int>"))
     kept = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter("_pieces", lambda s, i: ~F.array_contains(gone, i)), ""))
-    done = pieces.withColumn("_kept", kept)
-    return done.select(*[F.col("_kept").alias(c) if c == text_col else done[c] for c in docs.columns], F.size("_pieces").alias("n_sentences"), F.size(gone).alias("n_removed"), (F.coalesce(F.length(text_col), F.lit(0)) - F.coalesce(F.length("_kept"), F.lit(0))).cast("long").alias("removed_chars"))
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    spans = written(pieces.withColumn("_kept", kept).select(*[F.col("_kept").alias(c) if c == text_col else keyed[c] for c in docs.columns], "_doc", "_key", F.size("_pieces").alias("n_sentences"), F.size(gone).alias("n_removed"), size(text_col).alias("_size")), "spans-cut")
+    ranges = written(repeated_words(spans.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col(text_col).alias("text"))).withColumnsRenamed({"doc": "_d", "key": "_k", "ranges": "_ranges"}), "ranges")
+    done = spans.join(ranges, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    cut = F.col("_ranges").isNotNull()
+    done = done.withColumn("_kept", F.when(cut, _without(F.col(text_col), F.col("_ranges"))).otherwise(F.col(text_col)))
+    n_removed = F.col("n_removed") + F.when(cut, _touched(F.col(text_col), F.col("_ranges"))).otherwise(0)
+    return done.select(*[F.col("_kept").alias(c) if c == text_col else spans[c] for c in docs.columns], "n_sentences", n_removed.alias("n_removed"), (F.col("_size") - size("_kept")).cast("long").alias("removed_chars"))

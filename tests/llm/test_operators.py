@@ -138,6 +138,23 @@ def test_op4_substrings(tricky, tricky_rows, nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_op4_passages_without_two_whole_clauses(spark):
+    import random
+
+    rng = random.Random(5)
+    new = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    bare, one = " ".join(new(57)), " ".join(new(20)) + ". " + " ".join(new(20)) + ", " + " ".join(new(17))
+    a, b, c, d, loop = (" ".join(new(30)) for _ in range(5))
+    texts = [f"{a} {bare} {b}.", f"{c} {bare.title()} {d}.", f"{b} x {one} {c}.", f"{d} y {one} {a}.", f"{loop} " * 4, None, " ".join(new(40)), f"{a} {bare} {b}."]
+    rows = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    text = [r["text"] for r in rows]
+    assert text[0] == texts[0] and text[2] == texts[2] and text[5] is None and text[6] == texts[6] and text[7] == ""
+    assert text[1] == f"{c} {d}." and rows[1]["n_removed"] == 1 and rows[1]["removed_chars"] == len(bare) + 1
+    runs = lambda t: set(zip(*(t.replace(".", "").replace(",", "").split()[k:] for k in range(50)), strict=False))
+    assert not runs(text[2]) & runs(text[3]) and text[3].startswith(f"{d} y ") and text[3].endswith(f"{a}.")
+    assert 50 <= len(text[4].split()) < 120
+
+
 def test_op5_quality(tricky, tricky_rows, nothing):
     got = quality.quality(tricky)
     rows = got.collect()
