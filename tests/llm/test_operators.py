@@ -286,6 +286,19 @@ def test_op10_kneser_ney(spark, tricky, nothing):
     assert all(r["kept"] and r["threshold"] is None for r in kneser_ney.classify(tricky, labels.limit(0)).collect())
 
 
+def test_op10_thresholds_cover_long_documents(tricky, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TRAIN_CHARS", 700)
+    good = tricky.where("doc_id between 100 and 160 or doc_id = 14")
+    labels = good.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    used = (F.length("text") <= 700) & (F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(2)) == 0)
+    fitted = {r["doc_id"] for r in good.where(used).collect()}
+    rows = kneser_ney.classify(tricky, labels).collect()
+    left = {r["doc_id"]: r["perplexity"] for r in rows if r["doc_id"] is not None and (100 <= r["doc_id"] <= 160 or r["doc_id"] == 14) and r["doc_id"] not in fitted}
+    # fewer than 30 rows have no lang, and fewer than 100 rows have their largest value as the quantile
+    (threshold,) = {r["threshold"] for r in rows if r["lang"] is None}
+    assert threshold == pytest.approx(max(left.values()) * kneser_ney.ROOM)
+
+
 def test_op10_model_is_normalised(spark, tricky):
     texts = tricky.where("doc_id between 100 and 130")
     model = kneser_ney.fit(texts)
