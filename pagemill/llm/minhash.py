@@ -130,9 +130,9 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, n_perms: int = 128, bands: int = 32, threshold: float = 0.8) -> DataFrame:
     """One row (id, class_id, links) for each row of docs: class_id the smallest id reachable over verified links.
 
-    Documents that share a band of their signature are candidates; each is verified, by the exact Jaccard likeness of
-    their shingle sets, against the smallest and the largest id of the band, so a group of any size costs a number of
-    pairs linear in it. links: the verified links of the document to such representatives. Equal shingle sets are one class
+    Documents that share a band of their signature are candidates; each pair of them is verified once, by the exact Jaccard
+    likeness of their shingle sets, so a band of n distinct texts costs n * (n - 1) / 2 pairs. links: the verified links of
+    the document to other distinct texts. Equal shingle sets are one class
     (texts without words are one). Ids must be distinct; rows with a null id get a null class.
     """
     a, b = permutations(n_perms)
@@ -149,15 +149,16 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest long, bands array<long>, shingles array<long>"), "signatures")
     one = written(rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id")), "distinct")
     kept = rows.join(one, ["id", "digest"], "left_semi")
-    looks = kept.select("id", F.posexplode("bands").alias("band", "key"))
-    reps = looks.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    pairs = looks.join(reps, ["band", "key"]).select("id", F.explode(F.array("low", "high")).alias("rep")).where("id <> rep").distinct()
+    # written, so that Spark can split a frequent band of the join
+    looks = written(kept.select("id", F.posexplode("bands").alias("band", "key")), "bands")
+    other = looks.select("band", "key", F.col("id").alias("rep"))
+    pairs = looks.join(other, ["band", "key"]).where("id < rep").select("id", "rep").distinct()
     x = kept.select("id", "shingles")
     y = kept.select(F.col("id").alias("rep"), F.col("shingles").alias("other"))
     shared = F.size(F.array_intersect("shingles", "other"))
     exact = shared / (F.size("shingles") + F.size("other") - shared)
     links = written(pairs.join(x, "id").join(y, "rep").where(exact >= threshold).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
     comp = connected_components(links).select(F.col("node").alias("id"), "component")
-    number = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
+    number = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     classes = one.join(comp, "id", "left").join(number, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return rows.select("id", "digest").join(classes, "digest", "left").select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), "links")

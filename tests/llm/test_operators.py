@@ -195,6 +195,19 @@ def test_op6_near_duplicates(tricky, tricky_rows, nothing):
     assert minhash.minhash_components(nothing).count() == 0
 
 
+def test_op6_links_inside_a_band_with_unlike_ends(spark):
+    import random
+
+    rng = random.Random(9)
+    new = lambda k, n: [f"{k}{rng.randrange(10**7)}" for _ in range(n)]
+    common, base = new("c", 200), new("b", 60)
+    ends = [common + new("e", 120) for _ in range(2)]
+    inner = [common + base[:30] + [f"z{k}"] + base[31:] for k in range(4)]
+    texts = [" ".join(t) for t in (ends[0], *inner, ends[1])]
+    rows = minhash.minhash_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=128).collect()
+    assert {r["id"]: (r["class_id"], r["links"]) for r in rows} == {0: (0, 0), 1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (1, 3), 5: (5, 0)}
+
+
 def test_op7_shards(spark, tricky, tricky_rows, nothing, tmp_path):
     folder, shards = sstable.write_shards(tricky, BYTE, f"file://{tmp_path}/out")
     rows = sstable.read_shards(spark, folder, shards).orderBy("start").collect()
