@@ -127,8 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+            for key, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1), end), strict=True):
                 held.append((key, ids))
                 tokens += len(ids) // 4
                 if tokens >= batch_tokens:

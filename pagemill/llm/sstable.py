@@ -198,9 +198,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
             shards.append((name, id_of(writer.keys[0]), len(writer.keys), writer.ids))
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1), end), strict=True):
                 writer = writer or ShardWriter()
-                writer.add(key_of(key), encoder.encode(text.as_py()) + end)
+                writer.add(key_of(key), ids)
                 if writer.held >= SHARD_BYTES:
                     close()
                     writer = None

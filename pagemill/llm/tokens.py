@@ -1,11 +1,13 @@
 """Token ids and token counts of whole texts, exactly as the tokenizers library gives them.
 
 Encoding a text through the library is slow, because it tracks offsets for every character; prose repeats its words. So
-texts are cut at white space, at points where the tokenizer's own pre-tokenizer always cuts, and each distinct segment
-is encoded once per worker by the library and kept in a bounded cache.
+texts are cut into segments, at points where the tokenizer's own pre-tokenizer always cuts: before white space, and
+between a Latin letter and an ASCII mark or digit after it. The cuts of a block of texts are found in its bytes with numpy,
+Arrow numbers the distinct segments, and only those are encoded (by the library, once per worker as long as a bounded
+cache holds them); the ids of the texts are then taken by number, without a Python step for each word.
 
 Which cuts are safe is known for the two kinds of file this module takes: byte-level BPE with the GPT-2 pattern, and
-BPE with word ends that drops white space. Texts with unusual white space or the text of a special token go through the
+BPE with word ends that drops white space. Texts with unusual characters or the text of a special token go through the
 library as a whole.
 """
 
@@ -19,6 +21,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -26,23 +29,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import text_bytes
+from .words import blocks_of, text_views
 
 #: Segments that a worker keeps; when full, it starts anew.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 500_000
 #: The pre-tokenizer pattern of byte-level BPE, as in the tokenizer's public definition.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-def _one_of(*ranges: tuple[int, int], outside: bool = False) -> re.Pattern:
-    return re.compile("[" + "^" * outside + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
-
-
-#: White space on which Python and the library may differ, or that may join with what follows.
-ODD_SPACE = _one_of((0x0B, 0x0C), (0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
-#: Characters of which two regular expression libraries may know different properties; texts with one go to the library as a whole.
-OTHER = _one_of((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC), outside=True)
-SEGMENT = re.compile(r"\s*\S+|\s+")
-#: White space, a word of plain Latin letters, and the marks after it: both kinds of tokenizer cut between the three, save
-#: that byte-level BPE takes one space along with the word.
-PLAIN_SEGMENT = re.compile(r"(\s*)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+#: Segments longer than this (in characters) are encoded anew each time.
+CACHE_CHARS = 64
+#: Ranges of characters whose properties all regular expression libraries share; texts with others go to the library as a whole.
+KNOWN = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC))
+OTHER = re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in KNOWN) + "]")
+OTHER_RE2 = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in KNOWN) + "]"
+#: A word of plain Latin letters with the white space before it.
+PLAIN_SEGMENT = re.compile(r"(\s*)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -71,6 +71,38 @@ def _special(path: str) -> tuple[str, ...]:
         return tuple(t["content"] for t in json.load(f).get("added_tokens", []))
 
 
+def _bytes_in(*chars: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list("".join(chars).encode())] = True
+    return found
+
+
+SPACE = _bytes_in(" \t\n\r")
+LETTER = _bytes_in("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+MARK = np.zeros(256, bool)  # ASCII that is neither letter nor white space
+MARK[0x21:0x7F] = ~LETTER[0x21:0x7F]
+#: Second bytes of the letters from U+00C0 to U+00FF: all but the signs for times and divided by.
+LATIN_1 = np.zeros(256, bool)
+LATIN_1[0x80:0xC0] = True
+LATIN_1[[0x97, 0xB7]] = False
+
+
+def segments(data: np.ndarray, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Texts (as from text_views) as one array of segments without a copy, and each text's first segment (and the end).
+
+    A segment starts where a text does, at white space after other bytes, and at an ASCII mark or digit after a letter.
+    """
+    starts = np.zeros(len(data), bool)
+    space = SPACE[data]
+    letter = LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & LATIN_1[data[1:]]
+    starts[1:] = (space[1:] & ~space[:-1]) | (MARK[data[1:]] & letter[:-1])
+    starts[places[:-1][places[:-1] < len(data)]] = True
+    cuts = np.append(np.flatnonzero(starts), len(data)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+    return found, np.searchsorted(cuts[:-1], places)
+
+
 class SegmentEncoder(dict):
     """segment -> ids as little-endian unsigned 32-bit numbers; the library is asked for what is missing."""
 
@@ -89,32 +121,54 @@ class SegmentEncoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a pre-token of plain letters, maybe after one space."""
+        seen = word.replace(" ", ALPHABET[32]) if word.isascii() else as_bytes(word)
+        return array("I", [t.id for t in self.bpe(seen)]).tobytes()
+
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= CACHE_SEGMENTS:
-            self.clear()
         cut = PLAIN_SEGMENT.fullmatch(segment)
         if cut is None:
             ids = self.whole(segment)
-        elif cut[3]:
-            ids = self[cut[1] + cut[2]] + self[cut[3]]
-        elif cut[1] and self.drops_space:
-            ids = self[cut[2]]
-        elif cut[1] and cut[1] != " ":
+        elif self.drops_space:
+            ids = self._word(cut[2].lower())
+        elif len(cut[1]) < 2 and cut[1] in " ":
+            ids = self._word(segment)
+        else:
             # of white space before a word, the last character is apart: a space goes with the word, another stands alone
             first, last = cut[1][:-1], cut[1][-1]
-            ids = (self[first] if first else b"") + (self[" " + cut[2]] if last == " " else self[last] + self[cut[2]])
-        else:
-            ids = array("I", [t.id for t in self.bpe(as_bytes(segment.lower() if self.drops_space else segment))]).tobytes()
-        self[segment] = ids
+            ids = (self[first] if first else b"") + (self._word(" " + cut[2]) if last == " " else self[last] + self._word(cut[2]))
+        if len(segment) <= CACHE_CHARS:
+            if len(self) >= CACHE_SEGMENTS:
+                self.clear()
+            self[segment] = ids
         return ids
 
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> Iterator[bytes]:
+        """The ids of each text, with end after them; null is the empty text."""
+        for block in blocks_of(texts):
+            odd = pc.match_substring_regex(block, OTHER_RE2)
+            for s in self.special:
+                odd = pc.or_(odd, pc.match_substring(block, s))
+            found, first = segments(*text_views(block))
+            numbered = found.dictionary_encode()
+            known = [self[s] for s in numbered.dictionary.to_pylist()] if not pc.all(odd).as_py() else []
+            sizes, flat = np.fromiter(map(len, known), np.int64, len(known)), np.frombuffer(b"".join(known), np.uint8)
+            at = np.cumsum(sizes) - sizes
+            which = numbered.indices.to_numpy()
+            del found, numbered, known
+            for k, is_odd in enumerate(odd.to_pylist()):
+                if is_odd:
+                    yield self.whole(block[k].as_py()) + end
+                else:
+                    own = which[first[k] : first[k + 1]]
+                    n = sizes[own] >> 2
+                    ends = np.cumsum(n)
+                    places = np.repeat((at[own] >> 2) - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+                    yield flat.view("<u4")[places].tobytes() + end
+
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text, joined; null is the empty text."""
-        if not text:
-            return b""
-        if ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, SEGMENT.findall(text)))
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 def whole_tokens(path: str) -> dict[str, int]:
