@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ SHORT_UNIT_CHARS, SHORT_PENALTY, MIN_FACT_CHARS = 80, 0.1, 40
 SENTENCE_SPLIT = "(?U)(?<=[.!?])\\s+|\\n+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")

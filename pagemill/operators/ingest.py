@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.html import lines, parse
+from ..functions.blocks import clean_lines
+from ..functions.html import links
 
 PAGE_PATH, BOOK_PATH = "^/(\\d+)/?$", "^/book/(\\d+)/?$"
 
@@ -49,13 +50,13 @@ def toc_items(books: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for book, html in zip(b["book_id"], b["html"], strict=True):
-                for ord_, a in enumerate(e for e in parse(html).below("a") if e.fits("a.toc-item")):
-                    ids = [number(a.attrs.get(f"data-{k}")) for k in ("page-id", "parent-id", "depth")]
+                for ord_, (attrs, title) in enumerate(links(html, "a.toc-item")):
+                    ids = [number(attrs.get(f"data-{k}")) for k in ("page-id", "parent-id", "depth")]
                     if ids[0] is not None:
-                        rows.append((book, ids[0], ids[1], ids[2] or 0, ord_, lines("".join(a.texts()))))
+                        rows.append((book, ids[0], ids[1], ids[2] or 0, ord_, title))
             yield pd.DataFrame(rows, columns=["book_id", "id", "parent_id", "depth", "ord", "title"])
 
-    return books.mapInPandas(run, "book_id long, id long, parent_id long, depth int, ord int, title string").withColumn("title", normalized("title"))
+    return books.mapInPandas(run, "book_id long, id long, parent_id long, depth int, ord int, title string").withColumn("title", clean_lines(normalized("title")))
 
 
 def breadcrumbs(items: DataFrame, view: str = "pagemill_toc") -> DataFrame:

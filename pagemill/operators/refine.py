@@ -8,34 +8,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import BLOCK_FIELDS, page_blocks
+from ..functions.blocks import blocks_of, code_facts, syntax_checks
+from ..functions.html import NODE, page_nodes
 
 MIN_PAGE_CHARS, NAV_PAGE_MAX_CHARS, NAV_LINK_RATIO = 300, 800, 0.1
 # Titles of pages before and after a book's matter, and numbering in front of titles.
 FRONT_BACK_MATTER = "(?i)^(?:머리말|서문|들어가며|들어가는 ?글|저자 ?소개|지은이 ?소개|마치며|맺음말|나가며|감사의 ?글|참고 ?문헌|책 ?구입|구입 ?안내|(?:주요 ?)?변경 ?이력|정답|해답|연습 ?문제)|^(?:preface|acknowledgements?|references|bibliography|exercises?|answers?|solutions?)$"
 TITLE_NUMBERING = "^\\s*(?:제?\\s*\\d+\\s*장|\\d+(?:[-.]\\d+)*[.)]?)\\s*"
-CODE_FIELDS = "array<struct<path:string,type:string,lang:string,code:string,kind:string,syntax_ok:boolean,issue:string,marked:boolean,error:string,pairs:string>>"
 
 
 def parsed_pages(pages: DataFrame, selector: str = "div.page-content", tree_mode: str = "htmlparser", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, status, chars, link_chars, blocks) for each page, in one pass without a shuffle.
+    """(page_id, status, chars, link_chars, blocks) for each page, without a shuffle.
 
-    selector: the element that holds a page's body; a page without one has status "no body" and no blocks. tree_mode
-    "htmlparser" nests unclosed paragraphs, "html5" closes them at the next block.
+    selector: the element that holds a page's body; a page without one (a null page among them) has status "no body" and no
+    blocks. tree_mode "htmlparser" nests unclosed paragraphs, "html5" closes them at the next block. Python follows the tags
+    and reads Python code; the rest are Column expressions on the nodes.
     """
-    schema = f"page_id long, status string, chars long, link_chars long, blocks array<struct<{', '.join(':'.join(f.split(' ', 1)) for f in BLOCK_FIELDS.split(', '))}>>"
-    names = ["page_id", "status", "chars", "link_chars", "blocks"]
+    names = ["page_id", "status", "chars", "link_chars", "nodes"]
+    schema = f"page_id long, status string, chars long, link_chars long, nodes array<{NODE}>"
+    text, strings = pa.string(), pa.list_(pa.string())
+    line = pa.struct([("depth", pa.int32()), ("mark", text), ("text", text), ("lang", text), ("code", text)])
+    node = pa.struct([("op", text), ("tag", text), ("text", text), ("bold", pa.bool_()), ("anchor", text), ("lang", text), ("th", pa.bool_()), ("cells", pa.list_(strings)), ("lines", pa.list_(line))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = pa.string()
-        kinds = {"string": text, "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(text), "array<array<string>>": pa.list_(pa.list_(text))}
-        block = pa.struct([(n, kinds[k]) for n, k in (f.split(" ", 1) for f in BLOCK_FIELDS.split(", "))])
         for b in batches:
-            found = [page_blocks(h, selector, tree_mode == "html5") for h in b.column(1).to_pylist()]
-            columns = [pa.array([f[n] for f in found], t) for n, t in zip(names[1:], (text, pa.int64(), pa.int64(), pa.list_(block)), strict=True)]
+            found = [page_nodes(h, selector, tree_mode == "html5") for h in b.column(1).to_pylist()]
+            columns = [pa.array([f[n] for f in found], t) for n, t in zip(names[1:], (text, pa.int64(), pa.int64(), pa.list_(node)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
 
-    return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(run, schema)
+    nodes = pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(run, schema)
+    told = nodes.withColumn("facts", F.transform("nodes", lambda n: F.when(n["tag"] == "pre", code_facts(n["lang"], n["text"]))))
+    checked = told.withColumn("syntax", syntax_checks(F.transform("facts", lambda f: f["check"])))
+    return checked.select("page_id", "status", "chars", "link_chars", blocks_of(F.col("nodes"), F.col("facts"), F.col("syntax")).alias("blocks"))
 
 
 def block_rows(parsed: DataFrame) -> DataFrame:
@@ -71,5 +75,5 @@ def refine(pages: DataFrame, parsed: DataFrame, base_url: str = "", **rules: Seq
 def code_rows(chunks: DataFrame) -> DataFrame:
     """The chunks' code, a row each, with ids {chunk}#b{place}, {chunk}#b{box}.{place} inside boxes."""
     blocks = chunks.select("chunk_id", "page_id", "book_id", F.posexplode("blocks").alias("pos", "b")).where("b.codes is not null")
-    codes = blocks.select("chunk_id", "page_id", "book_id", "pos", F.posexplode(F.from_json("b.codes", CODE_FIELDS)).alias("n", "c"))
+    codes = blocks.select("chunk_id", "page_id", "book_id", "pos", F.posexplode("b.codes").alias("n", "c"))
     return codes.select(F.concat("chunk_id", F.lit("#b"), "c.path").alias("code_id"), "chunk_id", "page_id", "book_id", "pos", "n", *[f"c.{n}" for n in ("type", "lang", "code", "kind", "syntax_ok", "issue", "marked", "error", "pairs")])

@@ -6,10 +6,12 @@ handled within its row and pages never meet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 EXPLAIN = ["paragraph", "note", "key_point", "caption", "concept_box"]
 ATTACH = ["code", "code_example", "table"]
@@ -33,6 +35,19 @@ def sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.coalesce(text, F.lit(""))).withColumn("section_anchor", anchor["anchor"])
 
 
+def section_array(blocks: Column) -> Column:
+    """Of each block of an array its section and section_anchor, as in `sections`, within the row."""
+    state = F.struct(F.lit("").alias("section"), F.lit(None).cast("string").alias("anchor"), F.array().cast("array<struct<section:string,anchor:string>>").alias("out"))
+
+    def step(a: Column, b: Column) -> Column:
+        heads = F.coalesce((b["type"] == "heading") & b["level"].isin(2, 3), F.lit(False))
+        section = F.when(heads | (b["type"] == "subheading"), F.coalesce(b["text"], a["section"])).otherwise(a["section"])
+        anchor = F.when(heads, b["anchor"]).otherwise(a["anchor"])
+        return F.struct(section.alias("section"), anchor.alias("anchor"), F.array_append(a["out"], F.struct(section.alias("section"), anchor.alias("anchor"))).alias("out"))
+
+    return F.aggregate(blocks, state, step, lambda a: a["out"])
+
+
 def _extend(ranges: Column, end: Column) -> Column:
     """The last range, with a new end."""
     last = F.element_at(ranges, -1)
@@ -79,25 +94,30 @@ def merged(found: Column, lengths: Column, places: Column) -> Column:
     """Ranges grown to TARGET_CHARS by their neighbours, and short ones joined to the range before, up to MAX_CHARS.
 
     lengths: of each block's text (0 if blank); places: anything that is equal for blocks of one section. Only ranges
-    that touch, of one section, merge.
+    that touch, of one section, merge. A range's length (its texts with a line end between each two) comes from sums over
+    the blocks before its ends, taken once.
     """
+    upto = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x + (x > 0).cast("int")))
+
+    def joined(sums: Column) -> Column:
+        # each text counts with the line end after it; the last has none
+        length = lambda s, e: F.greatest(F.get(sums, e) - F.get(sums, s) - 1, F.lit(0))
 
-    def length(s: Column, e: Column) -> Column:
-        part = F.filter(F.slice(lengths, s + 1, e - s), lambda x: x > 0)
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x) + F.greatest(F.size(part) - 1, F.lit(0))
+        def grow(first: bool) -> Callable[[Column, Column], Column]:
+            def step(a: Column, cur: Column) -> Column:
+                touch = (a["e"] == cur["s"]) & F.get(places, a["s"]).eqNullSafe(F.get(places, cur["s"]))
+                short = length(a["s"], a["e"]) < TARGET_CHARS if first else length(cur["s"], cur["e"]) < TAIL_CHARS
+                joins = (a["s"] >= 0) & touch & short & (length(a["s"], cur["e"]) <= MAX_CHARS)
+                done = F.when(joins | (a["s"] < 0), a["done"]).otherwise(_added(a["done"], a["s"], a["e"]))
+                return F.struct(done.alias("done"), F.when(joins, a["s"]).otherwise(cur["s"]).alias("s"), cur["e"].alias("e"))
 
-    def grow(must: str) -> Column:
-        def step(acc: Column, cur: Column) -> Column:
-            last = F.try_element_at(acc, F.lit(-1))
-            touch = (last["e"] == cur["s"]) & F.get(places, last["s"]).eqNullSafe(F.get(places, cur["s"]))
-            short = length(last["s"], last["e"]) < TARGET_CHARS if must == "first" else length(cur["s"], cur["e"]) < TAIL_CHARS
-            joins = F.coalesce(touch & short & (length(last["s"], cur["e"]) <= MAX_CHARS), F.lit(False)) & (F.size(acc) > 0)
-            return F.when(joins, _extend(acc, cur["e"])).otherwise(F.concat(acc, F.array(cur)))
+            return step
 
-        return step
+        zero = F.struct(F.array().cast(_RANGES).alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+        end = lambda a: F.when(a["s"] < 0, a["done"]).otherwise(_added(a["done"], a["s"], a["e"]))
+        return F.aggregate(F.aggregate(found, zero, grow(True), end), zero, grow(False), end)
 
-    once = F.aggregate(found, F.array().cast(_RANGES), grow("first"))
-    return F.aggregate(once, F.array().cast(_RANGES), grow("tail"))
+    return let(upto, joined)
 
 
 def build_units(chunks: DataFrame) -> DataFrame:
@@ -105,37 +125,48 @@ def build_units(chunks: DataFrame) -> DataFrame:
 
     A unit shorter than MIN_UNIT_CHARS, its code included, is dropped; text is without code and image marks (so it may
     be empty), embed_text has all. Units without a section are named by the page; several of a page are numbered.
+    Everything happens in the page's row; nothing is shuffled.
     """
     head = ["chunk_id", "page_id", "book_id", "path", "source_url"]
-    rows = chunks.select(*head, "page_title", F.posexplode_outer("blocks").alias("pos", "b")).where("b is not null")
-    rows = sections(rows.select(*head, "page_title", "pos", "b.type", "b.level", "b.text", "b.anchor", "b.render", "b.embed", "b.code_paths"))
-    block = F.struct("pos", "type", strip(F.coalesce("render", F.lit(""))).alias("render"), F.coalesce("embed", F.lit("")).alias("embed"), "code_paths", "section", "section_anchor")
     title = F.coalesce(F.when(F.length("page_title") > 0, F.col("page_title")), F.try_element_at("path", F.lit(-1)), F.lit(""))
-    page = rows.groupBy(*head, title.alias("title")).agg(F.array_sort(F.collect_list(block)).alias("b"))
-    page = page.withColumn("ranges", ranges(F.transform("b", lambda x: x["type"])))
-    page = page.withColumn("lengths", F.transform("b", lambda x: F.length(x["render"]))).withColumn("places", F.transform("b", lambda x: F.struct(x["section"], x["section_anchor"])))
-    page = page.withColumn("ranges", F.array_sort(merged(F.array_sort("ranges"), F.col("lengths"), F.col("places"))))
-    unit = page.select(*head, "title", "b", F.explode_outer("ranges").alias("r")).where("r is not null")
-    chosen = F.slice("b", F.col("r.s") + 1, F.col("r.e") - F.col("r.s"))
-    unit = unit.select(*head, "title", F.col("r.s").alias("block_start"), F.col("r.e").alias("block_end"), chosen.alias("c"))
-    not_blank = lambda key: F.filter(F.transform("c", lambda x: x[key]), lambda t: F.length(t) > 0)
-    unit = unit.withColumn("raw", F.array_join(not_blank("render"), "\n")).withColumn("full", strip(F.regexp_replace("raw", IMAGE_MARK, ""))).where(F.length("full") >= MIN_UNIT_CHARS)
+
+    def found(b: Column) -> Column:
+        lengths = F.transform(b, lambda x: F.length(x["render"]))
+        return merged(F.array_sort(ranges(F.transform(b, lambda x: x["type"]))), lengths, F.transform(b, lambda x: F.struct(x["section"], x["anchor"])))
+
+    def unit(b: Column, r: Column) -> Column:
+        chosen = F.slice(b, r["s"] + 1, r["e"] - r["s"])
+        not_blank = lambda c, key: F.array_join(F.filter(F.transform(c, lambda x: x[key]), lambda t: F.length(t) > 0), "\n")
+        return let(chosen, lambda c: F.struct(
+            r["s"].alias("block_start"), r["e"].alias("block_end"), not_blank(c, "render").alias("raw"), not_blank(c, "embed").alias("embed"),
+            F.get(c, F.lit(0))["section"].alias("section"), F.get(c, F.lit(0))["anchor"].alias("anchor"), F.flatten(F.transform(c, lambda x: x["code_paths"])).alias("codes"),
+        ))
+
+    def units_of(b: Column) -> Column:
+        """Units with their text, numbered among those without a section."""
+        all_ = F.transform(found(b), lambda r: let(unit(b, r), lambda u: u.withField("full", strip(F.regexp_replace(u["raw"], IMAGE_MARK, "")))))
+        long = F.filter(all_, lambda u: F.length(u["full"]) >= MIN_UNIT_CHARS)
+        bare = lambda us: F.size(F.filter(us, lambda u: F.length(u["section"]) == 0))
+        return let(long, lambda us: F.transform(us, lambda u, i: F.struct(u.alias("u"), bare(us).alias("n"), bare(F.slice(us, 1, i + 1)).alias("nth"))))
+
+    def readied(s: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.transform("blocks", lambda x, i: F.struct(
+            x["type"].alias("type"), strip(F.coalesce(x["render"], F.lit(""))).alias("render"), F.coalesce(x["embed"], F.lit("")).alias("embed"),
+            F.coalesce(F.transform(x["codes"], lambda c: c["path"]), none).alias("code_paths"), F.get(s, i)["section"].alias("section"), F.get(s, i)["anchor"].alias("anchor"),
+        ))
+
+    units = let(let(section_array(F.col("blocks")), readied), units_of)
+    rows = chunks.select(*head, title.alias("title"), F.explode_outer(units).alias("x")).where("x is not null").select(*head, "title", "x.u.*", "x.n", "x.nth")
     text = strip(F.regexp_replace(F.regexp_replace("full", FENCED_CODE, ""), "\\n{3,}", "\n\n"))
-    section = F.get("c", F.lit(0))["section"]
-    anchor = F.get("c", F.lit(0))["section_anchor"]
-    unit = unit.withColumn("text", text).withColumn("own_section", section)
-    named = F.when((F.length("own_section") > 0) & (F.col("own_section") != F.col("title")), F.concat(F.lit("["), "title", F.lit("] "), "own_section")).otherwise(F.concat(F.lit("["), "title", F.lit("]")))
-    unit = unit.withColumn("embed_text", strip(F.concat(named, F.lit("\n"), F.array_join(not_blank("embed"), "\n"))))
-    unit = unit.withColumn("fallback", F.length("own_section") == 0)
-    of_page = Window.partitionBy("chunk_id")
-    n_fallback = F.sum(F.col("fallback").cast("int")).over(of_page)
-    nth = F.sum(F.col("fallback").cast("int")).over(of_page.orderBy("block_start"))
-    shown = F.when(~F.col("fallback"), F.col("own_section")).when(n_fallback > 1, F.concat("title", F.lit(" - "), nth)).otherwise(F.col("title"))
-    url = F.when(F.length(anchor) > 0, F.concat(F.substring_index("source_url", "#", 1), F.lit("#"), anchor)).otherwise(F.col("source_url"))
-    codes = F.transform(F.flatten(F.transform("c", lambda x: x["code_paths"])), lambda p: F.concat("chunk_id", F.lit("#b"), p))
-    return unit.select(
-        F.concat("chunk_id", F.lit("#b"), F.when(F.col("block_start") < 1000, F.lpad(F.col("block_start").cast("string"), 3, "0")).otherwise(F.col("block_start").cast("string"))).alias("unit_id"),
-        "chunk_id", "page_id", "book_id", "path", shown.alias("section"), "fallback", url.alias("url"), "text", codes.alias("code_ids"),
+    named = F.when((F.length("section") > 0) & (F.col("section") != F.col("title")), F.concat(F.lit("["), "title", F.lit("] "), "section")).otherwise(F.concat(F.lit("["), "title", F.lit("]")))
+    rows = rows.withColumn("text", text).withColumn("embed_text", strip(F.concat(named, F.lit("\n"), "embed"))).withColumn("fallback", F.length("section") == 0)
+    shown = F.when(~F.col("fallback"), F.col("section")).when(F.col("n") > 1, F.concat("title", F.lit(" - "), "nth")).otherwise(F.col("title"))
+    url = F.when(F.length("anchor") > 0, F.concat(F.substring_index("source_url", "#", 1), F.lit("#"), "anchor")).otherwise(F.col("source_url"))
+    start = F.col("block_start").cast("string")
+    return rows.select(
+        F.concat("chunk_id", F.lit("#b"), F.when(F.col("block_start") < 1000, F.lpad(start, 3, "0")).otherwise(start)).alias("unit_id"),
+        "chunk_id", "page_id", "book_id", "path", shown.alias("section"), "fallback", url.alias("url"), "text", F.transform("codes", lambda p: F.concat("chunk_id", F.lit("#b"), p)).alias("code_ids"),
         F.contains("full", F.lit("```")).alias("has_code"), F.col("raw").rlike(IMAGE_MARK).alias("has_image"), F.col("text").rlike(FIGURE_REF).alias("figure_ref"),
         "block_start", "block_end", "embed_text", F.sha2("embed_text", 256).alias("embed_hash"),
     )
