@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable
@@ -46,6 +47,63 @@ def retried(call: Callable[[], str], tries: int = 3, longest: float = 30.0, slee
     raise AssertionError
 
 
+def guarded(chat: Callable[[str, str], str], retries: int, most_errors: int) -> Callable[[str, str], tuple[str | None, str | None, int]]:
+    """ask(system, user) -> (reply, error, calls). A failed call is repeated up to retries times; after most_errors provider
+    errors in a row nothing is called any more. A reply that cannot be read (ValueError) shows that the provider answers."""
+    streak = 0
+
+    def ask(system: str, user: str) -> tuple[str | None, str | None, int]:
+        nonlocal streak
+        error = "stopped"
+        for n in range(retries + 1):
+            if streak >= most_errors:
+                return None, error, n
+            try:
+                reply = chat(system, user)
+                streak = 0
+                return reply, None, n + 1
+            except ValueError as e:
+                streak, error = 0, f"ValueError: {e}"[:400]
+            except Exception as e:
+                streak, error = streak + 1, f"{type(e).__name__}: {e}"[:400]
+        return None, error, retries + 1
+
+    return ask
+
+
+def again_on_schema_errors(call: Callable[[], str], tries: int = 2) -> str:
+    """Calls again only after errors of code "schema" (a reply that the provider's own check refused)."""
+    for n in range(tries):
+        try:
+            return call()
+        except ProviderError as e:
+            if e.code != "schema" or n == tries - 1:
+                raise
+    raise AssertionError
+
+
+def structured(request: dict, schema: dict, mode: str) -> dict:
+    """A chat request that asks for JSON of a schema, in the way a provider takes it.
+
+    strict and json_schema: as a response format; guided: as an extension; format: as a field of its own; prompt: as a system
+    message, for models that know none of these.
+    """
+    if mode in ("strict", "json_schema"):
+        return request | {"response_format": {"type": "json_schema", "json_schema": {"name": "reply", "schema": schema, **({"strict": True} if mode == "strict" else {})}}}
+    if mode == "guided":
+        return request | {"nvext": {"guided_json": schema}}
+    if mode == "format":
+        return request | {"format": schema}
+    if mode == "prompt":
+        return request | {"messages": with_schema_prompt(request["messages"], json.dumps(schema, ensure_ascii=False))}
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def said(reply: str, finish: str | None = None) -> tuple[str, bool]:
+    """(text without its thinking part, whether it was cut at the length limit)."""
+    return re.sub(r"(?s)<think>.*?</think>", "", reply).strip(), finish == "length"
+
+
 class ProviderError(Exception):
     def __init__(self, message: str, code: str = "api", retry: bool = False, after: float | None = None):
         super().__init__(message)

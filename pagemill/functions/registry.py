@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 SQL_FUNCTIONS = {
     "squash": ("s STRING", "STRING", r"regexp_replace(regexp_replace(translate(s, '‘’“”', '\'\'\"\"'), '(?U)\\s+', ''), '[.!?]+$', '')"),
     "cosine_distance": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "1 - aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / sqrt(aggregate(a, 0D, (s, x) -> s + x * x) * aggregate(b, 0D, (s, x) -> s + x * x))"),
-    "short_penalty": ("s STRING", "DOUBLE", "0.1D * greatest(0D, 1 - length(trim(s)) / 80)"),
+    "short_penalty": ("s STRING", "DOUBLE", r"0.1D * greatest(0D, 1 - length(regexp_replace(s, '(?U)^\\s+|\\s+$', '')) / 80)"),
 }
 
 

@@ -146,7 +146,7 @@ def unfit_reason(text: Column, has_code: Column, patterns: dict[str, str] | None
     sentences = sentence_list(text)
     kind = lambda s: F.coalesce(*[F.when(s.rlike(f"(?U){p}"), F.lit(k)) for k, p in enumerate(patterns.values())], F.lit(-1))
     kinds = F.transform(sentences, kind)
-    clean_definition = F.exists(F.slice(sentences, 2, 1_000_000), lambda s: s.rlike(f"(?U){definition}") & (kind(s) < 0))
+    clean_definition = F.exists(F.slice(sentences, F.lit(2), F.greatest(F.size(sentences), F.lit(1))), lambda s: s.rlike(f"(?U){definition}") & (kind(s) < 0))
     first = F.get(sentences, F.lit(0))
     opening = F.coalesce(*[F.when(first.rlike(f"(?U){patterns[n]}"), F.lit(f"{n}(첫 문장)")) for n in names[:2]])
     facts = F.aggregate(F.filter(sentences, lambda s: kind(s) < 0), F.lit(0), lambda a, s: a + F.length(s))

@@ -18,9 +18,11 @@ from ..functions.text import concept_tokens, short_penalty
 FETCH_LIMIT, MAX_DISTANCE, DISTANCE_MARGIN = 300, 0.45, 0.15
 #: Vectors, and queries, that meet as one matrix product.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+#: Queries whose best rows a task holds before it gives them out.
+KEPT_QUERIES = 4096
 
 
-def _blocks(rows: DataFrame, size: int, names: tuple[str, str], extra: str | None = None) -> DataFrame:
+def blocks(rows: DataFrame, size: int, names: tuple[str, str], extra: str | None = None) -> DataFrame:
     """(id, vector) rows as rows of `size` ids and their vectors end to end, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,24 +36,45 @@ def _blocks(rows: DataFrame, size: int, names: tuple[str, str], extra: str | Non
     return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} array<double>")
 
 
+def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, cosine distances, vector ids) of each pair of blocks."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for b in batches:
+        for k in range(b.num_rows):
+            qids, ids = (np.array(b.column(c)[k].as_py(), np.int64) for c in (0, 2))
+            a, m = (unit(np.asarray(b.column(c)[k].values, np.float64).reshape(len(x), -1)) for c, x in ((1, qids), (3, ids)))
+            yield qids, 1 - a @ m.T, ids
+
+
 def top_n(queries: DataFrame, vectors: DataFrame, n: int = FETCH_LIMIT) -> DataFrame:
     """queries (qid, vector), vectors (id, vector) of one length -> (qid, id, distance), the n nearest of each query.
 
     Distance is 1 - cosine; equal distances in the order of id. Queries and vectors meet in blocks, as matrix products;
-    a pair of blocks keeps n rows of each query, and a ranking over those gives the result. Null vectors are left out.
+    a task keeps n rows of each query, and a ranking over those gives the result. Null vectors are left out.
     """
-    q = _blocks(queries.where("vector is not null").select(F.col("qid").cast("long"), "vector"), QUERY_BLOCK, ("qids", "q"))
-    v = _blocks(vectors.where("vector is not null").select(F.col("id").cast("long"), "vector"), VECTOR_BLOCK, ("ids", "v"))
+    q = blocks(queries.where("vector is not null").select(F.col("qid").cast("long"), "vector"), QUERY_BLOCK, ("qids", "q"))
+    v = blocks(vectors.where("vector is not null").select(F.col("id").cast("long"), "vector"), VECTOR_BLOCK, ("ids", "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        for b in batches:
-            for k in range(b.num_rows):
-                qids, ids = (np.array(b.column(c)[k].as_py(), np.int64) for c in (0, 2))
-                a, m = (unit(np.asarray(b.column(c)[k].values, np.float64).reshape(len(x), -1)) for c, x in ((1, qids), (3, ids)))
-                far = 1 - a @ m.T
-                best = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(far, best, 1).ravel())], names=["qid", "id", "distance"])
+        # of each query the best so far in this task, so that few rows leave it however many blocks it meets
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def given() -> pa.RecordBatch:
+            sizes = [len(d) for d, _ in best.values()]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), sizes)), pa.array(np.concatenate([i for _, i in best.values()])), pa.array(np.concatenate([d for d, _ in best.values()]))], names=["qid", "id", "distance"])
+
+        for qids, far, ids in distances(batches):
+            if len(best) > KEPT_QUERIES:
+                yield given()
+                best = {}
+            for row, qid in enumerate(qids.tolist()):
+                d, i = far[row], ids
+                if qid in best:
+                    d, i = np.concatenate((best[qid][0], d)), np.concatenate((best[qid][1], i))
+                order = np.lexsort((i, d))[:n]
+                best[qid] = d[order], i[order]
+        if best:
+            yield given()
 
     near = v.crossJoin(q).select("qids", "q", "ids", "v").mapInArrow(run, "qid long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
@@ -108,8 +131,8 @@ def find(queries: DataFrame, vectors: DataFrame, units: DataFrame, n: int = FETC
     return ranked(hits if fit is None else hits.where(fit.isNull()))
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, units: DataFrame, k: int = 5, **options) -> DataFrame:
-    return numbered(margin_cut(find(queries, vectors, units, **options)), k)
+def retrieve(queries: DataFrame, vectors: DataFrame, units: DataFrame, k: int = 5, max_distance: float = MAX_DISTANCE, margin: float = DISTANCE_MARGIN, **options) -> DataFrame:
+    return numbered(margin_cut(find(queries, vectors, units, **options), max_distance, margin), k)
 
 
 def in_page(queries: DataFrame, units: DataFrame) -> DataFrame:
@@ -140,3 +163,10 @@ def page_context(texts: Column, start: Column, end: Column, limit: int = 4000, m
     cut = lambda when, text: F.when(when, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
     shown = F.concat(cut(w["a"] > 0, "...(앞부분 생략)"), around(w["a"], start), F.array(F.lit(mark)), around(end, w["b"]), cut(w["b"] < n, "...(뒷부분 생략)"))
     return F.array_join(shown, "\n")
+
+
+def listing(hits: DataFrame, n: int = 5, chars: int = 80) -> DataFrame:
+    """The first n ranked hits of each query as lines to look at: place, distance, where it stands, and the start of its text."""
+    start = F.substring(F.trim(F.regexp_replace("text", "(?U)\\s+", " ")), 1, chars)
+    line = F.format_string("%2d. %.3f %s | %s", F.col("no"), F.col("distance"), F.array_join("path", " > "), start)
+    return numbered(hits, n).select("qid", "no", line.alias("line"))

@@ -35,6 +35,13 @@ def sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.coalesce(text, F.lit(""))).withColumn("section_anchor", anchor["anchor"])
 
 
+def runs(rows: DataFrame, by: str, order: str, kind: str) -> DataFrame:
+    """rows with run: the number of the run of equal kinds that a row is in, in the order of a column within by."""
+    before = Window.partitionBy(by).orderBy(order)
+    fresh = F.coalesce(~F.lag(kind).over(before).eqNullSafe(F.col(kind)) | F.lag(F.lit(1)).over(before).isNull(), F.lit(True)).cast("long")
+    return rows.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(before.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
 def section_array(blocks: Column) -> Column:
     """Of each block of an array its section and section_anchor, as in `sections`, within the row."""
     state = F.struct(F.lit("").alias("section"), F.lit(None).cast("string").alias("anchor"), F.array().cast("array<struct<section:string,anchor:string>>").alias("out"))

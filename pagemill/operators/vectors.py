@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import QUERY_BLOCK, VECTOR_BLOCK, blocks, distances
+
 SNIPPET_CHARS, LABEL_CHARS = 160, 30
 
 
@@ -48,6 +54,53 @@ def similarity(some: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (dot(F.col("va"), F.col("vb")) / (norm(F.col("va")) * norm(F.col("vb")))).alias("cosine"))
 
 
+def spread(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """queries (qid, vector), vectors (id, vector) -> for each query the number, minimum, mean and maximum of its cosines to all
+    vectors of other ids.
+
+    Queries and vectors meet in blocks, as matrix products; a pair of blocks gives one row a query. Null vectors are left out.
+    """
+    q = blocks(queries.where("vector is not null").select(F.col("qid").cast("long"), "vector"), QUERY_BLOCK, ("qids", "q"))
+    v = blocks(vectors.where("vector is not null").select(F.col("id").cast("long"), "vector"), VECTOR_BLOCK, ("ids", "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qids, far, ids in distances(batches):
+            other = qids[:, None] != ids[None, :]
+            near = np.where(other, 1 - far, np.nan)
+            n = other.sum(axis=1)
+            some = n > 0
+            near, qids, n = near[some], qids[some], n[some]
+            yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(n), pa.array(np.nanmin(near, axis=1)), pa.array(np.nansum(near, axis=1)), pa.array(np.nanmax(near, axis=1))] if len(qids) else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())], names=["qid", "n", "least", "total", "most"])
+
+    met = v.crossJoin(q).select("qids", "q", "ids", "v").mapInArrow(run, "qid long, n long, least double, total double, most double")
+    return met.groupBy("qid").agg(F.sum("n").alias("n"), F.min("least").alias("least"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most"))
+
+
+def centres(vectors: DataFrame, label: str) -> DataFrame:
+    """vectors (label, v) -> for each label the number of its vectors and their mean."""
+    long = vectors.select(label, F.posexplode("v").alias("i", "x"))
+    mean = long.groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
+    return mean.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
+
+
+def heatmap(vectors: DataFrame, first: int = 32) -> DataFrame:
+    """The dimensions of largest variance as rows (dim, variance, place, bound), places up to first; bound: the 99th percentile of
+    all absolute values, where a colour scale ends."""
+    top = dimensions(vectors).where(F.col("place") <= first)
+    bound = vectors.select(F.explode("v").alias("x")).agg(F.percentile(F.abs(F.col("x").cast("double")), 0.99).alias("bound")).first()["bound"]
+    return top.withColumn("bound", F.lit(bound).cast("double"))
+
+
+def row_label(text: Column, chars: int = LABEL_CHARS) -> Column:
+    """A short label of a row: the start of its text, on one line."""
+    return snippet(text, chars)
+
+
+def colour_label(path: Column) -> Column:
+    """What points are coloured by: the chapter, which is the first part of the path."""
+    return F.coalesce(F.get(F.split(path, " > "), F.lit(0)), F.lit(""))
+
+
 def plane(vectors: DataFrame, k: int = 2) -> DataFrame:
     """vectors (id, v) with coords: the first k principal components, after centering. Signs are free."""
     centre = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m"))

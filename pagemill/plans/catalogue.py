@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, index, ingest, quiz, refine, retrieval, units, vectors
+from ..operators import evaluation, evidence, index, ingest, quiz, refine, retrieval, units, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,6 +50,14 @@ def _nearest(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return retrieval.top_n(q, v, n)
 
 
+def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries (qid, concept, vector), vectors, and units: a label stands for a book, whose name has one length."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.format_string("book%06d", F.col("label").cast("int")).alias("book"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    units_ = docs.join(rows.select("id", F.array("book").alias("path")), "id")
+    return rows.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("book").alias("concept"), "vector"), rows.select("id", "vector"), units_
+
+
 def _hits(spark: SparkSession, sf_dir: str, n: int = retrieval.FETCH_LIMIT) -> DataFrame:
     """Scored hits on documents, with the labels of query and hit."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
@@ -72,9 +80,8 @@ cut AS (
 
 @query(HITS_SQL + "SELECT qid, no, id, round(distance, 6) AS distance, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS no FROM cut) WHERE no <= 5")
 def retrieve_sources(spark, sf_dir):
-    hits = retrieval.ranked(retrieval.page_gate(_hits(spark, sf_dir), F.col("label") == F.col("q_label")))
-    cut = retrieval.margin_cut(hits, max_distance=0.9, margin=0.85)
-    return retrieval.numbered(cut, 5).select("qid", F.col("no").cast("long").alias("no"), "id", F.round("distance", 6).alias("distance"), "score")
+    found = retrieval.retrieve(*_books(spark, sf_dir), 5, max_distance=0.9, margin=0.85)
+    return found.select("qid", F.col("no").cast("long").alias("no"), "id", F.round("distance", 6).alias("distance"), "score")
 
 
 @query(Q_SQL.format(n=10) + "SELECT qid, id, nearness, round(distance, 6) AS distance FROM top")
@@ -104,7 +111,7 @@ FROM own o JOIN top t USING (qid) GROUP BY ALL""")
 def book_filter_check(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("book_id"))
     cases = v.where("id % 50 = 0").select("id", "book_id")
-    found = cases.join(v.select(F.col("id").alias("unit"), "book_id"), "book_id").select("id", "book_id")
+    found = cases.join(v.select("book_id").distinct(), "book_id").select("id", "book_id")
     free = _nearest(spark, sf_dir, 5).withColumn("nearness", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     free = free.join(v.select("id", "book_id"), "id").select(F.col("qid").alias("id"), "nearness", "book_id")
     rows = evaluation.filter_check(cases, found, free)
@@ -153,35 +160,35 @@ _SQUASH = "regexp_replace(regexp_replace(translate({c}, '‘’“”', '''''\"\
 
 
 @query(f"""
-WITH s AS (SELECT DISTINCT doc_id, {_SQUASH.format(c='unnest(sents)')} AS k FROM (SELECT doc_id, {_SENTENCES} AS sents FROM documents)),
-b AS (SELECT item_id, text, {_SQUASH.format(c='unnest(sents)')} AS k FROM (SELECT item_id, text, {_SENTENCES} AS sents FROM benchmark))
-SELECT DISTINCT item_id, doc_id FROM b JOIN s USING (k) JOIN documents d USING (doc_id)
-WHERE length(k) >= 8 AND contains({_SQUASH.format(c='d.text')}, {_SQUASH.format(c='b.text')})""")
+WITH d AS (SELECT doc_id, {_SQUASH.format(c='text')} AS s FROM documents), b AS (SELECT item_id, {_SQUASH.format(c='text')} AS k FROM benchmark)
+SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(s, k) WHERE length(k) > 0""")
 def evidence_in_documents(spark, sf_dir):
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    keys = lambda df, i: df.select(i, F.explode_outer(T.sentence_list(F.col("text"))).alias("s")).select(i, T.squash(F.col("s")).alias("k")).where(F.length("k") >= 8).distinct()
-    pairs = keys(items, "item_id").join(keys(docs, "doc_id"), "k").select("item_id", "doc_id").distinct()
-    pairs = pairs.join(items.select("item_id", T.squash(F.col("text")).alias("item")), "item_id").join(docs.select("doc_id", T.squash(F.col("text")).alias("whole")), "doc_id")
-    return pairs.where(F.contains("whole", F.col("item"))).select("item_id", "doc_id")
+    return evidence.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT doc_id, unnest(sents) AS s, generate_subscripts(sents, 1) - 1 AS no FROM (SELECT doc_id, {_SENTENCES} AS sents FROM documents)),
+a AS (SELECT *, regexp_extract(s, '[A-Za-z]{{4,}}', 0) AS a FROM s),
+m AS (SELECT *, CASE WHEN a = '' THEN s ELSE regexp_replace(regexp_replace(s, '(^|[^A-Za-z0-9_])' || a || '($|[^A-Za-z0-9_])', '\\1____\\2', 'g'), '(^|[^A-Za-z0-9_])' || a || '($|[^A-Za-z0-9_])', '\\1____\\2', 'g') END AS m FROM a),
+q AS (SELECT *, CASE WHEN contains(m, '____') THEN m ELSE left(s, instr(s, a) - 1) || '____' || substr(s, instr(s, a) + length(a)) END AS q,
+  CASE WHEN a = '' THEN '정답이 비어 있음' WHEN length(a) > 30 THEN '정답이 너무 김(' || length(a) || '자)' WHEN {_SQUASH.format(c='a')} = {_SQUASH.format(c='s')} THEN '정답이 문장 전체' END AS error FROM m)
+SELECT doc_id, no, CASE WHEN error IS NULL THEN q END AS question, CASE WHEN error IS NULL THEN (length(q) - length(replace(q, '____', ''))) // 4 END AS blanks, error FROM q""")
 def blank_out_mask(spark, sf_dir):
-    first = F.get(T.sentence_list(F.col("text")), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", first.alias("s")).where("s is not null")
+    """Every sentence with its first word of four Latin letters masked."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.sentence_list(F.col("text"))).alias("no", "s")).where("s is not null")
     answer = F.regexp_extract("s", "[A-Za-z]{4,}", 0)
-    return rows.select("doc_id", T.make_question(F.col("s"), answer).alias("q")).select("doc_id", "q.*")
+    return rows.select("doc_id", F.col("no").cast("long").alias("no"), T.make_question(F.col("s"), answer).alias("q")).select("doc_id", "no", "q.question", F.col("q.blanks").cast("long").alias("blanks"), "q.error")
 
 
-@query("SELECT doc_id, coalesce(nullif(list_aggregate(list_filter(list_transform(string_split(regexp_replace(text[:200], '[ \\t\\n]+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '^[?!.,~]+|[?!.,~]+$', '', 'g')), lambda w: length(w) > 0), 'string_agg', ' '), ''), text[:200]) AS keywords FROM documents")
+@query("SELECT doc_id, coalesce(nullif(list_aggregate(list_filter(list_transform(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '^[?!.,~]+|[?!.,~]+$', '', 'g')), lambda w: length(w) > 0), 'string_agg', ' '), ''), text) AS keywords FROM documents")
 def question_keyword_lists(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.question_keywords(F.substring("text", 1, 200)).alias("keywords"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.question_keywords(F.col("text")).alias("keywords"))
 
 
-@query("SELECT doc_id, list_transform(list_filter(string_split_regex(text[:60], '[\\s,]+'), lambda w: length(w) >= 2), lambda w: lower(w)) AS tokens FROM documents WHERE len(list_filter(string_split_regex(text[:60], '[\\s,]+'), lambda w: length(w) >= 2)) > 0")
+@query("""WITH t AS (SELECT doc_id, text, list_transform(list_filter(string_split_regex(text, '[\\s,]+'), lambda w: length(w) >= 2), lambda w: lower(w)) AS tokens FROM documents)
+SELECT doc_id, CASE WHEN len(tokens) > 0 THEN tokens ELSE [lower(text)] END AS tokens FROM t""")
 def gate_tokens(spark, sf_dir):
-    words = F.filter(F.split(F.substring("text", 1, 60), "(?U)[\\s,]+"), lambda w: F.length(w) >= 2)
-    return table(spark, sf_dir, "documents").where(F.size(words) > 0).select("doc_id", T.concept_tokens(F.substring("text", 1, 60)).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.concept_tokens(F.col("text")).alias("tokens"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN lang IN ('en', 'fr') THEN doc_id % 8 = 0 WHEN lang = 'de' THEN doc_id % 8 <> 0 END
@@ -219,25 +226,47 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.refine(pages, parsed, base_url="https://pages.example")[0]
 
 
-@query()
+#: The article of a fixture page: a heading, then paragraphs, some of which are never closed and begin with bold text to
+#: their end. nested: an unclosed paragraph takes in all that follow.
+_PAGES = """
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+p AS (SELECT page_id, string_split(replace(h, '</p>', ''), '<p>') AS parts FROM a),
+n AS (SELECT page_id, parts[1] AS head, CASE WHEN {nested} AND list_position(list_transform(parts, lambda x: starts_with(x, '<b>')), true) > 0
+  THEN list_concat(parts[2:list_position(list_transform(parts, lambda x: starts_with(x, '<b>')), true) - 1], [parts[list_position(list_transform(parts, lambda x: starts_with(x, '<b>')), true)] || array_to_string(list_transform(parts[list_position(list_transform(parts, lambda x: starts_with(x, '<b>')), true) + 1:], lambda x: replace(x, '<b>', '**')), '')])
+  ELSE parts[2:] END AS ps FROM p),
+u AS (SELECT page_id, 0 AS pos, head AS t FROM n UNION ALL SELECT page_id, unnest(range(1, len(ps) + 1)), unnest(ps) FROM n),
+c AS (SELECT page_id, pos, starts_with(t, '<b>') AS bold, trim(array_to_string(list_transform(string_split(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '\\s+', ' ', 'g'), '</?(h1|b)>', '', 'g'), '<br>', chr(10), 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), chr(10)), lambda x: trim(x)), chr(10)), ' ' || chr(10)) AS t FROM u),
+b AS (SELECT page_id, pos, bold, t, regexp_replace(CASE WHEN bold THEN '**' || t || '**' ELSE t END, '^[*]+|[*]+$', '', 'g') AS bare FROM c WHERE length(t) > 0),
+blocks AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos,
+  CASE WHEN pos = 0 THEN 'heading' WHEN regexp_matches(bare, '(?i)^(그림|표|figure|fig\\.|table)\\s*\\d') AND (bold OR NOT ends) THEN 'caption' WHEN bold AND ends THEN 'key_point' WHEN bold THEN 'subheading' ELSE 'paragraph' END AS type,
+  CASE WHEN pos = 0 THEN 1 END AS level, CASE WHEN pos > 0 AND (bold OR (regexp_matches(bare, '(?i)^(그림|표|figure|fig\\.|table)\\s*\\d') AND NOT ends)) THEN bare ELSE t END AS text
+  FROM (SELECT *, regexp_matches(bare, '[.!?다]["''”’]?$') AS ends FROM b)),
+r AS (SELECT *, CASE WHEN type = 'heading' THEN '# ' || text ELSE text END AS render FROM blocks)
+"""
+
+
+@query(_PAGES.format(nested="false") + "SELECT page_id, pos, type, level, text, render, trim(text, ' ' || chr(10)) AS embed FROM r")
 def html_blocks(spark, sf_dir):
     rows = refine.block_rows(_parsed(spark, sf_dir))
-    return rows.select("page_id", "pos", "type", "level", "text", "render", "embed")
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "type", "level", "text", "render", "embed")
 
 
-@query()
+@query(_PAGES.format(nested="true") + "SELECT type, count(*) AS n, sum(length(render))::BIGINT AS chars FROM r GROUP BY type")
 def html_blocks_nested(spark, sf_dir):
     """As the tree nests without implied ends of paragraphs."""
     parsed = refine.parsed_pages(table(spark, sf_dir, "pages"), selector="article")
     return refine.block_rows(parsed).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("render")).alias("chars"))
 
 
-@query()
+@query(_PAGES.format(nested="false") + "SELECT type, count(*) AS n FROM r GROUP BY type")
 def block_kind_counts(spark, sf_dir):
     return refine.block_rows(_parsed(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_PAGES.format(nested="false") + """, w AS (
+  SELECT page_id, title, length(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\\s+', ' ', 'g'))) AS chars FROM a)
+SELECT page_id AS id, title, CASE WHEN regexp_matches(title, '(?i)^(?:preface|acknowledgements?|references|bibliography|exercises?|answers?|solutions?)$') THEN '부속 페이지 제목' ELSE '본문 ' || chars || '자' END AS reason
+FROM w WHERE chars < 300 OR regexp_matches(title, '(?i)^(?:preface|acknowledgements?|references|bibliography|exercises?|answers?|solutions?)$')""")
 def excluded_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit(None).cast("long").alias("book_id"), F.lit(None).cast("string").alias("book_title"), F.lit(None).cast("array<string>").alias("breadcrumb"))
     return refine.refine(pages, _parsed(spark, sf_dir))[1]
@@ -249,10 +278,12 @@ def paragraph_units(spark, sf_dir):
     return rows.select("unit_id", "page_id", "section", "fallback", "url", "text", "block_start", "block_end", "embed_hash")
 
 
-@query()
+@query("""SELECT CASE WHEN regexp_matches(text, '(?m)^(?:[A-Za-z]:\\\\[^>\n]*>|[A-Za-z]:\\\\\\S*\\.exe\\b|\\$ |python3?\\s+\\S+\\.py)') THEN 'shell' WHEN regexp_matches(text, '(?m)^(?:In|Out) ?\\[\\d+\\]:') THEN 'ipython' WHEN starts_with(ltrim(text), '>>>') THEN 'repl' ELSE 'output' END AS kind, count(*) AS n
+FROM conversations GROUP BY 1""")
 def code_store(spark, sf_dir):
-    """Code blocks of conversations: fenced code as pre elements."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.concat(F.lit("<article><pre><code>"), "text", F.lit("</code></pre></article>")).alias("html"))
+    """Code blocks of conversations: their turns as pre elements."""
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.concat(F.lit("<article><pre><code>"), escaped, F.lit("</code></pre></article>")).alias("html"))
     parsed = refine.parsed_pages(turns, selector="article")
     chunks = parsed.select(F.concat(F.col("page_id").cast("string"), F.lit("-01")).alias("chunk_id"), "page_id", F.lit(None).cast("long").alias("book_id"), "blocks")
     return refine.code_rows(chunks).groupBy("kind").agg(F.count("*").alias("n"))
@@ -265,9 +296,7 @@ def code_store(spark, sf_dir):
 g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM r)
 SELECT conv_id, run::BIGINT AS run, role, min(turn) AS first_turn, max(turn) AS last_turn FROM g GROUP BY conv_id, run, role""")
 def runs_of_equal_kind(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    fresh = (F.col("role") != F.coalesce(F.lag("role").over(w), F.lit(""))).cast("long")
-    rows = table(spark, sf_dir, "conversations").withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = units.runs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
     return rows.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
@@ -364,16 +393,21 @@ def citations_semi_join(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'format error' WHEN 1 THEN 'rejected' WHEN 2 THEN 'invalid'
-  WHEN 3 THEN 'invalid' WHEN 4 THEN 'unverified' ELSE 'ok' END AS status FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 40""")
+  WHEN 3 THEN 'invalid' WHEN 4 THEN 'unverified' ELSE CASE WHEN length(""" + _SQUASH.format(c="text") + """) < 8 THEN 'unverified' WHEN contains(""" + _SQUASH.format(c="coalesce(next, '')") + """, """ + _SQUASH.format(c="text") + """) THEN 'ok' ELSE 'unverified' END END AS status
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 12 = 5 THEN text ELSE lead(text) OVER (ORDER BY doc_id) END AS next FROM documents)""")
 def question_status(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length(F.regexp_replace("text", "[^A-Za-z]", "")) >= 40)
+    """Replies of every kind; of those in good form one half quotes its own paragraph, the other is held against the document of
+    the next id."""
+    docs = table(spark, sf_dir, "documents")
+    onward = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    docs = docs.join(onward, "doc_id", "left").withColumn("held", F.when(F.col("doc_id") % 6 != 5, F.col("text")).otherwise(F.coalesce(F.when(F.col("doc_id") % 12 == 5, F.col("text")), F.col("next"), F.lit(""))))
     m = F.col("doc_id") % 6
     field = lambda **k: F.to_json(F.struct(*[(v if not isinstance(v, (str, bool, int)) else F.lit(v)).alias(n) for n, v in k.items()]))
     four = F.array(*[F.lit(x) for x in ("a", "a", "b", "c")])
     reply = F.when(m == 0, F.lit("no braces here")).when(m == 1, field(reject_reason="비유")).when(m == 2, field(reject_reason="없음", statement="s", answer="true", evidence=F.col("text")))
     reply = reply.when(m == 3, field(reject_reason="없음", question="which?", choices=four, choice_notes=four, answer_index=1, evidence=F.col("text")))
     reply = reply.when(m == 4, field(reject_reason="없음", statement="s", answer=True, evidence="not a word of the text, at all")).otherwise(F.concat(F.lit("<think>{}</think>"), field(reject_reason="없음", statement="s", answer=False, evidence=F.col("text"))))
-    rows = docs.select("doc_id", "text", F.when(m == 3, "mcq").otherwise("ox").alias("fmt"), reply.alias("reply"))
+    rows = docs.select("doc_id", F.col("held").alias("text"), F.when(m == 3, "mcq").otherwise("ox").alias("fmt"), reply.alias("reply"))
     return quiz.judged(quiz.questions(rows)).select("doc_id", "status")
 
 
@@ -404,11 +438,12 @@ def reject_share(spark, sf_dir):
     return evaluation.reject_shares(rows.select(reason.alias("reason"))).select("reason", "n", F.round("share", 6).alias("share"))
 
 
-@query()
+@query("SELECT doc_id, total, CASE WHEN total < 2 THEN 0 ELSE least(round_even(total / 3, 0)::INT, 3) END::BIGINT AS n_page FROM (SELECT doc_id, (length(text) // 500 + 1)::BIGINT AS total FROM documents)")
 def quiz_slots(spark, sf_dir):
-    """Slots of each document's quiz, a slot for each 500 characters."""
+    """Slots of each document's quiz, a slot for each 500 characters, and how many of them go to the page's other units."""
     total = F.floor(F.length("text") / 500).cast("int") + 1
-    return table(spark, sf_dir, "documents").select("doc_id", quiz.slot_origins(total, F.lit(3), F.col("doc_id"), 7).alias("origins"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", quiz.slot_origins(total, F.lit(3), F.col("doc_id"), 7).alias("origins"))
+    return rows.select("doc_id", F.size("origins").cast("long").alias("total"), F.size(F.filter("origins", lambda o: o == quiz.SAME_PAGE)).cast("long").alias("n_page"))
 
 
 # -- vectors, events --------------------------------------------------------------------------------------------------
@@ -434,16 +469,25 @@ def dimension_variance(spark, sf_dir):
 @query("""SELECT label, n, round(sqrt(s), 6) AS length FROM (SELECT label, count(*) // 64 AS n, 0 AS z FROM embeddings, range(64) GROUP BY label)
 JOIN (SELECT label, sum(m * m) AS s FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label) USING (label)""")
 def label_centres(spark, sf_dir):
-    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    centre = long.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    return centre.groupBy("label").agg(F.max("n").alias("n"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 6).alias("length"))
+    found = vectors.centres(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("v")), "label")
+    return found.select("label", "n", F.round(vectors.norm(F.col("centre")), 6).alias("length"))
 
 
-@query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 20)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM s a JOIN s b ON a.vec_id < b.vec_id""")
-def similarity_matrix(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors.similarity(vectors.selected(v, where=F.lit(True), limit=20)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+@query("""WITH c AS (SELECT q.vec_id AS qid, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT qid, count(*) AS n, round(min(c), 6) AS least, round(avg(c), 6) AS mean, round(max(c), 6) AS most FROM c GROUP BY qid""")
+def similarity_spread(spark, sf_dir):
+    """Off the diagonal: how alike each query vector is to all others."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vectors.spread(v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector"), v)
+    return found.select("qid", "n", *[F.round(c, 6).alias(c) for c in ("least", "mean", "most")])
+
+
+@query("""WITH x AS (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+d AS (SELECT dim, var_pop(x) AS variance FROM x GROUP BY dim)
+SELECT dim, round(variance, 8) AS variance, row_number() OVER (ORDER BY variance DESC, dim) AS place, (SELECT round(quantile_cont(abs(x), 0.99), 6) FROM x) AS bound FROM d QUALIFY place <= 16""")
+def heatmap_dimensions(spark, sf_dir):
+    rows = vectors.heatmap(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v")), 16)
+    return rows.select(F.col("dim").cast("long").alias("dim"), F.round("variance", 8).alias("variance"), F.col("place").cast("long").alias("place"), F.round("bound", 6).alias("bound"))
 
 
 @query()
