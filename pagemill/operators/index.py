@@ -48,3 +48,18 @@ def metadata(units: DataFrame, source_dir: str, model: str) -> DataFrame:
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def too_long(rows: DataFrame, count: Callable[[list[str]], list[int]], limit: int, text: str = "embed_text", key: str = "unit_id") -> DataFrame:
+    """(key, tokens) of rows whose text has more tokens than a model takes; the model would cut them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "tokens": count(b[text].tolist())})
+
+    return rows.select(key, text).mapInPandas(run, f"{key} string, tokens long").where(F.col("tokens") > limit)
+
+
+def rebuilt(rows: DataFrame, stored: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """The vector table made anew: exactly the rows (metadata and embed_text), stored vectors of the same hash kept."""
+    return embedded(rows, stored, embed)

@@ -8,8 +8,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.providers import MAX_TOKENS, count_tokens
 from ..operators import index, refine, units
 from ..sources.files import digest, written_if_changed
+from ..sources.scratch import written
 
 STAGES = ("refine", "embed")
 STORED = "unit_id string, chunk_id string, page_id long, book_id long, source_dir string, path string, section string, embed_model string, embed_hash string, embedding array<float>"
@@ -35,44 +37,59 @@ def latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
     return rows.where(F.col("version") == newest).drop("version")
 
 
-def up_to_date(spark: SparkSession, inputs: DataFrame, mark: str) -> bool:
-    """Whether a stage has run on the same input rows: their digest is in its mark."""
+def up_to_date(spark: SparkSession, inputs: str, mark: str) -> bool:
+    """Whether a stage has run on input rows of this digest: it is in the stage's mark."""
     marks = latest(spark, mark)
-    return marks is not None and marks.first()["digest"] == digest(inputs)
+    return marks is not None and marks.first()["digest"] == inputs
 
 
-def refine_stage(spark: SparkSession, pages: DataFrame, root: str, selector: str, tree_mode: str, base_url: str, **rules) -> dict[str, bool]:
-    """pages (page_id, title, book_id, book_title, breadcrumb, html) -> chunks, code, excluded; each a new version if it changed."""
-    parsed = refine.parsed_pages(pages, selector, tree_mode).persist()
-    try:
-        chunks, excluded = refine.refine(pages.drop("html"), parsed, base_url, **rules)
-        return {"chunks": written_if_changed(chunks, f"{root}/chunks"), "code": written_if_changed(refine.code_rows(chunks), f"{root}/code"), "excluded": written_if_changed(excluded, f"{root}/excluded")}
-    finally:
-        parsed.unpersist()
+def marked(spark: SparkSession, inputs: str, mark: str) -> None:
+    written_if_changed(spark.createDataFrame([(inputs,)], "digest string"), mark)
+
 
+def refine_stage(spark: SparkSession, pages: DataFrame, root: str, selector: str, tree_mode: str, base_url: str, force: bool = False, **rules) -> dict:
+    """pages (page_id, title, book_id, book_title, breadcrumb, html) -> chunks, code, excluded; each a new version if it changed.
+
+    Pages and rules that were refined before are left alone, unless force. Tells also how many pages had no body, and the
+    code blocks by kind.
+    """
+    inputs = f"{digest(pages)} {selector} {tree_mode} {base_url} {sorted(rules.items())}"
+    if not force and up_to_date(spark, inputs, f"{root}/refined"):
+        return {"up_to_date": True}
+    parsed = written(refine.parsed_pages(pages, selector, tree_mode), "parsed")
+    chunks, excluded = refine.refine(pages.drop("html"), parsed, base_url, **rules)
+    chunks = written(chunks, "chunks")
+    code = written(refine.code_rows(chunks), "code")
+    done = {"chunks": written_if_changed(chunks, f"{root}/chunks"), "code": written_if_changed(code, f"{root}/code"), "excluded": written_if_changed(excluded, f"{root}/excluded")}
+    done |= {"no_body": parsed.where("status <> 'ok'").count(), "code_kinds": {r["kind"]: r["count"] for r in code.groupBy("kind").count().collect()}}
+    marked(spark, inputs, f"{root}/refined")
+    return done
 
-def embed_stage(spark: SparkSession, root: str, embed: Callable[[list[str]], list[list[float]]], source_dir: str, model: str) -> dict[str, int]:
-    """Brings the vector table up to the units: counts of new, changed, same and stale rows. Stale rows stay."""
-    rows = units.build_units(latest(spark, f"{root}/chunks"))
+
+def embed_stage(spark: SparkSession, root: str, embed: Callable[[list[str]], list[list[float]]], source_dir: str, model: str, rebuild: bool = False) -> dict[str, int]:
+    """Brings the vector table up to the units: counts of new, changed, same and stale rows, and of texts too long for the model.
+
+    Stale rows stay, unless the table is rebuilt; in both cases vectors of the same hash are kept, and a text without one is
+    embedded once.
+    """
+    rows = written(units.build_units(latest(spark, f"{root}/chunks")), "units")
     stored = latest(spark, f"{root}/vectors")
     stored = spark.createDataFrame([], STORED) if stored is None else stored
-    status = index.diff(stored, rows).persist()
-    try:
-        counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        todo = rows.join(status.where("status in ('new', 'changed')").select("unit_id"), "unit_id", "left_semi")
-        if counts.get("new") or counts.get("changed"):
-            made = index.embedded(index.metadata(todo, source_dir, model).join(todo.select("unit_id", "embed_text"), "unit_id"), stored, embed)
-            written_if_changed(index.upserted(stored, made), f"{root}/vectors")
-        return counts
-    finally:
-        status.unpersist()
+    status = written(index.diff(stored, rows), "status")
+    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+    todo = rows if rebuild else rows.join(status.where("status in ('new', 'changed')").select("unit_id"), "unit_id", "left_semi")
+    if rebuild or counts.get("new") or counts.get("changed"):
+        ready = index.metadata(todo, source_dir, model).join(todo.select("unit_id", "embed_text"), "unit_id")
+        made = written(index.embedded(ready, stored, embed), "embedded")
+        written_if_changed(made.select(*stored.columns) if rebuild else index.upserted(stored, made), f"{root}/vectors")
+    return counts | {"too_long": index.too_long(todo, count_tokens, MAX_TOKENS).count()}
 
 
-def build(spark: SparkSession, pages: DataFrame, root: str, embed: Callable[[list[str]], list[list[float]]], first: str = STAGES[0], last: str = STAGES[-1], selector: str = "div.page-content", tree_mode: str = "htmlparser", base_url: str = "", source_dir: str = "unbound", model: str = "stub", **rules) -> dict[str, dict]:
+def build(spark: SparkSession, pages: DataFrame, root: str, embed: Callable[[list[str]], list[list[float]]], first: str = STAGES[0], last: str = STAGES[-1], selector: str = "div.page-content", tree_mode: str = "htmlparser", base_url: str = "", source_dir: str = "unbound", model: str = "stub", force: bool = False, rebuild: bool = False, **rules) -> dict[str, dict]:
     """Runs a slice of stages in order; an error in one ends the run. Returns what each did, and its seconds."""
     done: dict[str, dict] = {}
     for stage in stage_slice(first, last):
         began = time.time()
-        result = refine_stage(spark, pages, root, selector, tree_mode, base_url, **rules) if stage == "refine" else embed_stage(spark, root, embed, source_dir, model)
+        result = refine_stage(spark, pages, root, selector, tree_mode, base_url, force, **rules) if stage == "refine" else embed_stage(spark, root, embed, source_dir, model, rebuild)
         done[stage] = {**result, "seconds": round(time.time() - began, 2)}
     return done

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 PAGE_SCHEMA = "id long, book_id long, book_title string, parent_id long, depth int, `order` int, title string, breadcrumb array<string>, url string, fetched_at string"
 
 
@@ -33,6 +35,18 @@ def without(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     return spark.read.text(path).where(found.isNull() | ~found.isin(ids))
 
 
+def appended(rows: DataFrame, path: str) -> None:
+    """Rows as further JSON lines of a folder."""
+    rows.write.mode("append").json(path)
+
+
+def replaced(spark: SparkSession, path: str, target: str, gone: DataFrame) -> None:
+    """The JSON lines of path without those of some ids (id), written to target; the caller then reads there."""
+    lines = spark.read.text(path).withColumn("_id", F.get_json_object("value", "$.id").try_cast("long"))
+    ids = gone.select(F.col("id").cast("long").alias("_gone")).distinct()
+    lines.join(ids, lines["_id"] == ids["_gone"], "left_anti").select("value").write.mode("errorifexists").text(target)
+
+
 def chunk_index(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """Chunks of all books; of a repeated chunk_id the one of the last path stays."""
     rows = spark.read.schema(schema).json(glob).withColumn("_path", F.col("_metadata.file_path"))
@@ -77,18 +91,22 @@ def digest(df: DataFrame) -> str:
 
 
 def written_if_changed(df: DataFrame, path: str, now: datetime | None = None) -> bool:
-    """Write df as a new version under path, unless the latest version has the same rows. Versions are never overwritten."""
+    """Write df as a new version under path, unless the latest version has the same rows. Versions are never overwritten.
+
+    The rows are computed once, into a scratch table; that is what is compared and kept.
+    """
     spark = df.sparkSession
+    fresh = written(df, "version")
     try:
         old = spark.read.parquet(path)
         latest = old.agg(F.max("version")).first()[0]
-        if latest and digest(old.where(F.col("version") == latest).select(*df.columns)) == digest(df):
+        if latest and digest(old.where(F.col("version") == latest).select(*fresh.columns)) == digest(fresh):
             return False
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
     stamp = (now or datetime.now()).strftime("v%Y%m%d_%H%M%S_%f")
-    df.withColumn("version", F.lit(stamp)).write.mode("append").partitionBy("version").parquet(path)
+    fresh.withColumn("version", F.lit(stamp)).write.mode("append").partitionBy("version").parquet(path)
     return True
 
 
@@ -99,3 +117,27 @@ def all_of(**conditions: object) -> Column:
         if value is not None:
             found = found & (F.col(name) == F.lit(value))
     return found
+
+
+def write_report(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """Rows as CSV that spreadsheets open: a byte order mark, a header, quotes doubled. Every part file has its own header."""
+    named = rows.withColumnRenamed(rows.columns[0], chr(0xFEFF) + rows.columns[0])
+    if order:
+        named = named.orderBy(chr(0xFEFF) + order if order == rows.columns[0] else order)
+    named.write.option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+
+
+def write_messages(failed: DataFrame, path: str) -> None:
+    """failed (id, message) as JSON lines, in place of those of an earlier run."""
+    failed.write.mode("overwrite").json(path)
+
+
+def checked_rules(spark: SparkSession, path: str, source_dir: str) -> dict[str, list]:
+    """rules(), with every pattern tried once; a bad one is a ValueError that names it."""
+    found = rules(spark, path, source_dir)
+    for pattern in found["exclude_titles"]:
+        try:
+            spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        except Exception as e:
+            raise ValueError(f"{path}: bad pattern {pattern!r}") from e
+    return found

@@ -257,13 +257,28 @@ def test_build(spark, tmp_path):
     schema = "page_id long, title string, book_id long, book_title string, breadcrumb array<string>, html string"
     pages = lambda text: spark.createDataFrame([(1, "T", 1, "B", ["B", "T"], html.format(text)), (2, "Preface", 1, "B", ["B"], html.format("x"))], schema)
     root, calls = f"file://{tmp_path}", {"selector": "article", "include_ids": [1]}
-    first = b.build(spark, pages("more " * 120), root, providers.hashing_embed, **calls)
+    log = f"{tmp_path}/asked"
+
+    def embed(texts):
+        with open(log, "a") as f:
+            f.writelines("x\n" for _ in texts)
+        return providers.hashing_embed(texts)
+
+    asked = lambda: len(open(log).readlines())  # noqa: E731, SIM115
+    first = b.build(spark, pages("more " * 120), root, embed, **calls)
     assert first["refine"]["chunks"] and first["refine"]["excluded"] and first["embed"]["new"] == 2
-    again = b.build(spark, pages("more " * 120), root, providers.hashing_embed, **calls)
-    assert not again["refine"]["chunks"] and again["embed"] == {"same": 2, "seconds": again["embed"]["seconds"]}
-    third = b.build(spark, pages("less " * 120), root, providers.hashing_embed, **calls)
-    assert third["embed"]["changed"] == 1 and third["embed"]["same"] == 1
+    assert first["refine"]["no_body"] == 0 and first["refine"]["code_kinds"] == {} and asked() == 2
+    again = b.build(spark, pages("more " * 120), root, embed, **calls)
+    assert again["refine"]["up_to_date"] and again["embed"] == {"same": 2, "too_long": 0, "seconds": again["embed"]["seconds"]}
+    third = b.build(spark, pages("less " * 120), root, embed, **calls)
+    assert third["embed"]["changed"] == 1 and third["embed"]["same"] == 1 and asked() == 3  # a changed text is embedded once
+    forced = b.build(spark, pages("less " * 120), root, embed, last="refine", force=True, **calls)
+    assert not forced["refine"]["chunks"]
+    b.build(spark, pages("less " * 120), root, embed, first="embed", rebuild=True)
+    assert asked() == 3
     assert b.latest(spark, f"{root}/vectors").count() == 2
+    rows = spark.createDataFrame([("a", "one two three"), ("b", "one")], "unit_id string, embed_text string")
+    assert [r["unit_id"] for r in index.too_long(rows, providers.count_tokens, 2).collect()] == ["a"]
     with pytest.raises(ValueError):
         b.stage_slice("embed", "refine")
 
