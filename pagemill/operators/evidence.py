@@ -9,6 +9,7 @@ the one that the fewest texts have. Passages too short for that are found by win
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,12 @@ def gram_hashes(text: str, k: int) -> np.ndarray:
     return x * _STEP
 
 
-def put_forward(text: str) -> np.ndarray:
-    """The least hash of every SPAN consecutive grams, each once; none for a text too short."""
-    grams = gram_hashes(text, GRAM)
-    if len(grams) < SPAN:
+def put_forward(text: str, gram: int = GRAM, span: int = SPAN) -> np.ndarray:
+    """The least hash of every span consecutive grams, each once; none for a text too short."""
+    grams = gram_hashes(text, gram)
+    if len(grams) < span:
         return grams[:0]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, SPAN).min(axis=1))
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1))
 
 
 def _keys(rows: DataFrame, ident: str, of) -> DataFrame:
@@ -55,7 +56,7 @@ def _keys(rows: DataFrame, ident: str, of) -> DataFrame:
     return found.select(ident, F.explode_outer("keys").alias("key")).where("key is not null")
 
 
-def containing(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str, text: str = "text") -> DataFrame:
+def containing(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str, text: str = "text", gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """texts (text_id, text), passages (passage_id, text) -> (passage_id, text_id) of every pair where the text contains the
     passage.
 
@@ -64,11 +65,12 @@ def containing(texts: DataFrame, passages: DataFrame, text_id: str, passage_id:
     """
     held = texts.where(F.col(text).isNotNull()).select(F.col(text_id).cast("long").alias("t"), squash(F.col(text)).alias("s"))
     asked = written(passages.where(F.col(text).isNotNull()).select(F.col(passage_id).cast("long").alias("p"), squash(F.col(text)).alias("s")).where(F.length("s") > 0), "passages")
-    least = GRAM + SPAN - 1
+    least = gram + span - 1
+    of = partial(put_forward, gram=gram, span=span)
     long = asked.where(F.length("s") >= least)
-    wanted = written(_keys(long, "p", put_forward), "wanted").distinct()
+    wanted = written(_keys(long, "p", of), "wanted").distinct()
     known = wanted.select("key").distinct()
-    found = written(_keys(held, "t", put_forward).join(known, "key", "left_semi"), "found")
+    found = written(_keys(held, "t", of).join(known, "key", "left_semi"), "found")
     # of each passage the gram that the fewest texts have
     counts = known.join(found.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
     rarest = wanted.join(counts, "key").groupBy("p").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
