@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove_written, shared_dir, written
+
+__all__ = ["WORD", "ascii_lower_words", "boxed", "let", "remove_written", "shared_dir", "table", "text_bytes", "unboxed", "word_list", "written"]
+
 #: A word everywhere in this subpackage: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,21 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (local tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def boxed(docs: DataFrame, **own: Column) -> DataFrame:
+    """docs as one struct column `row`, beside columns of our own, so that no name of the caller's meets one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in own.items()])
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The caller's columns out of `row`, some of them with new values, and new ones after them."""
+    kept = [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns]
+    return df.select(*kept, *[v.alias(k) for k, v in new.items() if k not in columns])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -32,7 +32,7 @@ from .common import text_bytes
 from .words import blocks_of, text_views
 
 #: Segments that a worker keeps; when full, it starts anew.
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 300_000
 #: The pre-tokenizer pattern of byte-level BPE, as in the tokenizer's public definition.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Segments longer than this (in characters) are encoded anew each time.

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of texts that are taken together (or one text, if it is longer).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -48,11 +48,14 @@ def numbered_words(texts: pa.Array, dropped: bytes = b"") -> tuple[np.ndarray, n
         out[list(dropped)] = True
         solid &= ~out[data]
     space[places[:-1][places[:-1] < len(data)]] = True  # here: the start of a text parts words too
-    kept = np.flatnonzero(solid)
+    kept = np.flatnonzero(solid).astype(np.int32)
     turn = np.cumsum(space, dtype=np.int32)[kept]
-    first = np.flatnonzero(np.diff(turn, prepend=-1))
-    cuts = np.append(first, len(kept)).astype(np.int32)
-    bare = _LOWER[data[kept]]
+    fresh = np.ones(len(kept), bool)
+    fresh[1:] = turn[1:] != turn[:-1]
+    first = np.flatnonzero(fresh).astype(np.int32)
+    cuts = np.append(first, np.int32(len(kept)))
+    bare = _LOWER[data[solid]]
+    del turn, fresh, space, solid
     found = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts), pa.py_buffer(bare)]).dictionary_encode()
     names = found.dictionary.to_pylist()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
