@@ -6,11 +6,12 @@
     alpha(v) = (1 - sum of P(w | v) over the w seen after v) / (1 - sum of P(w) over the same w)
 
 A table of all bigrams grows with the corpus, so it is neither broadcast nor joined token by token. Texts are taken in
-chunks of rows; a chunk asks for each distinct word and bigram once, in sorted blocks of 64-bit keys, one for each shard
-of the key space. The shards are the model's partitioned count tables: each adds up the counts of all chunks for its
-keys and answers every chunk in the order of its block. What moves is the distinct n-grams of each chunk (a few bytes
-each), and the texts once more to meet the answers. Back-off weights are summed over the distinct bigrams of the corpus
-(each is owned by one chunk) and are joined only to the histories of unseen bigrams.
+chunks of a bounded number of bytes; a chunk is cut into tokens once, which are written as numbers of its own vocabulary.
+It asks for each distinct word and bigram once, in sorted blocks of 64-bit keys, one for each shard of the key space.
+The shards are the model's partitioned count tables, of a bounded share of the corpus each: a shard adds up the counts of
+all chunks for its keys and answers every chunk in the order of its block. What moves is the distinct n-grams of each
+chunk (a few bytes each), and its token numbers once, to meet the answers. Back-off weights are summed over the distinct
+bigrams of the corpus (each is owned by one chunk) and are joined only to the histories of unseen bigrams.
 
 Keys are 64-bit hashes; their lowest bit tells bigrams from words.
 """
@@ -22,47 +23,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, written
+from .common import written
+from .words import numbered_words, text_views
 
-#: Rows of an input partition that make a chunk.
-CHUNK_ROWS = 2048
+#: A chunk closes at this many bytes of text, or rows.
+CHUNK_BYTES, CHUNK_ROWS = 5 << 19, 1 << 16
+#: Bytes of text for each shard of the key space.
+SHARD_BYTES = 6 << 20
 #: Good-Turing discounts hold for counts up to this; larger counts lose as much as this one does, so that every history
 #: has something left for the words not seen after it.
 GT_MAX = 5
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 200_000
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(s) & ~1 & (1 << 64) - 1) for s in (b"\n end", b"\n start"))  # no word has white space
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) & ~1
-        return h
-
-
-_WORDS = _Words()
-
-
-def word_keys(text: str | None) -> np.ndarray:
-    """Keys of a text's tokens: its words, then one end. They are even."""
-    words = ascii_lower_words(text)
-    keys = np.empty(len(words) + 1, np.uint64)
-    keys[:-1] = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    keys[-1] = END
-    return keys
-
-
-def history(words: np.ndarray) -> np.ndarray:
-    """Of each token of a text, the one before; the start for the first."""
-    return np.concatenate(([START], words[:-1]))
+def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary, words, sizes) of an array of texts without nulls: sorted even keys of the distinct words and of the end;
+    the tokens of all texts end to end, as places in the vocabulary; how many tokens each text has."""
+    hashes, numbers, n_words = numbered_words(texts)
+    vocabulary, place = np.unique(np.append(hashes & ~np.uint64(1), END), return_inverse=True)
+    words = np.full(len(numbers) + len(texts), place[-1], np.uint32)
+    words[np.arange(len(numbers)) + np.repeat(np.arange(len(texts)), n_words)] = place[numbers]
+    return vocabulary, words, n_words + 1
 
 
 def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -99,25 +88,27 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 class Chunk:
-    """Tokens of a chunk's texts, in the order (id, text), and its distinct keys in order."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        self.ids = [r[0] for r in rows]
-        self.held = np.array([is_held_out(i) for i in self.ids], bool)
-        words = [word_keys(t) for _, t in rows]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.before = np.concatenate([history(w) for w in words]) if rows else np.zeros(0, np.uint64)
-        self.words = np.concatenate(words) if rows else np.zeros(0, np.uint64)
-        self.pairs = pair_keys(self.before, self.words)
-        self.trains = np.repeat(~self.held, self.sizes)
-        self.keys = np.unique(np.concatenate((self.words, self.pairs)))
+    """Tokens of a chunk's texts, its distinct keys in order, and where among them its words and bigrams stand."""
+
+    def __init__(self, ids: list[int | None], vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray):
+        self.ids, self.words, self.sizes = ids, words, sizes
+        self.held = np.array([is_held_out(i) for i in ids], bool)
+        self.trains = np.repeat(~self.held, sizes)
+        self.starts = np.cumsum(sizes) - sizes
+        #: of each token the one before, as a place in names, of which the last is the start
+        self.names = np.append(vocabulary, START)
+        self.before = np.empty(len(words), np.int64)
+        self.before[1:] = words[:-1]
+        self.before[self.starts] = len(vocabulary)
+        pairs, self.pair = np.unique(pair_keys(self.names[self.before], vocabulary[words]), return_inverse=True)
+        self.keys = np.sort(np.concatenate((vocabulary, pairs)))
+        self.word_at, self.pair_at = np.searchsorted(self.keys, vocabulary), np.searchsorted(self.keys, pairs)
 
     def counts(self) -> np.ndarray:
         """Occurrences of each distinct key in the training texts."""
-        own, n = np.unique(np.concatenate((self.words[self.trains], self.pairs[self.trains])), return_counts=True)
         out = np.zeros(len(self.keys), np.int64)
-        out[np.searchsorted(self.keys, own)] = n
+        out[self.word_at] = np.bincount(self.words[self.trains], minlength=len(self.word_at))
+        out[self.pair_at] = np.bincount(self.pair[self.trains], minlength=len(self.pair_at))
         return out
 
 
@@ -126,31 +117,63 @@ def shard_edges(shards: int) -> np.ndarray:
     return (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
 
 
-def requests(docs: DataFrame, shards: int) -> DataFrame:
-    """docs (chunk, id, text), chunks in a row -> (shard, chunk, keys, counts), a block for each chunk and shard."""
+CHUNKS = "chunk long, ids array<long>, vocabulary binary, words binary, sizes binary"
+
+
+def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs (id, text) -> a row for each chunk: its ids, its vocabulary, its tokens as places in that, and its texts' sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = shard_edges(shards)
+        first = TaskContext.get().partitionId() << 20
+        turn, held, size = 0, [], 0
 
-        def ask(number: int, rows: list) -> pa.RecordBatch:
-            chunk = Chunk(rows)
-            counts = chunk.counts()
-            cuts = [0, *np.searchsorted(chunk.keys, edges).tolist(), len(chunk.keys)]
-            blocks = [(k, number, _squeeze(chunk.keys[a:b]), _pack(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "chunk", "keys", "counts"])
+        def closed() -> pa.RecordBatch:
+            ids = [i for part in held for i in part.column(0).to_pylist()]
+            vocabulary, words, sizes = word_numbers(pa.concat_arrays([part.column(1) for part in held]))
+            row = {"chunk": first + turn, "ids": ids, "vocabulary": _squeeze(vocabulary), "words": _pack(words), "sizes": _pack(sizes)}
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        number, rows = None, []
         for b in batches:
-            for chunk, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if chunk != number and rows:
-                    yield ask(number, rows)
-                    rows = []
-                number = chunk
-                rows.append((key, text))
-        if rows:
-            yield ask(number, rows)
+            b = pa.RecordBatch.from_arrays([b.column(0), pc.fill_null(b.column(1).cast(pa.string()), "")], names=["id", "text"])
+            ends = text_views(b.column(1))[1][1:]
+            at = 0
+            while at < b.num_rows:
+                before = ends[at - 1] if at else 0
+                upto = min(int(np.searchsorted(ends, before + max(chunk_bytes - size, 0), "right")), at + CHUNK_ROWS - sum(p.num_rows for p in held))
+                upto = max(upto, at + (not held))  # a chunk has a text at least
+                if upto > at:
+                    held.append(b.slice(at, upto - at))
+                    size += int(ends[upto - 1] - before)
+                if upto < b.num_rows:
+                    yield closed()
+                    turn, held, size = turn + 1, [], 0
+                at = upto
+        if held:
+            yield closed()
+
+    return docs.mapInArrow(run, CHUNKS)
+
+
+def chunk_of(row: dict) -> Chunk:
+    return Chunk(row["ids"], _unsqueeze(row["vocabulary"]), _unpack(row["words"]), _unpack(row["sizes"]))
+
+
+def requests(made: DataFrame, shards: int) -> DataFrame:
+    """Chunks -> (shard, chunk, keys, counts), a block for each chunk and shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = shard_edges(shards)
+        for b in batches:
+            for k in range(b.num_rows):
+                (row,) = b.slice(k, 1).to_pylist()
+                chunk = chunk_of(row)
+                counts = chunk.counts()
+                cuts = [0, *np.searchsorted(chunk.keys, edges).tolist(), len(chunk.keys)]
+                blocks = [(n, row["chunk"], _squeeze(chunk.keys[x:y]), _pack(counts[x:y])) for n, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "chunk", "keys", "counts"])
 
-    return docs.mapInArrow(run, "shard int, chunk long, keys binary, counts binary")
+    return made.mapInArrow(run, "shard int, chunk long, keys binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -188,15 +211,15 @@ def answers(asked: DataFrame) -> DataFrame:
 def discounts(n: list[int]) -> np.ndarray:
     """Factors d(0) to d(GT_MAX) from counts of counts n[0] to n[GT_MAX + 1]; d(0) is unused.
 
-    Katz' rule, d(r) = (r* / r - k) / (1 - k) with r* = (r + 1) n(r + 1) / n(r) and k = (GT_MAX + 1) n(GT_MAX + 1) / n(1).
-    Where it gives no factor in (0, 1), as in small corpora, half a count is taken off instead.
+    Katz' rule, d(r) = (r* / r - k) / (1 - k) with r* = (r + 1) n(r + 1) / n(r) and k = (GT_MAX + 1) n(GT_MAX + 1) / n(1),
+    on counts of counts smoothed by a line: log n(r) = a + b log r, by least squares over those that are not 0. With
+    b < -1 every factor lies in (0, 1); b is -1.05 at most, and -2 where fewer than two counts of counts are there.
     """
-    d = np.ones(GT_MAX + 1)
-    k = (GT_MAX + 1) * n[GT_MAX + 1] / n[1] if n[1] else 1.0
-    for r in range(1, GT_MAX + 1):
-        d[r] = ((r + 1) * n[r + 1] / n[r] / r - k) / (1 - k) if n[r] and k < 1 else 0.0
-    half = 1 - 0.5 / np.arange(1, GT_MAX + 1)
-    return d if ((d[1:] > 0) & (d[1:] < 1)).all() else np.concatenate(([1.0], half))
+    r = np.array([k for k in range(1, GT_MAX + 2) if n[k]], float)
+    b = min(np.polyfit(np.log(r), np.log([n[int(k)] for k in r]), 1)[0], -1.05) if len(r) > 1 else -2.0
+    r = np.arange(1, GT_MAX + 1)
+    k = (GT_MAX + 1.0) ** (b + 1)
+    return np.concatenate(([1.0], ((1 + 1 / r) ** (b + 1) - k) / (1 - k)))
 
 
 class Model:
@@ -222,51 +245,46 @@ class Model:
 RESULT = "kind int, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, history long, beta double, mass double, n long, row long"
 
 
-def evaluate(docs: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
+def evaluate(texts: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
     """Rows of three kinds, by chunk. 0: a document with its scores, save for back-off weights. 1: a history with, over
     the bigrams that the chunk owns, the sum of P(w) and of the discounted counts, and (n) its own count. 2: a history of
     n unseen bigrams in a document."""
 
     def run(key: tuple, texts: pa.Table, answered: pa.Table) -> pa.Table:
-        chunk = Chunk(list(zip(texts.column("id").to_pylist(), texts.column("text").to_pylist(), strict=True)))
+        chunk = chunk_of(texts.to_pylist()[0])
         order = np.argsort(np.array(answered.column("shard").to_pylist()))
         parts = [_unpack(answered.column("counts")[int(k)].as_py()) for k in order]
-        counts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if len(counts) != len(chunk.keys):
-            raise RuntimeError("a chunk's texts changed between two reads of the input")
+        counts = np.concatenate(parts)
         owned = np.concatenate([np.unpackbits(np.frombuffer(answered.column("owned")[int(k)].as_py(), np.uint8), count=len(p)) for k, p in zip(order, parts, strict=True)]).astype(bool)
-        w_at, p_at = np.searchsorted(chunk.keys, chunk.words), np.searchsorted(chunk.keys, chunk.pairs)
-        cw, cp = counts[w_at], counts[p_at]
-        end_at = np.searchsorted(chunk.keys, END)
-        starts = counts[end_at] if len(chunk.keys) else 0  # texts of the training set: as many starts as ends
-        first = chunk.before == START
-        ch = np.zeros(len(cw), np.int64)
-        ch[1:] = cw[:-1]
-        ch[first] = starts
-        p1 = model.word(cw)
+        # of each name its count: texts of the training set have as many starts as ends
+        of_word = counts[chunk.word_at]
+        of_name = np.append(of_word, of_word[np.searchsorted(chunk.names[:-1], END)])
+        cw, cp, ch = of_word[chunk.words], counts[chunk.pair_at][chunk.pair], of_name[chunk.before]
+        p1 = model.word(of_word)[chunk.words]
         seen = cp > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.where(seen, np.log10(model.discounted(cp, model.d_pairs) / np.maximum(ch, 1)), np.log10(p1))
-            base = np.log10((cw + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-        starts_at = np.concatenate(([0], np.cumsum(chunk.sizes)[:-1])).astype(np.int64)
-        total = lambda x: np.add.reduceat(x, starts_at) if len(starts_at) else x
-        n = len(chunk.ids)
+        kept = model.discounted(cp, model.d_pairs)
+        logs = np.log10(np.where(seen, kept / np.maximum(ch, 1), p1))
+        base = np.log10((of_word + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[chunk.words]
+        total = lambda x: np.add.reduceat(x, chunk.starts)
+        n, n_names = len(chunk.ids), len(chunk.names)
         number = (key[0].as_py() << 20) + np.arange(n)
-        as_long = lambda h: h.view(np.int64)
+        as_long = lambda h: np.ascontiguousarray(h).view(np.int64)
         out = [[np.zeros(n, np.int32), pa.array(chunk.ids, pa.int64()), chunk.held, chunk.sizes, total((cw > 0).astype(np.int64)), total(base), total(logs), None, None, None, None, number]]
-        # each bigram of the corpus once: at its first place in the chunk that owns it
-        at = np.unique(p_at, return_index=True)[1]
-        at = at[owned[p_at[at]]]
+        # each bigram of the corpus once: at a place in the chunk that owns it
+        at = np.empty(len(chunk.pair_at), np.int64)
+        at[chunk.pair] = np.arange(len(chunk.pair))
+        at = at[owned[chunk.pair_at]]
         if len(at):
-            h, inverse = np.unique(chunk.before[at], return_inverse=True)
-            one = np.unique(inverse, return_index=True)[1]
-            out.append([np.ones(len(h), np.int32), None, None, None, None, None, None, as_long(h), np.bincount(inverse, p1[at]), np.bincount(inverse, model.discounted(cp[at], model.d_pairs)), ch[at][one], None])
+            before = chunk.before[at]
+            h = np.flatnonzero(np.bincount(before, minlength=n_names))
+            beta, mass = (np.bincount(before, x[at], n_names)[h] for x in (p1, kept))
+            out.append([np.ones(len(h), np.int32), None, None, None, None, None, None, as_long(chunk.names[h]), beta, mass, of_name[h], None])
         miss = np.flatnonzero(~seen & (ch > 0))
         if len(miss):
             doc = np.repeat(np.arange(n), chunk.sizes)[miss]
-            both = np.rec.fromarrays([doc, chunk.before[miss]], names="doc,h")
-            pairs, times = np.unique(both, return_counts=True)
-            out.append([np.full(len(pairs), 2, np.int32), None, None, None, None, None, None, as_long(np.ascontiguousarray(pairs["h"])), None, None, times, number[pairs["doc"]]])
+            both, times = np.unique(doc * n_names + chunk.before[miss], return_counts=True)
+            doc, h = np.divmod(both, n_names)
+            out.append([np.full(len(both), 2, np.int32), None, None, None, None, None, None, as_long(chunk.names[h]), None, None, times, number[doc]])
         kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         tables = []
         for rows in out:
@@ -274,25 +292,24 @@ def evaluate(docs: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
             tables.append(pa.Table.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")]))
         return pa.concat_tables(tables)
 
-    return docs.groupBy("chunk").cogroup(answered.select("shard", "chunk", "counts", "owned").groupBy("chunk")).applyInArrow(run, RESULT)
+    return texts.groupBy("chunk").cogroup(answered.select("shard", "chunk", "counts", "owned").groupBy("chunk")).applyInArrow(run, RESULT)
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     The model learns from the rows that are not held out; scores are log10 probabilities. Words are cut at ASCII white
     space, A-Z in lower case; each text ends with an end token; null text is empty. A row with a null id is scored like
     any other. Repeated rows are texts of their own. With no training texts every word is unknown, of probability 1.
-    The input must give the same rows in the same partitions when it is read again (as files do).
+    An empty table gives no rows. chunk_bytes and shard_bytes bound a task's memory and have no influence on the result.
     """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    number = F.floor(F.monotonically_increasing_id() / chunk_rows)
-    chunks = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(number.alias("chunk"), "id", "text")
-    answered = written(answers(requests(chunks, shards)), "answers")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    made = written(chunks(rows, chunk_bytes), "chunks")
+    answered = written(answers(requests(made, size // shard_bytes + 1)), "answers")
     stats = answered.where("stats is not null").agg(*[F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(2 * (GT_MAX + 4))]).first()
     model = Model([int(x) for x in stats])
-    found = written(evaluate(chunks, answered, model), "scores")
+    found = written(evaluate(made, answered, model), "scores")
     sums = found.where("kind = 1").groupBy("history").agg(F.sum("beta").alias("beta"), F.sum("mass").alias("mass"), F.max("n").alias("c"))
     # both differences are positive: every seen bigram is discounted, and the unknown words have a share of P(w)
     alpha = sums.select(F.col("history").alias("h"), F.log10((1 - F.col("mass") / F.col("c")) / (1 - F.col("beta"))).alias("log_alpha"))
