@@ -2,12 +2,13 @@
 
 Every source is a flow. Its documents are shuffled by a hash, and a copy of a document finishes, in virtual time, at the
 source's words up to and including it divided by the source's target. The stream is all copies in the order of virtual
-finish time, so that at every point of it the sources stand near their weights. The targets add up to the total budget,
-so the budget is used up at virtual time 1; there the stream is cut. Of the copies that lie across the cut, those are
-taken that have at least half of their words before it, so a source misses its target by half a document at most.
+time (of the middle of a copy: its finish less half of its own time, so that a document is taken if at least half of it
+fits), so that at every point of it the sources stand near their weights. The stream is sorted by range, and cut where
+its running total reaches the budget, which is the sum of the targets. A source misses its target by half of the document
+that lies across the cut, and by its share of what the others miss.
 
-Running sums are taken in two levels (buckets of a source's shuffle order, then rows of a bucket), so that a source with
-a third of all rows is spread over as many tasks as its size asks for. Only narrow rows (no text) are shuffled.
+Running totals are taken in two levels (partitions of a sort by range, then rows of a partition), so that a source with a
+third of all rows is spread over as many tasks as its size asks for. Only narrow rows (no text) are sorted for the plan.
 """
 
 from __future__ import annotations
@@ -17,14 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, boxed, unboxed, written
 
-#: Rows of a source that one running sum goes over.
-BUCKET_ROWS = 1000
 #: A table of sources up to this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: A document above this share of its source's target comes after the source's others in each pass.
-LATE_SHARE = 0.05
 
 
 def words_in(text: Column) -> Column:
@@ -53,6 +50,23 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), repea
     return levels.select("source", "source_size", "source_rows", "sid", "weight", target.alias("target"))
 
 
+def running_totals(rows: DataFrame, order: list[str], what: str, of: str = "size", by: list[str] | None = None) -> DataFrame:
+    """rows with upto: the sum of a column over the rows up to each, in an order (within by, which comes first in it).
+
+    Rows are sorted by range; the sums of whole partitions (a row for each, or for each and by) give a partition its start.
+    """
+    by = by or []
+    ranged = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), what)
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*by, "part").agg(F.sum(of).alias("in_part")).withColumn("start", F.coalesce(F.sum("in_part").over(before), F.lit(0))).drop("in_part")
+    within = Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.withColumn("within", F.sum(of).over(within)).join(starts, [*by, "part"]).withColumn("upto", F.col("start") + F.col("within")).drop("start", "within", "part")
+
+
+def row_key(id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), repeat: int = 3, seed: int = 1) -> DataFrame:
     """One row for each row of docs: (id, row_key, source, size, source_size, target, copies, finish).
 
@@ -60,49 +74,36 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     where its source reaches its target; a later copy finishes source_size / target after the one before). The same
     input gives the same plan. Documents without words, of size 0, cost nothing: they are taken with the words before
     them in the stream. Rows equal in id, text and source share one place in the order and may differ only in copies.
-    An empty table gives no rows; a null source is a source of its own.
+    An empty table gives no rows; a null source is a source of its own; a null id is an id like any other.
     """
-    size = words_in(F.col(text_col))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("row_key")), "sizes")
+    key = row_key(id_col, text_col, source_col, seed)
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), key.alias("row_key")), "sizes")
     sources = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), weights, repeat), "sources")
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    side = (F.broadcast(sources) if few else sources).withColumnRenamed("source", "source_b")
-    rows = rows.join(side, F.col("source").eqNullSafe(F.col("source_b"))).drop("source_b", "weight")
-
-    # place in the shuffle order: late documents after the others, then by hash; buckets follow that order
-    n_buckets = F.ceil(F.col("source_rows") / BUCKET_ROWS)
-    late = (F.col("size") > LATE_SHARE * F.col("target")).cast("int")
-    part = F.floor((F.col("row_key") / F.lit(2.0**64) + 0.5) * n_buckets)
-    rows = rows.withColumn("bucket", F.least(part, n_buckets - 1) + late * n_buckets)
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("sid", "bucket").orderBy("row_key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = rows.withColumn("running", F.sum("size").over(within)).join(sums, ["sid", "bucket"])
-    running = written(running.select("id", "row_key", "source", "sid", "size", "source_size", "target", (F.col("base") + F.col("running")).alias("upto")), "running")
-
-    def finish(epoch: int) -> Column:
-        return F.coalesce((F.col("source_size") * epoch + F.col("upto")) / F.when(F.col("target") > 0, F.col("target")), F.lit(0.0))
-
-    def taken(epoch: int) -> Column:
-        """Whether this copy has half of its words before virtual time 1."""
-        return (F.col("source_size") * epoch + F.col("upto") - F.col("size") / 2 <= F.col("target")).cast("int")
+    side = (F.broadcast(sources) if few else sources).withColumnRenamed("source", "source_b").drop("source_rows", "weight")
+    rows = rows.join(side, F.col("source").eqNullSafe(F.col("source_b"))).drop("source_b")
+    placed = written(running_totals(rows, ["sid", "row_key", "id"], "placed", by=["sid"]).withColumnRenamed("upto", "end").withColumn("row", F.monotonically_increasing_id()), "rows")
 
-    copies = sum((taken(e) for e in range(1, repeat)), taken(0))
-    return running.select("id", "row_key", "source", "size", "source_size", "target", copies.alias("copies"), finish(0).alias("finish"))
+    # the stream of all copies, cut where the running total reaches the budget
+    time = lambda words: F.coalesce(words / F.when(F.col("target") > 0, F.col("target")), F.lit(0.0))
+    copies = placed.select("row", "row_key", "size", F.col("source_size"), "target", "end", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))).alias("copy"))
+    stream = copies.select("row", "row_key", "copy", "size", time(F.col("source_size") * F.col("copy") + F.col("end") - F.col("size") / 2).alias("middle"))
+    budget = sources.agg(F.sum("source_size").alias("b")).first()["b"] or 0
+    cut = running_totals(stream, ["middle", "row_key", "copy", "row"], "stream").where(F.col("upto") - F.col("size") / 2 <= F.lit(budget))
+    taken = cut.groupBy("row").agg(F.count("*").cast("int").alias("copies"))
+    return placed.join(taken, "row", "left").select("id", "row_key", "source", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"), time(F.col("end")).alias("finish"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), repeat: int = 3, seed: int = 1) -> DataFrame:
     """The mixed stream: rows of docs, each as often as the mix takes it, range-sorted by virtual finish time.
 
-    Columns as in docs. Cases as in mix_plan; rows equal in id, text and source all appear as often as the first of them.
+    Columns as in docs, whatever their names. Cases as in mix_plan; rows equal in id, text and source all appear as often
+    as the first of them.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, weights, repeat, seed)
+    plan = mix_plan(docs, id_col, text_col, source_col, weights, repeat, seed).where("copies > 0")
     step = F.coalesce(F.col("source_size") / F.when(F.col("target") > 0, F.col("target")), F.lit(0.0))
     times = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda e: F.col("finish") + step * (e - 1))
-    plan = plan.where("copies > 0").groupBy(F.col("id").alias("_id"), F.col("row_key").alias("_key")).agg(F.max_by(times, F.col("copies")).alias("_times"))
-    keyed = docs.select("*", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col)).alias("_row_key"))
-    joined = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
-    stream = joined.select(*[keyed[c] for c in docs.columns], F.col("_row_key"), F.explode("_times").alias("_finish"))
-    return stream.repartitionByRange(F.col("_finish"), F.col("_row_key")).sortWithinPartitions("_finish", "_row_key").select(*docs.columns)
+    plan = plan.groupBy(F.col("id").alias("plan_id"), F.col("row_key").alias("plan_key")).agg(F.max_by(times, F.col("copies")).alias("times"))
+    keyed = boxed(docs, id=F.col(id_col), key=row_key(id_col, text_col, source_col, seed))
+    stream = keyed.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("key") == F.col("plan_key"))).select("row", "key", F.explode("times").alias("finish"))
+    return unboxed(stream.repartitionByRange("finish", "key").sortWithinPartitions("finish", "key"), docs.columns)
