@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, word_list
+from .common import WORD, boxed, let, unboxed, word_list
 
 #: Parameters of the line rules. A line fails if any holds.
 SEPARATORS = r"[|»]"  # navigation: three separators or more, and one for every five words
@@ -34,8 +34,8 @@ def line_fails(line: Column, n: Column) -> Column:
 
 
 def judged_lines(lines: Column) -> Column:
-    """For each line its words and whether it fails."""
-    return F.transform(lines, lambda line: let(count_of(line, WORD), lambda n: F.struct(n.alias("n"), line_fails(line, n).alias("fails"))))
+    """For each line the line, its words, and whether it fails."""
+    return F.transform(lines, lambda line: let(count_of(line, WORD), lambda n: F.struct(line.alias("line"), n.alias("n"), line_fails(line, n).alias("fails"))))
 
 
 def repeat_words(words: Column) -> Column:
@@ -56,38 +56,60 @@ def repeat_words(words: Column) -> Column:
     return let(words, lambda w: let(windows(w), lambda s: let(places(s), covered)))
 
 
-def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words,
-    clean_text and kept.
+def verdict_of(text: Column) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, clean_text, kept) of a text.
 
-    clean_text is the text without the lines that fail (a blank line never fails). kept is false if base_failed (fewer
-    than 50 words, or over half of them in repeated windows), or if the lost lines hold over MAX_LOST of the words. Null
-    text has no words (so it is not kept) and stays null. Windows are compared by 64-bit hashes within a text.
+    Cases as in quality.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    has_word = lambda line: line.rlike(WORD)
-    lost_words = lambda judged: F.aggregate(judged, F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
-    good = lambda lines: F.filter(lines, lambda line: ~let(count_of(line, WORD), lambda n: line_fails(line, n)))
+    whole = F.coalesce(text, F.lit(""))
 
     def of_words(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeated"))
 
-    def of_lines(lines: Column) -> Column:
-        real = F.filter(lines, has_word)
+    def of_lines(judged: Column) -> Column:
+        real = F.transform(F.filter(judged, lambda x: x["n"] > 0), lambda x: x["line"])
         n_dup = let(real, lambda r: (F.size(r) - F.size(F.array_distinct(r))).cast("long"))
-        return F.struct(n_dup.alias("n_dup"), lost_words(judged_lines(lines)).alias("lost"))
+        lost = F.aggregate(judged, F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
+        clean = F.array_join(F.transform(F.filter(judged, lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+        return F.struct(n_dup.alias("n_dup"), lost.alias("lost"), clean.alias("clean"))
 
     def verdict(w: Column, q: Column) -> Column:
         failed = (w["n"] < 50) | (100 * w["repeated"] > 50 * w["n"])
-        lost = q["lost"]
+        n_symbols = (F.length(whole) - F.length(F.regexp_replace(whole, r"[#*$%&|<>]", ""))).cast("long")
         return F.struct(
-            w["n"].alias("n_words"), w["chars"].alias("word_chars"), q["n_dup"].alias("n_dup_lines"), w["repeated"].alias("n_repeat_words"),
-            failed.alias("base_failed"), lost.alias("lost_words"), (~failed & (lost <= MAX_LOST * w["n"])).alias("kept"),
+            w["n"].alias("n_words"), w["chars"].alias("word_chars"), n_symbols.alias("n_symbols"), q["n_dup"].alias("n_dup_lines"), w["repeated"].alias("n_repeat_words"),
+            failed.alias("base_failed"), q["lost"].alias("lost_words"), F.when(text.isNotNull(), q["clean"]).alias("clean_text"), (~failed & (q["lost"] <= MAX_LOST * w["n"])).alias("kept"),
         )
 
-    lines = F.split(text, "\n", -1)
-    found = let(let(word_list(F.col(text_col)), of_words), lambda w: let(let(lines, of_lines), lambda q: verdict(w, q)))
-    out = docs.withColumn("_q", found)
-    n_symbols = (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long")
-    clean = F.when(F.col(text_col).isNotNull(), F.array_join(good(lines), "\n"))
-    return out.select(*docs.columns, n_symbols.alias("n_symbols"), clean.alias("clean_text"), "_q.*")
+    lines = F.split(whole, "\n", -1)
+    return let(let(word_list(text), of_words), lambda w: let(let(judged_lines(lines), of_lines), lambda q: verdict(w, q)))
+
+
+def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, q): docs as a struct, and the verdict on its text.
+
+    The verdict is exploded out of an array of one, so that a filter on it is not pushed below it and computed once more.
+    """
+    boxes = boxed(docs, text=F.col(text_col))
+    return boxes.select("row", F.explode_outer(F.array(verdict_of(F.col("text")))).alias("q"))
+
+
+def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words,
+    clean_text and kept (in place of columns of docs with such names).
+
+    clean_text is the text without the lines that fail (a blank line never fails). kept is false if base_failed (fewer
+    than 50 words, or over half of them in repeated windows), or if the lost lines hold over MAX_LOST of the words. Null
+    text has no words (so it is not kept) and stays null. Windows are compared by 64-bit hashes within a text. Every row
+    is judged alone, so repeated rows and ids, null or not, do not matter; an empty table gives no rows.
+    """
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "clean_text", "kept")
+    return unboxed(judged(docs, text_col), docs.columns, **{n: F.col(f"q.{n}") for n in names})
+
+
+def without_bad_lines(docs: DataFrame, text_col: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+    """The documents that are kept, with their clean text and (where there is such a column) its length; columns as in docs."""
+    new = {text_col: F.col("q.clean_text")}
+    if n_chars in docs.columns:
+        new[n_chars] = F.length("q.clean_text").cast("long")
+    return unboxed(judged(docs, text_col).where("q.kept"), docs.columns, **new)
