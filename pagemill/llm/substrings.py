@@ -1,13 +1,11 @@
 """Substring dedup by sliding sentence spans, then by windows of words.
 
-A text is cut into sentences, at end marks and line ends and also at clause marks: a passage of over fifty words that is
-set into other text may be one long sentence, glued to its surroundings at both ends, and only its inner clauses stay
-whole. Every run of several consecutive sentences is hashed; the hashes are counted over all texts, and every occurrence
-of a run after its first (by document id, then place) is removed.
-
-What spans miss, as a passage that is one clause glued at both ends, is found in the texts that are left: every run of
-WINDOW words that stands in an earlier place goes, word by word. Of the runs of GRAM words, each text puts the least of
-every WINDOW - GRAM + 1 consecutive ones forward (winnowing), so that two texts with a common run of WINDOW words have a
+A text is cut into sentences, at end marks and line ends. Every run of several consecutive sentences is hashed; the hashes
+are counted over all texts, and every occurrence of a run after its first (by document id, then place) is removed.
+
+What spans miss, as a passage that is glued into other sentences at both ends, is found in the texts that are left: every
+run of WINDOW words that stands in an earlier place goes, word by word. Of the runs of GRAM words, each text puts the least
+of every WINDOW - GRAM + 1 consecutive ones forward (winnowing), so that two texts with a common run of WINDOW words have a
 common gram; only around such grams are all windows hashed and counted.
 
 Only hashes, ids and places are shuffled to find repeats (a hash of any frequency is a partial aggregate, and the join
@@ -20,21 +18,30 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import written
+from .common import WORD, text_bytes, unboxed, written
+from .words import blocks_of, numbered_words
 
 #: Words of a run that may stand only once, and of the grams that are put forward to find it.
 WINDOW, GRAM = 50, 20
 #: Base of the rolling hashes, odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-_MARKS = str.maketrans("", "", ".!?,;:")
+MARKS = b".!?,;:"
+#: A span is this many sentences, or as many more as make so many words.
+RUN, MIN_WORDS = 3, 25
+
+#: Texts that repeat something: up to so many, their ids (two longs each) are broadcast.
+BROADCAST_IDS = 500_000
 
-#: A sentence with the white space after it. Every character of a text is in exactly one.
-SENTENCE = r"[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+"
+#: A sentence with the white space after it (ASCII only, so that all regular expression libraries agree). Every character of
+#: a text is in exactly one.
+SENTENCE = "[^.!?\n]+[.!?\n]*[ \t\x0b\f\r\n]*|[.!?\n]+[ \t\x0b\f\r\n]*"
 
 
 def sentences(text: Column) -> Column:
@@ -47,8 +54,8 @@ def _norm_hash(sentence: Column) -> Column:
     return F.when(F.length(bare) > 0, F.xxhash64(bare))
 
 
-def repeated_places(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFrame:
-    """docs (doc long, key long, text) -> (doc, key, places array<int>): the sentences that a non-first repeat covers."""
+def repeated_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs (doc long, key long, text) -> (doc, key, ranges array<start, end>): the sentences that a non-first repeat covers."""
     pieces = docs.select("doc", "key", sentences(F.col("text")).alias("pieces"))
     numbered = pieces.select("doc", "key", F.transform("pieces", lambda s, i: F.struct(i.alias("place"), _norm_hash(s).alias("h"), (F.size(F.split(F.trim(s), r"\s+"))).alias("words"))).alias("all"))
     real = numbered.select("doc", "key", F.filter("all", lambda s: s["h"].isNotNull()).alias("s"))
@@ -75,11 +82,11 @@ def repeated_places(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
     found = written(rows.join(common, "h").select("h", "doc", "key", "start", "end", (order == F.col("low")).alias("leads")), "repeats")
     first = written(found.where("leads").groupBy("h").agg(F.min(F.struct("key", "start")).alias("first")), "first")
     again = found.join(first, "h").where(~F.col("leads") | (F.struct("key", "start") != F.col("first")))
-    return again.groupBy("doc", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "end"))))).alias("places"))
+    return again.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("end") + 1).alias("end")))).alias("ranges"))
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -97,9 +104,9 @@ def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _grams(text: str | None) -> np.ndarray:
-    """Hashes of the grams that a text puts forward; none if it has fewer words than a window."""
-    grams = _rolled(_word_hashes((text or "").lower().translate(_MARKS).split()), GRAM)
+def _grams(words: np.ndarray) -> np.ndarray:
+    """Hashes of the grams that a text (by its word hashes) puts forward; none if it has fewer words than a window."""
+    grams = _rolled(words, GRAM)
     span = WINDOW - GRAM + 1
     if len(grams) < span:
         return grams[:0]
@@ -109,7 +116,7 @@ def _grams(text: str | None) -> np.ndarray:
 
 def _windows(text: str, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, start, end) of the windows around those grams of a text that are in common; start, end: characters."""
-    words = [(w, m.start()) for m in re.finditer(r"\S+", text) if (w := m.group().lower().translate(_MARKS))]
+    words = [(w, m.start()) for m in re.finditer(WORD, text) if (w := text_bytes(m.group()).lower().translate(None, MARKS))]
     hashes = _word_hashes([w for w, _ in words])
     windows = _rolled(hashes, WINDOW)
     hit = np.isin(_rolled(hashes, GRAM), common)
@@ -124,7 +131,10 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [_grams(t.as_py()).view(np.int64) for t in b.column(2)]
+            grams = []
+            for block in blocks_of(b.column(2)):
+                hashes, numbers, counts = numbered_words(block, MARKS)
+                grams += [_grams(w).view(np.int64) for w in np.split(hashes[numbers], np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.list_(pa.int64()))], names=["doc", "key", "grams"])
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +148,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     put = written(docs.mapInArrow(forward, "doc long, key long, grams array<long>").select("doc", "key", F.explode_outer("grams").alias("g")).where("g is not null"), "grams")
     common = written(put.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "common")
     near = written(put.join(common, "g").groupBy("doc", "key").agg(F.collect_set("g").alias("grams")).withColumnsRenamed({"doc": "d", "key": "k"}), "near")
-    met = docs.join(near, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc", "key", "text", "grams")
+    met = _touched(docs, near)[0].where("grams is not null").select("doc", "key", "text", "grams")
     rows = written(met.mapInArrow(around, "doc long, key long, h long, place long, start long, end long"), "windows")
     order = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "key", "place")
     first = written(rows.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").drop("n"), "first")
@@ -148,49 +158,110 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
-def _without(text: Column, ranges: Column) -> Column:
-    """A text without ranges (sorted by start)."""
-    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
-
-    def step(a: Column, r: Column) -> Column:
-        more = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(r["start"] - a["at"], F.lit(0)).cast("int"))
-        return F.struct(F.concat(a["kept"], more).alias("kept"), F.greatest(a["at"], r["end"]).alias("at"))
-
-    return F.aggregate(ranges, start, step, lambda a: F.concat(a["kept"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-
-
-def _touched(text: Column, ranges: Column) -> Column:
-    """How many sentences of a text lose a character by ranges."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"))
-
-    def step(a: Column, s: Column) -> Column:
-        end = a["at"] + F.length(s)
-        return F.struct(end.alias("at"), (a["n"] + F.exists(ranges, lambda r: (r["start"] < end) & (r["end"] > a["at"])).cast("int")).alias("n"))
-
-    return F.aggregate(sentences(text), start, step, lambda a: a["n"])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 8) -> DataFrame:
-    """All rows and columns of docs with repeated spans and windows cut out of the text, and n_sentences, n_removed, removed_chars.
-
-    A span is run consecutive sentences, or as many more as make min_words words (near a text's end, at least min_words). Only
-    the first occurrence of a span stays, in the order of id (null last) and place. Then the same holds for every run of
-    WINDOW words of what is left. All compare without case, white space and marks. n_removed: sentences that lose something. A text that loses nothing stays as it is; null stays null; a text may become empty. Rows equal
-    in id and text are one document (all keep what it keeps). An empty table gives no rows.
+def merged(ranges: list[dict]) -> list[tuple[int, int]]:
+    """Ranges (start, end) in order, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((r["start"], r["end"]) for r in ranges):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+CUT = StructType([StructField("text", StringType()), StructField("touched", IntegerType())])
+
+
+@F.pandas_udf(CUT)
+def without_sentences(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+    """Texts without ranges of their sentences, and how many those are. Rows without a text stay so."""
+    rows = []
+    for t, found in zip(text, ranges, strict=True):
+        if t is None:
+            rows.append((None, 0))
+            continue
+        pieces, kept, at, gone = re.findall(SENTENCE, t), [], 0, 0
+        for start, end in merged(found):
+            kept += pieces[at:start]
+            gone, at = gone + end - start, end
+        rows.append(("".join(kept + pieces[at:]), gone))
+    return pd.DataFrame(rows, columns=["text", "touched"])
+
+
+@F.pandas_udf(CUT)
+def without_characters(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+    """Texts without ranges of their characters, and how many sentences lose a character."""
+    rows = []
+    for t, found in zip(text, ranges, strict=True):
+        if t is None:
+            rows.append((None, 0))
+            continue
+        ends = np.cumsum([len(s) for s in re.findall(SENTENCE, t)])
+        kept, at, touched, last = [], 0, 0, -1
+        for start, end in merged(found):
+            kept.append(t[at:start])
+            at = end
+            first, upto = np.searchsorted(ends, [start, end - 1], "right").tolist()
+            touched += upto - max(first, last + 1) + 1
+            last = upto
+        rows.append(("".join([*kept, t[at:]]), touched))
+    return pd.DataFrame(rows, columns=["text", "touched"])
+
+
+def _touched(rows: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows (doc, key, ...) that side (d, k, ...; each once) has, with side's columns; and the others (None: they are among the
+    first, with nulls).
+
+    Few texts repeat something. Up to BROADCAST_IDS of them, their ids are sent to all tasks and only their texts are shuffled.
+    """
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
+    ids = side.select("d", "k")
+    if ids.count() > BROADCAST_IDS:
+        return rows.join(side, same, "left"), None
+    ids = F.broadcast(ids)
+    return rows.join(ids, same, "left_semi").join(side, same), rows.join(ids, same, "left_anti")
+
+
+def _cut(rows: DataFrame, ranges: DataFrame, cut) -> DataFrame:
+    """rows (row, doc, key, text, touched) with the ranges of each text cut out of it."""
+    joined, others = _touched(rows, ranges.withColumnsRenamed({"doc": "d", "key": "k"}))
+    # only texts that lose something go through Python
+    found = joined.withColumn("new", cut(F.when(F.col("ranges").isNotNull(), F.col("text")), F.col("ranges")))
+    done = found.select("row", "doc", "key", F.when(F.col("ranges").isNotNull(), F.col("new.text")).otherwise(F.col("text")).alias("text"), (F.col("touched") + F.coalesce("new.touched", F.lit(0))).alias("touched"))
+    return done if others is None else done.unionByName(others)
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
+    """(row, text, touched): docs as a struct without the text column, the text that is left, the sentences that lost something."""
+    doc, text = F.col(id_col).cast("long"), F.col(text_col)
+    # the row carries the old length in the text's place
+    rows = docs.select(F.struct(*[(F.length(text) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]).alias("row"), doc.alias("doc"), F.xxhash64(doc, text).alias("key"), text.alias("text"), F.lit(0).alias("touched"))
+    found = written(repeated_sentences(rows.select("doc", "key", "text"), run, min_words), "ranges")
+    spans = written(_cut(rows, found, without_sentences), "spans-cut")
+    ranges = written(repeated_words(spans.select("doc", "key", "text")), "ranges")
+    return _cut(spans, ranges, without_characters)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """All rows and columns of docs with repeated spans and windows cut out of the text, and n_removed and removed_chars (in
+    place of columns of docs with such names).
+
+    A span is run consecutive sentences, or as many more as make min_words words. Only the first occurrence of a span
+    stays, in the order of id (null last) and place. Then the same holds for every run of WINDOW words of what is left.
+    All compare without case, white space and marks. n_removed: sentences that lose something. A text that loses nothing
+    stays as it is; null stays null; a text may become empty. Rows equal in id and text are one document (all keep what it
+    keeps). An empty table gives no rows.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.select("*", F.col(id_col).cast("long").alias("_doc"), key.alias("_key"))
-    places = repeated_places(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col(text_col).alias("text")), run, min_words)
-    side = places.select(F.col("doc").alias("_d"), F.col("key").alias("_k"), "places").withColumnRenamed("places", "_places")
-    joined = keyed.join(side, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    pieces = joined.withColumn("_pieces", sentences(F.col(text_col)))
-    gone = F.coalesce(F.col("_places"), F.array().cast("array<int>"))
-    kept = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter("_pieces", lambda s, i: ~F.array_contains(gone, i)), ""))
-    size = lambda c: F.coalesce(F.length(c), F.lit(0))
-    spans = written(pieces.withColumn("_kept", kept).select(*[F.col("_kept").alias(c) if c == text_col else keyed[c] for c in docs.columns], "_doc", "_key", F.size("_pieces").alias("n_sentences"), F.size(gone).alias("n_removed"), size(text_col).alias("_size")), "spans-cut")
-    ranges = written(repeated_words(spans.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col(text_col).alias("text"))).withColumnsRenamed({"doc": "_d", "key": "_k", "ranges": "_ranges"}), "ranges")
-    done = spans.join(ranges, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    cut = F.col("_ranges").isNotNull()
-    done = done.withColumn("_kept", F.when(cut, _without(F.col(text_col), F.col("_ranges"))).otherwise(F.col(text_col)))
-    n_removed = F.col("n_removed") + F.when(cut, _touched(F.col(text_col), F.col("_ranges"))).otherwise(0)
-    return done.select(*[F.col("_kept").alias(c) if c == text_col else spans[c] for c in docs.columns], "n_sentences", n_removed.alias("n_removed"), (F.col("_size") - size("_kept")).cast("long").alias("removed_chars"))
+    done = _cleaned(docs, id_col, text_col, run, min_words)
+    removed = F.coalesce(F.col("row").getField(text_col) - F.length("text"), F.lit(0)).cast("long")
+    return unboxed(done, docs.columns, **{text_col: F.col("text"), "n_removed": F.col("touched"), "removed_chars": removed})
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
+    """docs with repeats cut out of the text and (where there is such a column) its new length; documents left without a word
+    go. Columns as in docs."""
+    done = _cleaned(docs, id_col, text_col, **({"run": RUN, "min_words": MIN_WORDS} | options)).where(F.col("text").rlike(WORD))
+    new = {text_col: F.col("text")}
+    if n_chars in docs.columns:
+        new[n_chars] = F.length("text").cast("long")
+    return unboxed(done, docs.columns, **new)
