@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower_words, written
-from .components import connected_components
+from .components import bucket_links, connected_components
 
 BLOCK = 1 << 12
 
@@ -108,11 +108,13 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     ranged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(order[0]).sortWithinPartitions(*order)
     found = written(ranged.mapInArrow(run, f"{RESULT}, end int, end_id long, end_text string").withColumn("part", F.when(F.col("end").isNotNull(), F.spark_partition_id())), "fingerprints")
 
-    # a partition's last row meets the first row of the next partition that has rows; the very last meets the very first
+    # a partition's last row meets the first row of the next partition that has rows; the very last meets the very first.
+    # Only the partitions' numbers are put in order in one place
     ends = found.where("end is not null")
-    chain = Window.orderBy("part", "end")
-    last = ends.withColumn("onward", F.lead("end_text").over(chain)).withColumn("head", F.first("end_text").over(chain))
-    last = last.where("end = 1").select("end_id", "end_text", F.coalesce("onward", "head").alias("onward"))
+    heads = ends.where("end = 0").select(F.col("part").alias("next"), F.col("end_text").alias("onward"))
+    chain = Window.orderBy("next")
+    following = heads.select(F.col("next").alias("part"), F.coalesce(F.lead("next").over(chain), F.first("next").over(chain)).alias("next"))
+    last = ends.where("end = 1").join(following, "part").join(heads, "next").select("end_id", "end_text", "onward")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,12 +130,13 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, n_perms: int = 128, bands: int = 32, threshold: float = 0.8) -> DataFrame:
-    """One row (id, class_id, links) for each row of docs: class_id the smallest id reachable over verified links.
+    """One row (id, class_id) for each row of docs: class_id the smallest id reachable over verified links, itself included.
 
-    Documents that share a band of their signature are candidates; each pair of them is verified once, by the exact Jaccard
-    likeness of their shingle sets, so a band of n distinct texts costs n * (n - 1) / 2 pairs. links: the verified links of
-    the document to other distinct texts. Equal shingle sets are one class
-    (texts without words are one). Ids must be distinct; rows with a null id get a null class.
+    Documents that share a band of their signature are candidates; a pair links if the exact Jaccard likeness of their
+    shingle sets is at least threshold (components.bucket_links: no candidate link is lost, and pairs within one class are
+    not all made). Equal shingle sets are one node, and texts without words are alike. Ids may repeat; a null id keeps its
+    row and its links and counts as the largest of its class (a class without ids has a null one). An empty table gives no
+    rows.
     """
     a, b = permutations(n_perms)
     width = n_perms // bands
@@ -144,21 +147,23 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cuts = [signature(s, a, b).reshape(bands, width) for s in sets]
             keys = [[xxhash.xxh3_64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(c)] for c in cuts]
             digest = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "digest", "bands", "shingles"])
-
-    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest long, bands array<long>, shingles array<long>"), "signatures")
-    one = written(rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id")), "distinct")
-    kept = rows.join(one, ["id", "digest"], "left_semi")
-    # written, so that Spark can split a frequent band of the join
-    looks = written(kept.select("id", F.posexplode("bands").alias("band", "key")), "bands")
-    other = looks.select("band", "key", F.col("id").alias("rep"))
-    pairs = looks.join(other, ["band", "key"]).where("id < rep").select("id", "rep").distinct()
-    x = kept.select("id", "shingles")
-    y = kept.select(F.col("id").alias("rep"), F.col("shingles").alias("other"))
-    shared = F.size(F.array_intersect("shingles", "other"))
-    exact = shared / (F.size("shingles") + F.size("other") - shared)
-    links = written(pairs.join(x, "id").join(y, "rep").where(exact >= threshold).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
-    comp = connected_components(links).select(F.col("node").alias("id"), "component")
-    number = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    classes = one.join(comp, "id", "left").join(number, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.select("id", "digest").join(classes, "digest", "left").select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), "links")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "node", "bands", "shingles"])
+
+    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, node long, bands array<long>, shingles array<long>"), "signatures")
+    # all rows of a node have the same bands and shingles
+    one = written(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "distinct")
+    looks = one.select("node", F.size("shingles").cast("long").alias("n"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node", "n")
+    shared = written(looks.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "buckets")
+    crowded = written(looks.join(shared, "key").select("key", "node", "n"), "bands")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (one.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        common = F.size(F.array_intersect("sa", "sb"))
+        exact = common / (F.size("sa") + F.size("sb") - common)
+        return written(pairs.join(x, "a").join(y, "b").where(exact >= threshold).select("a", "b"), "links")
+
+    fits = lambda x, y: (F.col(x) >= threshold * F.col(y) - 1e-9) & (F.col(y) >= threshold * F.col(x) - 1e-9)
+    comp = connected_components(bucket_links(crowded, None, verified, fits))
+    groups = one.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
+    placed = rows.select("id", "node").join(groups, "node")
+    return placed.join(placed.groupBy("group").agg(F.min("id").alias("class_id")), "group").select("id", "class_id")
