@@ -5,8 +5,10 @@ shingles, two sets of likeness t have a common shingle among the first n - ceil(
 with the hottest shingles (by a sample of the texts) last, so that a common line fills no bucket; the result does not
 depend on which shingles count as hot. Every proposed pair is verified on the exact sets.
 
-Links are found in two passes, as in simhash.link_components: with one representative of each bucket, then between rows
-of a bucket whose components still differ.
+Links are found in three passes: by look-ups, which join most of each group; then between a representative of each bucket
+of a prefix shingle and the bucket's rows of other components; then between rows of a bucket whose components still differ.
+
+Texts with the same shingle set are one node, whatever their ids, so ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import connected_components
-from .minhash import shingle_hashes
-from .simhash import fingerprint_words, proposed_links
+from .common import boxed, unboxed, written
+from .components import bucket_links, connected_components
+from .simhash import majority, proposed_links
+from .words import shingles_of
 
 #: Texts that are sampled for hot shingles, how many of them a hot shingle stands in, and most hot shingles.
 SAMPLE_TEXTS, HOT_TEXTS, HOT_SHINGLES = 20_000, 3, 100_000
@@ -34,56 +36,72 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def prefix(hashes: np.ndarray, hot: np.ndarray, threshold: float) -> np.ndarray:
-    """The first shingles of a set (distinct, ascending); those in hot come after all others."""
-    is_hot = np.isin(hashes, hot)
+    """The first shingles of a set (distinct, ascending); those in hot (ascending, not empty) come after all others."""
+    is_hot = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
     n = len(hashes)
     return np.concatenate([hashes[~is_hot], hashes[is_hot]])[: n - math.ceil(threshold * n - 1e-9) + 1]
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    places = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(places), pa.array(flat.view(np.int64)))
+
+
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """rows (id, text) -> (node, shingles), a row for each row; node stands for the set."""
+    """rows (text) -> (node, shingles), a row for each row; node stands for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [np.unique(s) for s in shingles_of(b.column(0), shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
 
-    return rows.select("id", "text").mapInArrow(run, "node long, shingles array<long>")
+    return rows.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def hot_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that stand in many texts of a sample, HOT_SHINGLES at most."""
+    """Shingles that stand in many texts of a sample, HOT_SHINGLES at most, in order; a number that is none if there are none."""
     share = SAMPLE_TEXTS / max(rows.count(), 1)
-    sample = shingle_sets(rows.where(F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(1_000_000)) / 1e6 < share), shingle)
+    sample = shingle_sets(rows.where(F.pmod(F.xxhash64(F.lit(5), F.col("id"), F.col("key")), F.lit(1_000_000)) / 1e6 < share), shingle)
     counts = sample.select(F.explode_outer("shingles").alias("s")).where("s is not null").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_TEXTS)
-    return np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).select("s").collect()], np.int64).view(np.uint64)
+    found = [r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).select("s").collect()]
+    return np.sort(np.array(found or [0], np.int64).view(np.uint64))
 
 
 def signatures(rows: DataFrame, shingle: int, threshold: float, n_longs: int) -> DataFrame:
-    """rows (id, text) -> (id, node, n, fp, prefix)."""
+    """rows (id, key, text) -> (id, key, node, n, fp, prefix)."""
     hot = hot_shingles(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            sets = [shingle_hashes(t, shingle) for t in texts]
-            prints = [fingerprint_words(t, shingle, n_longs) for t in texts]
-            lists = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(prints), lists([prefix(s, hot, threshold) for s in sets])], names=["id", "node", "n", "fp", "prefix"])
+            prints, nodes, sizes, first = [], [], [], []
+            for hashes in shingles_of(b.column(2), shingle):
+                own = np.unique(hashes)
+                prints.append(majority(hashes, n_longs))
+                nodes.append(_digest(own))
+                sizes.append(len(own))
+                first.append(prefix(own, hot, threshold))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(prints), _lists(first)], names=["id", "key", "node", "n", "fp", "prefix"])
+
+    return rows.select("id", "key", "text").mapInArrow(run, "id long, key long, node long, n long, fp array<long>, prefix array<long>")
 
-    return rows.select("id", "text").mapInArrow(run, "id long, node long, n long, fp array<long>, prefix array<long>")
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as (row, id, key, text); key tells texts of one id apart."""
+    ident, text = F.col(id_col).cast("long"), F.col(text_col)
+    return boxed(docs, id=ident, key=F.xxhash64(ident, text), text=text)
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, n_longs: int = 1, **search: int) -> DataFrame:
-    """One row (id, component) for each row of docs; component: the smallest id reachable over links, itself included.
+
+def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5, n_longs: int = 1, **search: int) -> DataFrame:
+    """rows (id, key, text) -> (id, key, group) for each row: rows of one group are connected by links.
 
     A link: two texts whose shingle sets have a likeness of at least threshold (texts without words are alike). search
     goes to simhash.proposed_links and has no influence on the result. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signs = written(signatures(rows, shingle, threshold, n_longs), "signatures")
-    ids = written(signs.groupBy("node").agg(F.min("id").alias("id")), "nodes")
-    one = written(signs.groupBy("node").agg(F.min_by(F.struct("n", "fp", "prefix"), "id").alias("s"), F.min("id").alias("id")).select("node", "id", "s.*"), "sets")
+    # a row for each node (or several alike, if a row of docs is repeated)
+    reps = written(signs.groupBy("node").agg(F.min(F.struct("id", "key")).alias("r")).select(F.col("node").alias("rep"), "r.*"), "nodes")
+    one = signs.join(reps, (signs["node"] == reps["rep"]) & signs["id"].eqNullSafe(reps["id"]) & (signs["key"] == reps["key"]), "left_semi").select("node", "n", "fp", "prefix")
     fits = lambda x, y: (F.col(x) >= threshold * F.col(y) - 1e-9) & (F.col(y) >= threshold * F.col(x) - 1e-9)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -93,34 +111,50 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # common shingles are in both prefixes, or after the end of that prefix which ends first
         most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
         possible = fits("na", "nb") & (most * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
-        left = written(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b"), "pairs")
+        left = written(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b").distinct(), "pairs")
         nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(one.join(nodes, "node", "left_semi").select("id").distinct(), "wanted")
-        sets = written(shingle_sets(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]), "left_semi"), shingle).dropDuplicates(["node"]), "shingles")
+        # of each node a row, to read its text again
+        wanted = written(reps.join(nodes, reps["rep"] == nodes["node"], "left_semi").select(F.col("id").alias("i"), F.col("key").alias("k")).distinct(), "wanted")
+        texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["i"]) & (rows["key"] == wanted["k"]), "left_semi")
+        sets = written(shingle_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
         shared = F.size(F.array_intersect("sa", "sb"))
         exact = shared / (F.size("sa") + F.size("sb") - shared) >= threshold
         sa, sb = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
         return written(left.join(sa, "a").join(sb, "b").where(exact).select("a", "b"), "links")
 
     keys = one.select("node", "n", F.explode_outer("prefix").alias("key")).where("key is not null")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("low")).where("k > 1")
-    crowded = written(keys.join(written(buckets, "buckets"), "key").select("key", "node", "n", "low"), "crowded")
-    star = crowded.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    shared_keys = written(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "buckets")
+    crowded = written(keys.join(shared_keys, "key").select("key", "node", "n"), "crowded")
     seen = proposed_links(one.select(F.col("node").alias("id"), "fp"), n_longs, **search)
-    first = connected_components(verified(star.unionByName(seen).distinct()))
-
-    places = written(crowded.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "places")
-    # the component with most rows in a bucket never meets itself
-    sizes = places.groupBy("key", "component").agg(F.count("*").alias("k"))
-    lead = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = written(places.join(lead, "key").select("key", "node", "n", "component", (F.col("component") == F.col("lead")).alias("led")), "mixed")
-    left = mixed.where("not led").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "led")
-    # of two rows that are both not led, one order is enough
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & fits("na", "nb") & (F.col("led") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
-    second = verified(rest)
-
-    both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
-    groups = ids.join(connected_components(both), "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
-    smallest = groups.groupBy("group").agg(F.min("id").alias("component"))
-    return signs.select("id", "node").join(groups.select("node", "group").join(smallest, "group"), "node").select("id", "component")
+    links = bucket_links(crowded, verified(seen), verified, fits)
+    groups = reps.select(F.col("rep").alias("node")).join(connected_components(links), "node", "left").select("node", F.coalesce("component", "node").alias("group"))
+    return signs.select("id", "key", "node").join(groups, "node").select("id", "key", "group")
+
+
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row (id, component) for each row of docs; component: the smallest id of its group (near_copy_groups).
+
+    A null id keeps its row and its links and counts as the largest of its group; a group without ids has a null component.
+    """
+    groups = near_copy_groups(keyed(docs, id_col, text_col), **options)
+    return groups.join(groups.groupBy("group").agg(F.min("id").alias("component")), "group").select("id", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without near copies: of each group (near_copy_groups) the row of the smallest id stays, of equal ids one text.
+
+    A null id counts as the largest. Of rows equal in id and text one stays. Columns as in docs; their names do not matter.
+    """
+    rows = keyed(docs, id_col, text_col)
+    groups = near_copy_groups(rows, **options)
+    best = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    texts = groups.groupBy("group", "id", "key").agg(F.count("*").alias("n"))
+    kept = written(texts.groupBy("group").agg(F.min(best).alias("b"), F.min_by("n", best).alias("n")).select(F.col("b.id").alias("i"), F.col("b.key").alias("k"), "n"), "kept")
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
+
+    # only rows that are there more than once are grouped
+    others = F.xxhash64(*[F.col("row").getField(c).cast("string") for c in docs.columns if c != text_col])
+    again = of(kept.where("n > 1")).groupBy("id", "key").agg(F.min_by("row", others).alias("row"))
+    return unboxed(of(kept.where("n = 1")).select("row").unionByName(again.select("row")), docs.columns)

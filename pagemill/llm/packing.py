@@ -104,7 +104,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     A document is its text's ids (null: empty) and end_id, so an empty text has one id. tier is the sequence's length.
     sequence_id and step_group are distinct over the table: the partition's number, the batch's and the place in it.
-    Repeated rows are packed as documents of their own. A null id stays null. An empty table gives no rows.
+    Repeated rows are packed as documents of their own. A null id stays null. Documents of one length are taken in the
+    order of the partition's rows. A text of any length is cut into pieces. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

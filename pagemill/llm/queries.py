@@ -20,47 +20,57 @@ from .tokens import token_counts
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, from the plan of the stream (mixing.mix_plan has the cases)."""
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of at most 2048 ids (packing.pack has the cases)."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (simhash.simhash_components has the cases)."""
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with repeated spans and windows cut out of its text (substrings.remove_repeats has the cases)."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict and counts of every document (quality.quality has the cases)."""
     found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept")
 
 
 def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and likeness (minhash.fingerprints_with_edits has the cases)."""
     return fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written in shards and read back (sstable.write_shards and read_shards have the cases)."""
     folder, shards = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_shards(spark, folder, shards)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document (tokens.token_counts has the cases)."""
     found = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
     return found.withColumnRenamed("id", "doc_id")
 
 
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under the model of those that are not held out (katz.katz_scores has the cases)."""
     return katz_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document (kneser_ney.classify has the cases)."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

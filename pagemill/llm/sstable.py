@@ -16,6 +16,7 @@ Keys order as bytes: 0 and the id with its sign bit flipped, big-endian; a null
 from __future__ import annotations
 
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -39,6 +40,9 @@ FOOTER = struct.Struct("<7Q")
 BLOCK_BYTES = 64 << 10
 #: A shard is closed when its blocks hold this much (uncompressed), so a reader's memory has a bound.
 SHARD_BYTES = 16 << 20
+#: Wanted keys that a look-up takes to a shard at once.
+LOOKUP_KEYS = 10_000
+LOOKUP_SHARDS = 200_000
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 
 
@@ -176,17 +180,18 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> tuple[str, DataFrame]:
     """Write the ids of all docs (a null text: only end_id) to a new folder of shards in ascending id order.
 
-    Returns the folder and a table of the shards: shard, first_id, n_docs, n_ids. Texts are range-partitioned by id
+    Returns the folder and a table of the shards: shard, first_id, last_id, n_docs, n_ids. Texts are range-partitioned by id
     (null last, equal ids by text); each task encodes and writes its range, rolling to a new shard at SHARD_BYTES. A
     shard is written under a name of its own and then moved to its final one, so a task that runs again only replaces
-    files by the same. The files go through pyarrow's file systems, by the scheme of the folder.
+    files by the same. The files go through pyarrow's file systems, by the scheme of the folder
+    (hdfs needs its native library on the workers).
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = SegmentEncoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))  # Spark's names of that store
         store.create_dir(root, recursive=True)
         part, shards, writer = TaskContext.get().partitionId(), [], None
 
@@ -195,7 +200,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
             with store.open_output_stream(hidden := f"{root}/_{name}.{uuid.uuid4().hex}") as f:
                 f.write(writer.finish())
             store.move(hidden, f"{root}/{name}")
-            shards.append((name, id_of(writer.keys[0]), len(writer.keys), writer.ids))
+            shards.append((name, id_of(writer.keys[0]), id_of(writer.keys[-1]), len(writer.keys), writer.ids))
 
         for b in batches:
             for key, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1), end), strict=True):
@@ -207,11 +212,11 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
         if writer:
             close()
         if shards:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*shards, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "first_id", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*shards, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "first_id", "last_id", "n_docs", "n_ids"])
 
     order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     ranged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(*order[:1]).sortWithinPartitions(*order)
-    return folder, written(ranged.mapInArrow(run, "shard string, first_id long, n_docs long, n_ids long"), "manifest")
+    return folder, written(ranged.mapInArrow(run, "shard string, first_id long, last_id long, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
@@ -233,20 +238,15 @@ def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id long) -> (doc_id, ids array<int>), a row for each document of each distinct wanted id.
+def lookup(spark: SparkSession, folder: str, wanted: DataFrame, shards: DataFrame) -> DataFrame:
+    """wanted (doc_id long) -> (doc_id, ids array<int>), a row for each document of each distinct wanted id (null among them).
 
-    Shards are opened where their range of ids holds a wanted one; within a shard the Bloom filter and a binary search of
-    the block index leave one block to unpack.
+    shards: the table that write_shards gave. It tells by first and last id which shards may hold an id, so no other file is
+    opened; within a shard the Bloom filter and a binary search of the block index leave one block to unpack. A shard's
+    wanted keys come in groups of about LOOKUP_KEYS, so a task holds few of them. Up to LOOKUP_SHARDS shards, their ranges
+    (two numbers and a name each) are sent to all tasks; more are joined by range.
     """
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard = Shard(data.as_py())
-                first, last = next(shard.block(0))[0], shard.blocks[-1][0]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.binary()), pa.array([last], pa.binary())], names=["shard", "first", "last"])
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, keys in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -255,10 +255,27 @@ def lookup(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
-    bounds = files.mapInArrow(ranges, "shard string, first binary, last binary")
+    place = lambda c: F.coalesce(c, F.lit((1 << 63) - 1))
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), place(F.col("doc_id").cast("long")).alias("at")).distinct()
+    bounds = shards.select("shard", place(F.col("first_id")).alias("first"), place(F.col("last_id")).alias("last"))
+    if bounds.count() <= LOOKUP_SHARDS:
+        table = sorted((r["first"], r["last"], r["shard"]) for r in bounds.collect())  # a row for each file
+        first, last = (np.array([t[k] for t in table], np.int64) for k in (0, 1))
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column(1).to_numpy()
+                low, high = np.searchsorted(last, at, "left"), np.searchsorted(first, at, "right")
+                rows = [(key, table[k][2]) for key, x, y in zip(b.column(0).to_pylist(), low.tolist(), high.tolist(), strict=True) for k in range(x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "shard"])
+
+        hits = ids.mapInArrow(placed, "doc_id long, shard string")
+    else:
+        hits = ids.join(bounds, F.col("at").between(F.col("first"), F.col("last"))).select("doc_id", "shard")
     # the key of an id: 0, then the id with its sign flipped, big-endian
     key = F.when(F.col("doc_id").isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))))
-    keys = wanted.select(key.alias("key")).distinct()
-    hits = keys.join(bounds, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last")))
-    return files.join(hits.groupBy("shard").agg(F.collect_list("key").alias("keys")), "shard").select("content", "keys").mapInArrow(find, "doc_id long, ids array<int>")
+    parts = hits.groupBy("shard").agg(F.ceil(F.count("*") / LOOKUP_KEYS).alias("parts"))
+    asked = hits.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), key.alias("key"))
+    asked = asked.groupBy("shard", "part").agg(F.collect_list("key").alias("keys"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+    return files.join(asked, "shard").select("content", "keys").mapInArrow(find, "doc_id long, ids array<int>")

@@ -63,6 +63,22 @@ def targets(sizes, weights=(5, 2, 1), repeat=3):
     return out
 
 
+def mix(rows, budget, repeat=3):
+    """rows of (id, row_key, source, size, source_size, target) -> how often each (id, row_key) is taken: sources one after the
+    other in the order of row_key, all copies by the middle of their virtual time, until the budget is used up."""
+    stream, upto = [], Counter()
+    for k, r in enumerate(sorted(rows, key=lambda r: (r["row_key"], r["id"] is not None, r["id"] or 0))):
+        upto[r["source"]] += r["size"]
+        for e in range(repeat):
+            words = r["source_size"] * e + upto[r["source"]] - r["size"] / 2
+            stream.append((words / r["target"] if r["target"] > 0 else 0.0, r["row_key"], e, k, r["id"], r["size"]))
+    out, total = Counter({(r["id"], r["row_key"]): 0 for r in rows}), 0
+    for _, key, _, _, i, size in sorted(stream, key=lambda x: x[:4]):
+        total += size
+        out[i, key] += total - size / 2 <= budget
+    return out
+
+
 def base_quality(text):
     w = words(text)
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -88,12 +104,14 @@ def katz(docs, k=5):
 
     def rule(counts):
         n = Counter(counts.values())
-        d = [0.0] * (k + 1)
-        c = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-        for r in range(1, k + 1):
-            d[r] = ((r + 1) * n[r + 1] / n[r] / r - c) / (1 - c) if n[r] and c < 1 else 0.0
-        if not all(0 < x < 1 for x in d[1:]):
-            d = [1.0] + [1 - 0.5 / r for r in range(1, k + 1)]
+        points = [(math.log(r), math.log(n[r])) for r in range(1, k + 2) if n[r]]
+        b = -2.0
+        if len(points) > 1:
+            mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+            b = min(sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points), -1.05)
+        smooth = lambda r: r**b
+        c = (k + 1) * smooth(k + 1) / smooth(1)
+        d = [1.0] + [((r + 1) * smooth(r + 1) / smooth(r) / r - c) / (1 - c) for r in range(1, k + 1)]
         return lambda x: x * d[x] if x <= k else x - k * (1 - d[k])
 
     d1, d2 = rule(uni), rule(bi)
@@ -115,3 +133,108 @@ def katz(docs, k=5):
         base = sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))) for w in t)
         out.append((h, len(t), sum(w in uni for w in t), total, base, sum(math.log10(p(v, w)) for v, w in zip(["<s>", *t[:-1]], t, strict=True))))
     return out
+
+
+def kneser_ney(texts):
+    """Interpolated modified Kneser-Ney trigrams -> (perplexity of a text, probability of a word after two others)."""
+    tokens = [[*words(t), "\n"] for t in texts]
+    seen = Counter(w for t in tokens for w in t)
+    vocab = {w for w, n in seen.items() if n > 1} | ({"\n"} if tokens else set())
+    n_oov = len(seen) - len(vocab)
+    known = lambda w: w if w in vocab or w == "<s>" else "<unk>"
+    grams = lambda t: list(zip(["<s>", "<s>", *t], ["<s>", *t], t, strict=False))
+    c3 = Counter(tuple(map(known, g)) for t in tokens for g in grams(t))
+    c2 = Counter()
+    for (_, v, w), n in c3.items():
+        c2[v, w] += n if v == "<s>" else 1
+    c1 = Counter(w for _, w in c2)
+
+    def rule(counts):
+        n = Counter(c for c in counts.values() if c <= 4)
+        b = -2.0
+        if len(n) > 1:
+            xs, ys = [math.log(r) for r in n], [math.log(k) for k in n.values()]
+            mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+            b = min(sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / sum((x - mx) ** 2 for x in xs), 0.0)
+        y = 1 / (1 + 2 * 2**b)
+        d = [0, *[r - (r + 1) * y * ((r + 1) / r) ** b for r in (1, 2, 3)]]
+        return lambda c: d[min(c, 3)]
+
+    d1, d2, d3 = rule(c1), rule(c2), rule(c3)
+    total = sum(c1.values())
+    uniform = sum(d1(c) for c in c1.values()) / total / (len(vocab) + 1)
+    after2, after3 = defaultdict(list), defaultdict(list)
+    for (v, w), c in c2.items():
+        after2[v].append(c)
+    for (u, v, w), c in c3.items():
+        after3[u, v].append(c)
+
+    def p1(w):
+        return (c1[w] - d1(c1[w])) / total + uniform if c1[w] else uniform
+
+    def p2(v, w):
+        if not after2[v]:
+            return p1(w)
+        n = sum(after2[v])
+        own = (c2[v, w] - d2(c2[v, w])) / n if c2[v, w] else 0.0
+        return own + sum(map(d2, after2[v])) / n * p1(w)
+
+    def p3(u, v, w):
+        if not after3[u, v]:
+            return p2(v, w)
+        n = sum(after3[u, v])
+        own = (c3[u, v, w] - d3(c3[u, v, w])) / n if c3[u, v, w] else 0.0
+        return own + sum(map(d3, after3[u, v])) / n * p2(v, w)
+
+    def perplexity(text):
+        t = [known(w) for w in [*words(text), "\n"]]
+        logs = [math.log(p3(u, v, w) / (n_oov + 1 if w == "<unk>" else 1)) for u, v, w in grams(t)]
+        return math.exp(-sum(logs) / len(logs))
+
+    return perplexity, p3, [*vocab, "<unk>"], list(after3)
+
+
+def without_repeats(docs, run=3, least=25, window=50):
+    """docs [(id, text)], distinct -> {(id, text): what is left}: spans of sentences first, then windows of words."""
+    order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, xxhash.xxh64_intdigest((d[1] or "").encode(), 42)))
+    cut = re.compile("[^.!?\\n]+[.!?\\n]*[ \\t\\x0b\\f\\r\\n]*|[.!?\\n]+[ \\t\\x0b\\f\\r\\n]*")
+    bare = lambda s: re.sub("[\\s.!?,;:]+", "", s.lower())
+    first, left = {}, {}
+    spans = {}
+    for d in order:
+        pieces = cut.findall(d[1] or "")
+        real = [k for k, s in enumerate(pieces) if bare(s)]
+        spans[d] = []
+        for at in range(max(1, len(real) - run + 1) if real else 0):
+            taken, n = [], 0
+            for k in real[at:]:
+                if len(taken) >= run and n >= least:
+                    break
+                taken.append(k)
+                n += len(pieces[k].split())
+            if n >= least:
+                key = tuple(bare(pieces[k]) for k in taken)
+                spans[d].append((key, taken[0], taken[-1]))
+                first.setdefault(key, (d, taken[0]))
+    for d in order:
+        pieces = cut.findall(d[1] or "")
+        gone = {k for key, a, b in spans[d] if first[key] != (d, a) for k in range(a, b + 1)}
+        left[d] = "".join(s for k, s in enumerate(pieces) if k not in gone) if d[1] is not None else None
+    first = {}
+    found = {}
+    for d in order:
+        text = left[d] or ""
+        ws = [(m.group().lower().translate(str.maketrans("", "", ".!?,;:")), m.start()) for m in WORD.finditer(text)]
+        ws = [w for w in ws if w[0]]
+        ends = [*(p for _, p in ws[1:]), len(text)] if ws else []
+        found[d] = [(tuple(w for w, _ in ws[k : k + window]), k, ws[k][1], ends[k + window - 1]) for k in range(len(ws) - window + 1)]
+        for key, k, _, _ in found[d]:
+            first.setdefault(key, (d, k))
+    for d in order:
+        text, gone = left[d], set()
+        for key, k, a, b in found[d]:
+            if first[key][0] != d or k >= first[key][1] + window:
+                gone |= set(range(a, b))
+        if gone:
+            left[d] = "".join(c for k, c in enumerate(text) if k not in gone)
+    return left
