@@ -7,51 +7,37 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm.common import WORD, table, written
+from pagemill.llm.common import table, written
 from pagemill.llm.mixing import mix
-from pagemill.llm.near_copies import near_copy_components
+from pagemill.llm.near_copies import one_of_each
 from pagemill.llm.packing import pack
-from pagemill.llm.quality import quality
-from pagemill.llm.substrings import remove_repeats
-
-#: Near copies: fingerprints of 576 bits over five-word shingles. Two texts of shingle likeness 0.8 differ in 86 of the
-#: bits on average, with a deviation of 9; 94 takes most of those along, and unrelated texts differ in 288. Segments of 26
-#: bits keep chance matches rare (of n fingerprints, about n / 2**26 for each look-up), and twenty of them find a pair of
-#: likeness 0.8 with a chance of 0.82, of 0.85 with 0.98. near_copy_components finds the others by shingle prefixes, and
-#: verifies all on the shingle sets, so these numbers decide the cost but not the result.
-NEAR_COPIES = {"shingle": 5, "n_longs": 9, "segments": 20, "segment_bits": 26, "radius": 1, "max_distance": 94}
+from pagemill.llm.quality import without_bad_lines
+from pagemill.llm.substrings import without_repeats
+
+#: Near copies: fingerprints of 256 bits over five-word shingles. Two texts of shingle likeness 0.8 differ in 38 of the bits
+#: on average, with a deviation of 6, and unrelated texts in 128; 48 takes most of those along. Eight segments of 32 bits
+#: keep chance matches rare (of n fingerprints, about n / 2**32 for each look-up) and find a pair of likeness 0.9 with a
+#: chance of 0.94. near_copies finds the others by shingle prefixes, and verifies all on the shingle sets, so these numbers
+#: decide the cost but not the result.
+NEAR_COPIES = {"shingle": 5, "n_longs": 4, "segments": 8, "segment_bits": 32, "radius": 1, "max_distance": 48}
 LIKENESS = 0.8
 
 
-def with_text(docs: DataFrame, like: DataFrame, text: str) -> DataFrame:
-    """The columns of like, with the text from another column and n_chars to match."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in like.columns])
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule go; documents that are rejected go."""
-    found = quality(docs.drop("clean_text"))
-    return with_text(found.where("kept"), docs, "clean_text")
+    return without_bad_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest id. Rows without an id go by their text."""
-    ident = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    keyed = docs.withColumn("_ident", ident)
-    groups = near_copy_components(keyed, id_col="_ident", threshold=LIKENESS, **NEAR_COPIES)
-    kept = groups.where("id = component").select(F.col("id").alias("_ident")).distinct()
-    first = F.row_number().over(Window.partitionBy("_ident").orderBy("text"))
-    return keyed.join(kept, "_ident", "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    """One document of each group of near copies stays: the one of the smallest id (null last)."""
+    return one_of_each(docs, threshold=LIKENESS, **NEAR_COPIES)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans that stand in an earlier document go; documents left without a word go."""
-    found = remove_repeats(docs.withColumn("_text", F.col("text")), text_col="_text")
-    return with_text(found, docs, "_text").where(F.col("text").rlike(WORD))
+    return without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
