@@ -22,6 +22,8 @@ from .common import WORD, boxed, unboxed, written
 
 #: A table of sources up to this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: A plan of up to this many documents is broadcast to their texts (some 50 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def words_in(text: Column) -> Column:
@@ -103,7 +105,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = mix_plan(docs, id_col, text_col, source_col, weights, repeat, seed).where("copies > 0")
     step = F.coalesce(F.col("source_size") / F.when(F.col("target") > 0, F.col("target")), F.lit(0.0))
     times = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda e: F.col("finish") + step * (e - 1))
-    plan = plan.groupBy(F.col("id").alias("plan_id"), F.col("row_key").alias("plan_key")).agg(F.max_by(times, F.col("copies")).alias("times"))
+    plan = written(plan.groupBy(F.col("id").alias("plan_id"), F.col("row_key").alias("plan_key")).agg(F.max_by(times, F.col("copies")).alias("times")), "taken")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     keyed = boxed(docs, id=F.col(id_col), key=row_key(id_col, text_col, source_col, seed))
     stream = keyed.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("key") == F.col("plan_key"))).select("row", "key", F.explode("times").alias("finish"))
     return unboxed(stream.repartitionByRange("finish", "key").sortWithinPartitions("finish", "key"), docs.columns)

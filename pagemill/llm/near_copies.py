@@ -5,7 +5,8 @@ shingles, two sets of likeness t have a common shingle among the first n - ceil(
 with the hottest shingles (by a sample of the texts) last, so that a common line fills no bucket; the result does not
 depend on which shingles count as hot. Every proposed pair is verified on the exact sets.
 
-Links are found in three passes: by look-ups, which join most of each group; then between a representative of each bucket
+Links are found in passes: by one look-up of each text, which joins most of each group; by its other look-ups, where they
+meet other components; then between a representative of each bucket
 of a prefix shingle and the bucket's rows of other components; then between rows of a bucket whose components still differ.
 
 Texts with the same shingle set are one node, whatever their ids, so ids may repeat or be null.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import boxed, unboxed, written
 from .components import bucket_links, connected_components
-from .simhash import majority, proposed_links
+from .simhash import first_pairs, further_pairs, looked_up, majority, within
 from .words import shingles_of
 
 #: Texts that are sampled for hot shingles, how many of them a hot shingle stands in, and most hot shingles.
@@ -92,11 +93,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return boxed(docs, id=ident, key=F.xxhash64(ident, text), text=text)
 
 
-def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5, n_longs: int = 1, **search: int) -> DataFrame:
+def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5, n_longs: int = 1, segments: int = 2, segment_bits: int = 32, radius: int = 1, max_distance: int = 3) -> DataFrame:
     """rows (id, key, text) -> (id, key, group) for each row: rows of one group are connected by links.
 
-    A link: two texts whose shingle sets have a likeness of at least threshold (texts without words are alike). search
-    goes to simhash.proposed_links and has no influence on the result. An empty table gives no rows.
+    A link: two texts whose shingle sets have a likeness of at least threshold (texts without words are alike). segments,
+    segment_bits, radius and max_distance are those of the SimHash look-ups and have no influence on the result. An empty
+    table gives no rows.
     """
     signs = written(signatures(rows, shingle, threshold, n_longs), "signatures")
     # a row for each node (or several alike, if a row of docs is repeated)
@@ -125,8 +127,12 @@ def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5,
     keys = one.select("node", "n", F.explode_outer("prefix").alias("key")).where("key is not null")
     shared_keys = written(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "buckets")
     crowded = written(keys.join(shared_keys, "key").select("key", "node", "n"), "crowded")
-    seen = proposed_links(one.select(F.col("node").alias("id"), "fp"), n_longs, **search)
-    links = bucket_links(crowded, verified(seen), verified, fits)
+    prints = one.select(F.col("node").alias("id"), "fp")
+    hits = looked_up(prints, segments, segment_bits, radius)
+    near = lambda pairs: verified(within(pairs, prints, n_longs, max_distance))
+    links = near(first_pairs(hits))
+    links = links.unionByName(near(further_pairs(hits, connected_components(links))))
+    links = bucket_links(crowded, links, verified, fits)
     groups = reps.select(F.col("rep").alias("node")).join(connected_components(links), "node", "left").select("node", F.coalesce("component", "node").alias("group"))
     return signs.select("id", "key", "node").join(groups, "node").select("id", "key", "group")
 
