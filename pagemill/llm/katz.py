@@ -34,7 +34,7 @@ from .common import written
 from .words import numbered_words, text_views
 
 #: A chunk closes at this many bytes of text, or rows.
-CHUNK_BYTES, CHUNK_ROWS = 5 << 19, 1 << 16
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 1 << 16
 #: Bytes of text for each shard of the key space.
 SHARD_BYTES = 6 << 20
 #: Good-Turing discounts hold for counts up to this; larger counts lose as much as this one does, so that every history
