@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import LEAST_DISTINCT, LEAST_WORDS, MARKS as AUDIT_MARKS, MOST_CAPITALS, audit
 from .common import WORD, table
+from .exact import SPACE, exact_groups
+from .fim import fill_in_middle, restored
 from .katz import katz_scores
 from .kneser_ney import classify
 from .minhash import fingerprints_with_edits
@@ -74,7 +77,25 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_simhash_near_duplicates, op4_repeated_spans, op5_quality_rules, op6_minhash_fingerprints, op7_token_shards, op8_token_counts, op9_katz_scores, op10_kneser_ney_quality)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of five filters keeps and removes, for each source (audit.audit has the cases)."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digest of every document's transformed text, and of the text rebuilt from it (fim.fill_in_middle has the cases)."""
+    found = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[v.alias(k) for k, v in digests.items()])
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document among equal texts, and the digest of its text (exact.exact_groups has the cases)."""
+    found = exact_groups(table(spark, sf_dir, "documents"), all_hashes=True)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_simhash_near_duplicates, op4_repeated_spans, op5_quality_rules, op6_minhash_fingerprints, op7_token_shards, op8_token_counts, op9_katz_scores, op10_kneser_ney_quality, op11_filter_audit, op12_fill_in_middle, op13_exact_duplicates)}
 
 
 def _count(text: str, pattern: str) -> str:
@@ -101,5 +122,45 @@ def _quality_sql() -> str:
     FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)"""
 
 
+def _audit_sql() -> str:
+    marks = AUDIT_MARKS.decode()
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), $q${WORD}$q$) AS w FROM documents),
+    lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(w) < {LEAST_WORDS})::INT + 2 * (100 * len(list_distinct(w)) < {LEAST_DISTINCT} * len(w))::INT + 4 * (100 * {_count("text", "[A-Z]")} > {MOST_CAPITALS} * length(text))::INT
+                 + 8 * regexp_matches(text, '[{marks}]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS mask
+          FROM d LEFT JOIN lab USING (doc_id)),
+    c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+    l(f, name) AS (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')),
+    orders AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.f, b.f, c.f, d.f, e.f] AS fs
+               FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    steps AS (SELECT filter_order, k::INT AS step, fs[k] AS f, coalesce(list_sum(list_transform(fs[1:k - 1], lambda x: 1 << x)), 0)::INT AS before FROM orders, range(1, 6) AS r(k)),
+    states AS (SELECT part, s.before, s.f, coalesce(sum(n) FILTER (mask & (s.before | (1 << s.f)) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & s.before = 0 AND mask & (1 << s.f) <> 0), 0) AS removed,
+                      coalesce(sum(n) FILTER (mask & s.before <> 0 AND mask & (1 << s.f) <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = 1 << s.f), 0) AS unique_fails,
+                      coalesce(sum(good) FILTER (mask & s.before = 0 AND mask & (1 << s.f) <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & s.before = 0 AND mask & (1 << s.f) <> 0), 0) AS toxic_lost
+               FROM c, (SELECT DISTINCT before, f FROM steps) s GROUP BY part, s.before, s.f)
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+           good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+    FROM steps JOIN states USING (before, f)"""
+
+
+FILL_IN_MIDDLE_SQL = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id::VARCHAR) AS s FROM documents),
+    h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS y, ('0x' || s[17:24])::BIGINT % 100 AS h3, ('0x' || s[25:32])::BIGINT % 100 AS h4 FROM d),
+    p AS (SELECT doc_id, text, n, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1:n], '') AS suffix,
+                 CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p"""
+
+
+EXACT_SQL = f"""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g')) AS text_sha256 FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+    FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
+
+
 #: The others work on token ids, hashes that DuckDB lacks, or models; their tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _quality_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _quality_sql(), "op11_filter_audit": _audit_sql(), "op12_fill_in_middle": FILL_IN_MIDDLE_SQL, "op13_exact_duplicates": EXACT_SQL}

@@ -238,3 +238,68 @@ def without_repeats(docs, run=3, least=25, window=50):
         if gone:
             left[d] = "".join(c for k, c in enumerate(text) if k not in gone)
     return left
+
+
+def audit_masks(rows):
+    """rows (id, part, text) -> the filters A to E that each fails, as a set."""
+    found = []
+    for i, _, text in rows:
+        text = text or ""
+        w = words(text)
+        fails = {"A"} if len(w) < 50 else set()
+        if 100 * len(set(w)) < 65 * len(w):
+            fails.add("B")
+        if 100 * sum("A" <= c <= "Z" for c in text) > 5 * len(text):
+            fails.add("C")
+        if any(c in "#$%&*|" for c in text):
+            fails.add("D")
+        smaller = lambda j, i=i: j is not None and (i is None or j < i)
+        if any((t or "") == text and smaller(j) for j, _, t in rows):
+            fails.add("E")
+        found.append(fails)
+    return found
+
+
+def audit(rows, good, toxic):
+    """Applies the filters in every order, one after another, to the documents that are still there."""
+    import itertools
+
+    masks = audit_masks(rows)
+    parts = sorted({p or "" for _, p, _ in rows})
+    out, shapley = {}, Counter()
+    for part in parts:
+        docs = [(i, m) for (i, p, _), m in zip(rows, masks, strict=True) if (p or "") == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = docs
+            for step, f in enumerate(order, 1):
+                gone = [(i, m) for i, m in left if f in m]
+                left = [(i, m) for i, m in left if f not in m]
+                failing = sum(f in m for _, m in docs)
+                out[part, order, step] = (len(left), len(gone), failing - len(gone), sum(m == {f} for _, m in docs), sum(i in good for i, _ in gone), sum(i in toxic for i, _ in gone))
+                shapley[part, f] += len(gone)
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def fill_in_middle(i, text):
+    import hashlib
+
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    n = len(units)
+    digest = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    h = [int(digest[k : k + 8], 16) for k in (0, 8, 16, 24)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    pre, mid, end = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    if h[3] % 100 < 20:
+        return n, "spm", len(pre), len(mid), f"<S>{end}<P>{pre}<M>{mid}"
+    return n, "psm", len(pre), len(mid), f"<P>{pre}<S>{end}<M>{mid}"
+
+
+def exact_groups(rows):
+    """rows (id, text) -> a list of (id, keep_id, group_size, whether it may be the one that stays)."""
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups["".join(words(text))].append((-len(text or ""), i is None, i or 0, i))
+    return [(i, min(groups[k])[3], len(groups[k]), (-len(t or ""), i is None, i or 0, i) == min(groups[k])) for i, t in rows for k in ["".join(words(t))]]
