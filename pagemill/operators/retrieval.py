@@ -22,18 +22,32 @@ VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
 KEPT_QUERIES = 4096
 
 
-def blocks(rows: DataFrame, size: int, names: tuple[str, str], extra: str | None = None) -> DataFrame:
-    """(id, vector) rows as rows of `size` ids and their vectors end to end, without a shuffle."""
+def blocks(rows: DataFrame, size: int, names: tuple[str, str], by: str | None = None, in_order: bool = False) -> DataFrame:
+    """(id, vector) rows as rows of `size` ids and their vectors end to end, without a shuffle.
+
+    by: rows are (id, vector, by), and a block holds rows of one value only, which it has as a column. For that the rows are
+    sorted by range, so that a value with a large share of all rows lies in as many partitions as its size asks for;
+    in_order: they come with rows of one value together.
+    """
+    kind = None if by is None else rows.schema[by].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                flat = np.asarray(part.column(1).flatten(), np.float64)
-                columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=list(names))
-
-    return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} array<double>")
+            cuts = [0, b.num_rows]
+            if by is not None:
+                codes = b.column(2).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), b.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                for at in range(start, end, size):
+                    part = b.slice(at, min(size, end - at))
+                    flat = np.asarray(part.column(1).flatten(), np.float64)
+                    columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns + ([] if by is None else [part.column(2).slice(0, 1)]), names=[*names, *([] if by is None else [by])])
+
+    if by is not None and not in_order:
+        first = rows.columns[0]
+        rows = rows.repartitionByRange(by, first).sortWithinPartitions(by, first)
+    return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} array<double>" + ("" if by is None else f", `{by}` {kind}"))
 
 
 def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -46,14 +60,12 @@ def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             yield qids, 1 - a @ m.T, ids
 
 
-def top_n(queries: DataFrame, vectors: DataFrame, n: int = FETCH_LIMIT) -> DataFrame:
-    """queries (qid, vector), vectors (id, vector) of one length -> (qid, id, distance), the n nearest of each query.
+def nearest_in(pairs: DataFrame, n: int) -> DataFrame:
+    """pairs (qids, q, ids, v) of blocks -> (qid, id, distance), the n nearest of each query among what it met.
 
-    Distance is 1 - cosine; equal distances in the order of id. Queries and vectors meet in blocks, as matrix products;
-    a task keeps n rows of each query, and a ranking over those gives the result. Null vectors are left out.
+    Distance is 1 - cosine; equal distances in the order of id. A task keeps n rows of each query, and a ranking over those
+    gives the result.
     """
-    q = blocks(queries.where("vector is not null").select(F.col("qid").cast("long"), "vector"), QUERY_BLOCK, ("qids", "q"))
-    v = blocks(vectors.where("vector is not null").select(F.col("id").cast("long"), "vector"), VECTOR_BLOCK, ("ids", "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of each query the best so far in this task, so that few rows leave it however many blocks it meets
@@ -76,11 +88,32 @@ def top_n(queries: DataFrame, vectors: DataFrame, n: int = FETCH_LIMIT) -> DataF
         if best:
             yield given()
 
-    near = v.crossJoin(q).select("qids", "q", "ids", "v").mapInArrow(run, "qid long, id long, distance double")
+    near = pairs.select("qids", "q", "ids", "v").mapInArrow(run, "qid long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return near.withColumn("nearness", rank).where(F.col("nearness") <= n).drop("nearness")
 
 
+def top_n(queries: DataFrame, vectors: DataFrame, n: int = FETCH_LIMIT, by: str | None = None) -> DataFrame:
+    """queries (qid, vector), vectors (id, vector) of one length -> (qid, id, distance), the n nearest of each query.
+
+    Queries and vectors meet in blocks, as matrix products (nearest_in). Null vectors are left out.
+
+    by: a column of both; a query meets only vectors of its own value, before the n nearest are taken. Blocks then hold
+    one value each and meet by an equi-join, in which adaptive execution can split a hot value. A query whose value is
+    null is not restricted; a vector whose value is null is met by such queries only.
+    """
+    own = [] if by is None else [by]
+    asked = queries.where("vector is not null").select(F.col("qid").cast("long"), "vector", *own)
+    held = vectors.where("vector is not null").select(F.col("id").cast("long"), "vector", *own)
+    free = asked if by is None else asked.where(F.col(by).isNull()).drop(by)
+    met = blocks(held.drop(*own), VECTOR_BLOCK, ("ids", "v")).crossJoin(blocks(free, QUERY_BLOCK, ("qids", "q")))
+    if by is None:
+        return nearest_in(met, n)
+    some = lambda rows, size, names: blocks(rows.where(F.col(by).isNotNull()), size, names, by)
+    inside = some(held, VECTOR_BLOCK, ("ids", "v")).join(some(asked, QUERY_BLOCK, ("qids", "q")), by)
+    return nearest_in(inside.select("qids", "q", "ids", "v").unionByName(met.select("qids", "q", "ids", "v")), n)
+
+
 def scored(hits: DataFrame) -> DataFrame:
     """hits (distance, text) with score: 1 - distance, less a penalty for short texts, rounded to 4 places."""
     return hits.withColumn("score", F.round(1 - F.col("distance") - short_penalty(F.col("text")), 4))
@@ -123,9 +156,12 @@ def numbered(hits: DataFrame, k: int = 5) -> DataFrame:
     return hits.withColumn("no", no).where(F.col("no") <= k)
 
 
-def find(queries: DataFrame, vectors: DataFrame, units: DataFrame, n: int = FETCH_LIMIT, fit: Column | None = None, **valid: DataFrame) -> DataFrame:
-    """queries (qid, concept, vector) -> ranked hits with the units' columns (id, text, path, ...), score and rank."""
-    hits = current(top_n(queries.select("qid", "vector"), vectors, n), units, **valid)
+def find(queries: DataFrame, vectors: DataFrame, units: DataFrame, n: int = FETCH_LIMIT, fit: Column | None = None, by: str | None = None, **valid: DataFrame) -> DataFrame:
+    """queries (qid, concept, vector) -> ranked hits with the units' columns (id, text, path, ...), score and rank.
+
+    by: a column of queries and vectors (book_id): the nearest are sought among vectors of the query's value (top_n).
+    """
+    hits = current(top_n(queries.select("qid", "vector", *([] if by is None else [by])), vectors, n, by), units, **valid)
     hits = scored(hits).join(queries.select("qid", "concept"), "qid")
     hits = page_gate(hits, path_matches(F.col("concept"), F.col("path")))
     return ranked(hits if fit is None else hits.where(fit.isNull()))

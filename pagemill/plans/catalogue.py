@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, evidence, index, ingest, quiz, refine, retrieval, units, vectors
+from ..operators import evaluation, evidence, index, ingest, quiz, refine, retrieval, units, vector_index, vectors
+from ..sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +91,17 @@ def multi_query_topk(spark, sf_dir):
     return _nearest(spark, sf_dir, 10).select("qid", "id", rank.cast("long").alias("nearness"), F.round("distance", 6).alias("distance"))
 
 
+@query(Q_SQL.format(n=10) + "SELECT qid, id, nearness, round(distance, 6) AS distance FROM top")
+def indexed_topk(spark, sf_dir):
+    """As multi_query_topk, through an index on disk that is built of all vectors first."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = scratch_path(spark, "vector-index")
+    vector_index.build_index(v, path)
+    found = vector_index.search(v.where("id % 50 = 0").withColumnRenamed("id", "qid"), path, 10)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+    return found.select("qid", "id", rank.cast("long").alias("nearness"), F.round("distance", 6).alias("distance"))
+
+
 @query(HITS_SQL + "SELECT qid, count(*) AS n_kept, round(max(distance), 6) AS farthest FROM cut GROUP BY qid")
 def distance_margin_filter(spark, sf_dir):
     hits = retrieval.ranked(retrieval.page_gate(_hits(spark, sf_dir), F.col("label") == F.col("q_label")))
@@ -103,19 +115,39 @@ def conditional_page_gate(spark, sf_dir):
     return retrieval.page_gate(hits, F.col("label") == F.col("q_label")).select("qid", "id")
 
 
-@query(Q_SQL.format(n=5) + """, own AS (
-  SELECT qid, q_label, count(*) AS n, bool_and(label = q_label) AS passed FROM near WHERE label = q_label GROUP BY ALL)
-SELECT o.qid AS id, o.q_label AS case_book, o.passed, count(*) AS n_free, count(*) FILTER (WHERE t.label <> o.q_label) AS n_other,
-       min_by(t.label <> o.q_label, t.nearness) AS first_other
-FROM own o JOIN top t USING (qid) GROUP BY ALL""")
+_OWN_BOOK = """,
+own AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS own_nearness FROM near WHERE q_label = label)
+"""
+
+
+@query(Q_SQL.format(n=5) + _OWN_BOOK + """, found AS (SELECT qid, count(*) AS n_found, bool_and(label = q_label) AS passed, round(max(distance), 6) AS farthest FROM own WHERE own_nearness <= 5 GROUP BY ALL)
+SELECT o.qid AS id, t.q_label AS case_book, o.passed, n_found, farthest, count(*) AS n_free, count(*) FILTER (WHERE t.label <> t.q_label) AS n_other,
+       min_by(t.label <> t.q_label, t.nearness) AS first_other
+FROM found o JOIN top t USING (qid) GROUP BY ALL""")
 def book_filter_check(spark, sf_dir):
+    """Searches within each query's own book, and without that filter: the former must find no other book, the latter may."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("book_id"))
-    cases = v.where("id % 50 = 0").select("id", "book_id")
-    found = cases.join(v.select("book_id").distinct(), "book_id").select("id", "book_id")
+    q = v.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    cases, books = q.select(F.col("qid").alias("id"), "book_id"), v.select("id", "book_id")
+    filtered = retrieval.top_n(q, v, 5, by="book_id").join(books, "id").select(F.col("qid").alias("id"), "book_id", "distance")
     free = _nearest(spark, sf_dir, 5).withColumn("nearness", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
-    free = free.join(v.select("id", "book_id"), "id").select(F.col("qid").alias("id"), "nearness", "book_id")
-    rows = evaluation.filter_check(cases, found, free)
-    return rows.select("id", F.col("case_book").cast("int").alias("case_book"), "passed", "n_free", "n_other", "first_other")
+    free = free.join(books, "id").select(F.col("qid").alias("id"), "nearness", "book_id")
+    rows = evaluation.filter_check(cases, filtered.select("id", "book_id"), free)
+    sizes = filtered.groupBy("id").agg(F.count("*").alias("n_found"), F.round(F.max("distance"), 6).alias("farthest"))
+    return rows.join(sizes, "id").select("id", F.col("case_book").cast("int").alias("case_book"), "passed", "n_found", "farthest", "n_free", "n_other", "first_other")
+
+
+@query(Q_SQL.format(n=1) + _OWN_BOOK + """,
+hits AS (
+  SELECT o.*, round(1 - o.distance - 0.1 * greatest(0, 1 - length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) / 80), 4) AS score
+  FROM own o JOIN documents d ON d.doc_id = o.id WHERE o.own_nearness <= 20)
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, distance, id) AS rank, round(distance, 6) AS distance, score FROM hits""")
+def find_in_book(spark, sf_dir):
+    """The twenty nearest of each query within its own book, scored and ranked."""
+    queries, vectors_, units_ = _books(spark, sf_dir)
+    books = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("book_id"))
+    found = retrieval.find(queries.join(books.withColumnRenamed("id", "qid"), "qid"), vectors_.join(books, "id"), units_, 20, by="book_id")
+    return found.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"), "score")
 
 
 @query()
