@@ -59,7 +59,3 @@ def too_long(rows: DataFrame, count: Callable[[list[str]], list[int]], limit: in
 
     return rows.select(key, text).mapInPandas(run, f"{key} string, tokens long").where(F.col("tokens") > limit)
 
-
-def rebuilt(rows: DataFrame, stored: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """The vector table made anew: exactly the rows (metadata and embed_text), stored vectors of the same hash kept."""
-    return embedded(rows, stored, embed)

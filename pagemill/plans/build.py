@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.providers import MAX_TOKENS, count_tokens
 from ..operators import index, refine, units
+from ..sources import bucket_table
 from ..sources.files import digest, written_if_changed
 from ..sources.scratch import written
 
@@ -25,18 +26,22 @@ def stage_slice(first: str = STAGES[0], last: str = STAGES[-1]) -> Sequence[str]
     return STAGES[a : b + 1]
 
 
-def latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest version of a table, or None if there is none."""
-    try:
-        rows = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    if bucket_table.is_table(spark, path):
+        return vector_table(spark, path).read()
+    if not bucket_table.names_in(spark, path):
+        return None
+    rows = spark.read.parquet(path)
     newest = rows.agg(F.max("version")).first()[0]
     return rows.where(F.col("version") == newest).drop("version")
 
 
+def vector_table(spark: SparkSession, path: str, buckets: int = bucket_table.BUCKETS) -> bucket_table.BucketTable:
+    """The stored units and their vectors, of which a change rewrites only the buckets that it touches."""
+    return bucket_table.BucketTable(spark, path, STORED, "unit_id", buckets)
+
+
 def up_to_date(spark: SparkSession, inputs: str, mark: str) -> bool:
     """Whether a stage has run on input rows of this digest: it is in the stage's mark."""
     marks = latest(spark, mark)
@@ -73,15 +78,15 @@ def embed_stage(spark: SparkSession, root: str, embed: Callable[[list[str]], lis
     embedded once.
     """
     rows = written(units.build_units(latest(spark, f"{root}/chunks")), "units")
-    stored = latest(spark, f"{root}/vectors")
-    stored = spark.createDataFrame([], STORED) if stored is None else stored
+    table = vector_table(spark, f"{root}/vectors")
+    stored = table.read()
     status = written(index.diff(stored, rows), "status")
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     todo = rows if rebuild else rows.join(status.where("status in ('new', 'changed')").select("unit_id"), "unit_id", "left_semi")
     if rebuild or counts.get("new") or counts.get("changed"):
         ready = index.metadata(todo, source_dir, model).join(todo.select("unit_id", "embed_text"), "unit_id")
         made = written(index.embedded(ready, stored, embed), "embedded")
-        written_if_changed(made.select(*stored.columns) if rebuild else index.upserted(stored, made), f"{root}/vectors")
+        table.replace(made) if rebuild else table.upsert(made)
     return counts | {"too_long": index.too_long(todo, count_tokens, MAX_TOKENS).count()}
 
 

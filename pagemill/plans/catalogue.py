@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, evidence, index, ingest, quiz, refine, retrieval, units, vector_index, vectors
+from ..sources import bucket_table
 from ..sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,8 +409,12 @@ def vector_reuse(spark, sf_dir):
 
 @query(VERSIONS_SQL + "SELECT vec_id::VARCHAR AS unit_id, h AS embed_hash FROM fresh UNION ALL SELECT vec_id::VARCHAR, h FROM stored WHERE vec_id NOT IN (SELECT vec_id FROM fresh)")
 def index_upsert(spark, sf_dir):
-    stored, new = _versions(spark, sf_dir)
-    return index.upserted(stored, new).select("unit_id", "embed_hash")
+    """Two versions of a table of buckets: the stored rows, and the new ones put into it."""
+    rows = [df.select("unit_id", "embed_hash", "embedding") for df in _versions(spark, sf_dir)]
+    stored = bucket_table.BucketTable(spark, scratch_path(spark, "vectors"), rows[0].schema, "unit_id")
+    for version in rows:
+        stored.upsert(version)
+    return stored.read().select("unit_id", "embed_hash")
 
 
 # -- questions --------------------------------------------------------------------------------------------------------
