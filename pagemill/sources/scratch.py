@@ -37,9 +37,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> int:
-    """Delete the tables that `written` made in this application, once no DataFrame on them is needed; how many there were."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def n_written(spark: SparkSession) -> int:
+    """How many tables `written` and places of scratch_path there are by now; a mark for remove_written."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def remove_written(spark: SparkSession, since: int = 0, keep_last: int = 0) -> int:
+    """Delete what `written` and scratch_path made in this application after a mark, save for the last keep_last, once no DataFrame
+    on it is needed; how many there were. For one thread at a time."""
+    known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths = known[since : len(known) - keep_last]
+    del known[since : len(known) - keep_last]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
