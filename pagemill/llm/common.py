@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import remove_written, shared_dir, written
+from ..sources.scratch import n_written, remove_written, shared_dir, written
 
-__all__ = ["WORD", "ascii_lower_words", "boxed", "let", "remove_written", "shared_dir", "table", "text_bytes", "unboxed", "word_list", "written"]
+__all__ = ["WORD", "ascii_lower_words", "boxed", "let", "n_written", "remove_written", "shared_dir", "table", "text_bytes", "unboxed", "word_list", "written"]
 
 #: A word everywhere in this subpackage: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -154,7 +154,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = written(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "distinct")
     looks = one.select("node", F.size("shingles").cast("long").alias("n"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node", "n")
     shared = written(looks.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "buckets")
-    crowded = written(looks.join(shared, "key").select("key", "node", "n"), "bands")
+    crowded = written(looks.join(shared, "key").select("key", "node", "n", F.col("n").alias("rest")), "bands")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = (one.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
@@ -162,8 +162,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         exact = common / (F.size("sa") + F.size("sb") - common)
         return written(pairs.join(x, "a").join(y, "b").where(exact >= threshold).select("a", "b"), "links")
 
-    fits = lambda x, y: (F.col(x) >= threshold * F.col(y) - 1e-9) & (F.col(y) >= threshold * F.col(x) - 1e-9)
-    comp = connected_components(bucket_links(crowded, None, verified, fits))
+    comp = connected_components(bucket_links(crowded, None, verified, threshold))
     groups = one.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
     placed = rows.select("id", "node").join(groups, "node")
     return placed.join(placed.groupBy("group").agg(F.min("id").alias("class_id")), "group").select("id", "class_id")

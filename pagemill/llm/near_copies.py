@@ -2,8 +2,10 @@
 
 SimHash look-ups (multi-index hashing) propose most links. What they miss is found by prefixes: in any order of all
 shingles, two sets of likeness t have a common shingle among the first n - ceil(t * n) + 1 of each. The order is by hash,
-with the hottest shingles (by a sample of the texts) last, so that a common line fills no bucket; the result does not
-depend on which shingles count as hot. Every proposed pair is verified on the exact sets.
+with the hottest shingles last: those that a sample of the texts shows, and those that fill a bucket nevertheless, for which
+prefixes are taken anew. So a common line stands far back in every text, where it bounds what two texts can have in common
+(components.bucket_links): pages of one template, alike in less than the threshold, do not meet. The result does not depend
+on which shingles count as hot. Every proposed pair is verified on the exact sets.
 
 Links are found in passes: by one look-up of each text, which joins most of each group; by its other look-ups, where they
 meet other components; then between a representative of each bucket
@@ -23,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, unboxed, written
+from .common import boxed, n_written, remove_written, unboxed, written
 from .components import bucket_links, connected_components
 from .simhash import first_pairs, further_pairs, looked_up, majority, within
 from .words import shingles_of
 
-#: Texts that are sampled for hot shingles, how many of them a hot shingle stands in, and most hot shingles.
+#: Texts that are sampled for hot shingles, how many of them a hot shingle stands in, and most hot shingles of a round.
 SAMPLE_TEXTS, HOT_TEXTS, HOT_SHINGLES = 20_000, 3, 100_000
+#: A shingle that more texts than this have in their prefixes is hot too, and prefixes are taken anew; in so many rounds at most.
+CROWDED, ROUNDS = 1_000, 3
 
 
 def _digest(hashes: np.ndarray) -> int:
@@ -60,18 +64,22 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def hot_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that stand in many texts of a sample, HOT_SHINGLES at most, in order; a number that is none if there are none."""
-    share = SAMPLE_TEXTS / max(rows.count(), 1)
-    sample = shingle_sets(rows.where(F.pmod(F.xxhash64(F.lit(5), F.col("id"), F.col("key")), F.lit(1_000_000)) / 1e6 < share), shingle)
-    counts = sample.select(F.explode_outer("shingles").alias("s")).where("s is not null").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_TEXTS)
+def in_several(sets: DataFrame, texts: int) -> np.ndarray:
+    """Shingles that stand in at least so many of some sets, HOT_SHINGLES at most, in order; a number that is none if there are none."""
+    counts = sets.select(F.explode_outer("shingles").alias("s")).where("s is not null").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= texts)
     found = [r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).select("s").collect()]
     return np.sort(np.array(found or [0], np.int64).view(np.uint64))
 
 
-def signatures(rows: DataFrame, shingle: int, threshold: float, n_longs: int) -> DataFrame:
+def hot_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that stand in many texts of a sample."""
+    share = SAMPLE_TEXTS / max(rows.count(), 1)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), F.col("id"), F.col("key")), F.lit(1_000_000)) / 1e6 < share)
+    return in_several(shingle_sets(sample, shingle), HOT_TEXTS)
+
+
+def signatures(rows: DataFrame, shingle: int, threshold: float, n_longs: int, hot: np.ndarray) -> DataFrame:
     """rows (id, key, text) -> (id, key, node, n, fp, prefix)."""
-    hot = hot_shingles(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,39 +108,48 @@ def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5,
     segment_bits, radius and max_distance are those of the SimHash look-ups and have no influence on the result. An empty
     table gives no rows.
     """
-    signs = written(signatures(rows, shingle, threshold, n_longs), "signatures")
-    # a row for each node (or several alike, if a row of docs is repeated)
-    reps = written(signs.groupBy("node").agg(F.min(F.struct("id", "key")).alias("r")).select(F.col("node").alias("rep"), "r.*"), "nodes")
-    one = signs.join(reps, (signs["node"] == reps["rep"]) & signs["id"].eqNullSafe(reps["id"]) & (signs["key"] == reps["key"]), "left_semi").select("node", "n", "fp", "prefix")
-    fits = lambda x, y: (F.col(x) >= threshold * F.col(y) - 1e-9) & (F.col(y) >= threshold * F.col(x) - 1e-9)
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """Of each of some nodes a row, to read its text again."""
+        wanted = written(reps.join(nodes, reps["rep"] == nodes["node"], "left_semi").select(F.col("id").alias("i"), F.col("key").alias("k")).distinct(), "wanted")
+        return rows.join(wanted, rows["id"].eqNullSafe(wanted["i"]) & (rows["key"] == wanted["k"]), "left_semi")
+
+    hot = hot_shingles(rows, shingle)
+    for left in reversed(range(ROUNDS)):
+        signs = written(signatures(rows, shingle, threshold, n_longs, hot), "signatures")
+        # a row for each node (or several alike, if a row of docs is repeated)
+        reps = written(signs.groupBy("node").agg(F.min(F.struct("id", "key")).alias("r")).select(F.col("node").alias("rep"), "r.*"), "nodes")
+        one = signs.join(reps, (signs["node"] == reps["rep"]) & signs["id"].eqNullSafe(reps["id"]) & (signs["key"] == reps["key"]), "left_semi").select("node", "n", "fp", "prefix")
+        # nodes by the shingles of their prefixes; rest: a shingle and those after it
+        keys = one.select("node", "n", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
+        buckets = written(keys.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("first"), F.max("node").alias("last")).where("k > 1"), "buckets")
+        full = buckets.where(F.col("k") > CROWDED).orderBy(F.desc("k"), "key").limit(HOT_SHINGLES)
+        more = np.setdiff1d(np.array([r["key"] for r in full.select("key").collect()], np.int64).view(np.uint64), hot)
+        if not left or not len(more):
+            break
+        # with a bucket's shingle come those that two of its texts have in common: a whole template at once
+        two = texts_of(full.select(F.explode(F.array("first", "last")).alias("node")).distinct())
+        hot = np.union1d(hot, np.union1d(more, in_several(shingle_sets(two, shingle).dropDuplicates(["node"]), 2)))
+    crowded = written(keys.join(buckets.select("key"), "key").select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest")), "crowded")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of those pairs (a, b) that are links."""
-        x = one.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        y = one.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-        # common shingles are in both prefixes, or after the end of that prefix which ends first
-        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-        possible = fits("na", "nb") & (most * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
+        x, y = (one.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+        possible = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
         left = written(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b").distinct(), "pairs")
         nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # of each node a row, to read its text again
-        wanted = written(reps.join(nodes, reps["rep"] == nodes["node"], "left_semi").select(F.col("id").alias("i"), F.col("key").alias("k")).distinct(), "wanted")
-        texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["i"]) & (rows["key"] == wanted["k"]), "left_semi")
-        sets = written(shingle_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
+        sets = written(shingle_sets(texts_of(nodes), shingle).dropDuplicates(["node"]), "shingles")
         shared = F.size(F.array_intersect("sa", "sb"))
         exact = shared / (F.size("sa") + F.size("sb") - shared) >= threshold
         sa, sb = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
         return written(left.join(sa, "a").join(sb, "b").where(exact).select("a", "b"), "links")
 
-    keys = one.select("node", "n", F.explode_outer("prefix").alias("key")).where("key is not null")
-    shared_keys = written(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "buckets")
-    crowded = written(keys.join(shared_keys, "key").select("key", "node", "n"), "crowded")
     prints = one.select(F.col("node").alias("id"), "fp")
     hits = looked_up(prints, segments, segment_bits, radius)
     near = lambda pairs: verified(within(pairs, prints, n_longs, max_distance))
     links = near(first_pairs(hits))
     links = links.unionByName(near(further_pairs(hits, connected_components(links))))
-    links = bucket_links(crowded, links, verified, fits)
+    links = bucket_links(crowded, links, verified, threshold)
     groups = reps.select(F.col("rep").alias("node")).join(connected_components(links), "node", "left").select("node", F.coalesce("component", "node").alias("group"))
     return signs.select("id", "key", "node").join(groups, "node").select("id", "key", "group")
 
@@ -151,11 +168,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null id counts as the largest. Of rows equal in id and text one stays. Columns as in docs; their names do not matter.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows, before = keyed(docs, id_col, text_col), n_written(docs.sparkSession)
     groups = near_copy_groups(rows, **options)
     best = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     texts = groups.groupBy("group", "id", "key").agg(F.count("*").alias("n"))
     kept = written(texts.groupBy("group").agg(F.min(best).alias("b"), F.min_by("n", best).alias("n")).select(F.col("b.id").alias("i"), F.col("b.key").alias("k"), "n"), "kept")
+    remove_written(docs.sparkSession, before, keep_last=1)
 
     def of(some: DataFrame) -> DataFrame:
         return rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
