@@ -199,6 +199,19 @@ def evidence_in_documents(spark, sf_dir):
     return evidence.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {_SQUASH.format(c='text')} AS s FROM documents),
+b AS (SELECT item_id, length(k) AS chars, k FROM (SELECT item_id, {_SQUASH.format(c='left(text, (item_id % 60 + 1)::BIGINT)')} AS k FROM benchmark))
+SELECT item_id, chars, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM b JOIN d ON contains(s, k) WHERE chars > 0 GROUP BY item_id, chars""")
+def short_evidence_in_documents(spark, sf_dir):
+    """How many documents hold the start of a passage, of one character to sixty."""
+    start = F.substring("text", F.lit(1), (F.col("item_id") % 60 + 1).cast("int"))
+    starts = table(spark, sf_dir, "benchmark").select("item_id", start.alias("text"))
+    found = evidence.containing(table(spark, sf_dir, "documents"), starts, "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    sizes = starts.select("item_id", F.length(T.squash(F.col("text"))).cast("long").alias("chars"))
+    return sizes.join(found, "item_id").select("item_id", "chars", "n_docs", "first_doc")
+
+
 @query(f"""
 WITH s AS (SELECT doc_id, unnest(sents) AS s, generate_subscripts(sents, 1) - 1 AS no FROM (SELECT doc_id, {_SENTENCES} AS sents FROM documents)),
 a AS (SELECT *, regexp_extract(s, '[A-Za-z]{{4,}}', 0) AS a FROM s),

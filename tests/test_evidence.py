@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from pagemill.operators import evidence, retrieval, vectors
 from pagemill.sources import scratch
 
@@ -27,6 +29,21 @@ def test_containing_finds_every_pair(spark):
     assert set(rows) == want and len(rows) == len(want) > 40
 
 
+@pytest.mark.parametrize("sent, automaton", [(500_000, 20_000), (0, 7)])
+def test_passages_of_every_length(spark, monkeypatch, sent, automaton):
+    """Short ones by an automaton, long ones by grams; also with grams that are joined, and several automata."""
+    monkeypatch.setattr(evidence, "SENT_GRAMS", sent)
+    monkeypatch.setattr(evidence, "AUTOMATON", automaton)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abé한𝔘") for _ in range(n))
+    texts = [letters(rng.randrange(120)) for _ in range(40)] + ["", None]
+    passages = [t[at : at + n] for n in range(1, 60) for t in rng.sample(texts[:40], 2) for at in [rng.randrange(max(1, len(t) - n))]] + [letters(3), letters(3), "a", "a", None, ""]
+    want = {(p, t) for p, x in enumerate(passages) for t, y in enumerate(texts) if x and y is not None and x in y}
+    got = evidence.containing(spark.createDataFrame(list(enumerate(texts)), "t_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(passages)), "p_id long, text string"), "t_id", "p_id")
+    rows = [(r["p_id"], r["t_id"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 200
+
+
 def test_scratch_tables_are_removed(spark, tmp_path):
     scratch.remove_written(spark)
     df = scratch.written(spark.range(3).toDF("x"), "some")
