@@ -1,15 +1,18 @@
 """Evidence paragraphs ("units"): runs of blocks of a page, merged to a readable length.
 
-A page's blocks are an array in its row; the rules that look at neighbours are folds over that array, so a page is
-handled within its row and pages never meet.
+A page's blocks are an array in its row; the rules that look at neighbours walk once over that array, so a page is
+handled within its row, in time that grows with its length, and pages never meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from ..functions.text import let, strip
 
@@ -20,7 +23,7 @@ MIN_UNIT_CHARS, TARGET_CHARS, MAX_CHARS, TAIL_CHARS = 30, 200, 600, 100
 IMAGE_MARK = "\\[이미지: [^\\]]*\\](?U:\\s*)"
 FIGURE_REF = "그림\\s?\\d+(\\.\\d+)*"
 FENCED_CODE = "(?s)```[^\\n]*\\n.*?```[ \\t]*\\n?"
-_RANGES = "array<struct<s:int,e:int>>"
+_RANGES = ArrayType(StructType().add("s", IntegerType()).add("e", IntegerType()))
 
 
 def sections(blocks: DataFrame) -> DataFrame:
@@ -42,89 +45,108 @@ def runs(rows: DataFrame, by: str, order: str, kind: str) -> DataFrame:
     return rows.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(before.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
-def section_array(blocks: Column) -> Column:
-    """Of each block of an array its section and section_anchor, as in `sections`, within the row."""
-    state = F.struct(F.lit("").alias("section"), F.lit(None).cast("string").alias("anchor"), F.array().cast("array<struct<section:string,anchor:string>>").alias("out"))
+# Each of these walks once over a page's blocks: Python on short arrays (kinds, lengths, names of sections), without texts.
 
-    def step(a: Column, b: Column) -> Column:
-        heads = F.coalesce((b["type"] == "heading") & b["level"].isin(2, 3), F.lit(False))
-        section = F.when(heads | (b["type"] == "subheading"), F.coalesce(b["text"], a["section"])).otherwise(a["section"])
-        anchor = F.when(heads, b["anchor"]).otherwise(a["anchor"])
-        return F.struct(section.alias("section"), anchor.alias("anchor"), F.array_append(a["out"], F.struct(section.alias("section"), anchor.alias("anchor"))).alias("out"))
 
-    return F.aggregate(blocks, state, step, lambda a: a["out"])
+def sections_of(kinds: list[str], levels: list[int | None], texts: list[str | None], anchors: list[str | None]) -> tuple[list[str], list[str | None]]:
+    """Of each block its section and section anchor, as in `sections`."""
+    section, anchor, found = "", None, ([], [])
+    for kind, level, text, own in zip(kinds, levels, texts, anchors, strict=True):
+        heads = kind == "heading" and level in (2, 3)
+        if heads:
+            anchor = own
+        if (heads or kind == "subheading") and text is not None:
+            section = text
+        found[0].append(section)
+        found[1].append(anchor)
+    return found
 
 
-def _extend(ranges: Column, end: Column) -> Column:
-    """The last range, with a new end."""
-    last = F.element_at(ranges, -1)
-    return F.concat(F.slice(ranges, 1, F.size(ranges) - 1), F.array(F.struct(last["s"].alias("s"), end.cast("int").alias("e"))))
-
-
-def _added(ranges: Column, start: Column, end: Column) -> Column:
-    return F.concat(ranges, F.array(F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))))
-
-
-def ranges(kinds: Column) -> Column:
-    """Ranges of blocks (start, end) from the array of a page's block types.
+def ranges_of(kinds: list[str]) -> list[list[int]]:
+    """Ranges of blocks [start, end], in order.
 
     An explaining block is a range; lists in a row are one. Code and tables go with the range before them; those that
     stand alone go with the range right after, or else with the one before if only subheadings are between, or else are
     ranges of their own.
     """
-    n = F.size(kinds)
-    none = F.lit(-1)
-    zero = F.struct(F.lit(0).alias("i"), F.lit("").alias("before"), none.alias("hang"), F.lit(False).alias("near"), F.array().cast(_RANGES).alias("r"))
-
-    def settle(a: Column, end: Column) -> Column:
-        """The ranges, once a hanging run of code and tables turns out to have nothing right after it."""
-        alone = F.when(a["near"], _extend(a["r"], end)).otherwise(_added(a["r"], a["hang"], end))
-        return F.when(a["hang"] < 0, a["r"]).otherwise(alone)
-
-    def step(a: Column, kind: Column) -> Column:
-        i, r, hang = a["i"], a["r"], a["hang"]
-        touches = (F.size(r) > 0) & (F.coalesce(F.try_element_at(r, F.lit(-1))["e"], none) == i)
-        is_list = kind == "list"
-        explains = is_list | kind.isin(EXPLAIN)
-        attaches = kind.isin(ATTACH)
-        goes_on = is_list & (a["before"] == "list") & touches
-        grown = F.when(goes_on | (attaches & touches & (hang < 0)), _extend(r, i + 1)).when(explains, _added(r, F.when(hang >= 0, hang).otherwise(i), i + 1)).when(attaches, r).otherwise(settle(a, i))
-        hangs = F.when(attaches & (hang >= 0), hang).when(attaches & ~touches, i).otherwise(none)
-        settled = ~explains & ~attaches & (hang >= 0)
-        near = F.when(explains | (attaches & touches & (hang < 0)), F.lit(True)).when(attaches, a["near"]).otherwise((settled | a["near"]) & (kind == "subheading"))
-        return F.struct((i + 1).alias("i"), kind.alias("before"), hangs.cast("int").alias("hang"), near.alias("near"), grown.alias("r"))
-
-    return F.aggregate(kinds, zero, step, lambda a: settle(a, n))
-
-
-def merged(found: Column, lengths: Column, places: Column) -> Column:
+    found: list[list[int]] = []
+    hang, near, before = None, False, ""  # where a run of code and tables that has no range yet begins; whether a range is near
+    for i, kind in enumerate([*kinds, None]):
+        touches = bool(found) and found[-1][1] == i
+        explains = kind == "list" or kind in EXPLAIN
+        attaches = kind in ATTACH
+        if attaches and hang is not None:
+            pass
+        elif touches and (attaches or (kind == "list" and before == "list")):
+            found[-1][1] = i + 1
+            near = True
+        elif attaches:
+            hang = i
+        elif explains:
+            found.append([i if hang is None else hang, i + 1])
+            hang, near = None, True
+        else:
+            settled = hang is not None
+            if settled and near:
+                found[-1][1] = i
+            elif settled:
+                found.append([hang, i])
+            hang, near = None, (settled or near) and kind == "subheading"
+        before = kind
+    return sorted(found)
+
+
+def merged_of(found: list[list[int]], lengths: list[int | None], places: list) -> list[list[int]]:
     """Ranges grown to TARGET_CHARS by their neighbours, and short ones joined to the range before, up to MAX_CHARS.
 
     lengths: of each block's text (0 if blank); places: anything that is equal for blocks of one section. Only ranges
     that touch, of one section, merge. A range's length (its texts with a line end between each two) comes from sums over
     the blocks before its ends, taken once.
     """
-    upto = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x + (x > 0).cast("int")))
+    sums = [0, *itertools.accumulate(0 if not x else x + 1 for x in lengths)]
+    length = lambda s, e: max(sums[e] - sums[s] - 1, 0)
+    for too_short in (lambda a, b: length(*a) < TARGET_CHARS, lambda a, b: length(*b) < TAIL_CHARS):
+        out: list[list[int]] = []
+        for s, e in found:
+            last = out[-1] if out else None
+            if last and last[1] == s and places[last[0]] == places[s] and too_short(last, (s, e)) and length(last[0], e) <= MAX_CHARS:
+                last[1] = e
+            else:
+                out.append([s, e])
+        found = out
+    return found
+
+
+def _as_ranges(rows: Iterable[list[list[int]] | None]) -> pa.Array:
+    return pa.array([None if r is None else [{"s": s, "e": e} for s, e in r] for r in rows], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
 
-    def joined(sums: Column) -> Column:
-        # each text counts with the line end after it; the last has none
-        length = lambda s, e: F.greatest(F.get(sums, e) - F.get(sums, s) - 1, F.lit(0))
 
-        def grow(first: bool) -> Callable[[Column, Column], Column]:
-            def step(a: Column, cur: Column) -> Column:
-                touch = (a["e"] == cur["s"]) & F.get(places, a["s"]).eqNullSafe(F.get(places, cur["s"]))
-                short = length(a["s"], a["e"]) < TARGET_CHARS if first else length(cur["s"], cur["e"]) < TAIL_CHARS
-                joins = (a["s"] >= 0) & touch & short & (length(a["s"], cur["e"]) <= MAX_CHARS)
-                done = F.when(joins | (a["s"] < 0), a["done"]).otherwise(_added(a["done"], a["s"], a["e"]))
-                return F.struct(done.alias("done"), F.when(joins, a["s"]).otherwise(cur["s"]).alias("s"), cur["e"].alias("e"))
+@F.arrow_udf(_RANGES)
+def ranges(kinds: pa.Array) -> pa.Array:
+    """ranges_of for a column of arrays of kinds."""
+    return _as_ranges(None if k is None else ranges_of(k) for k in kinds.to_pylist())
 
-            return step
 
-        zero = F.struct(F.array().cast(_RANGES).alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-        end = lambda a: F.when(a["s"] < 0, a["done"]).otherwise(_added(a["done"], a["s"], a["e"]))
-        return F.aggregate(F.aggregate(found, zero, grow(True), end), zero, grow(False), end)
+@F.arrow_udf(_RANGES)
+def merged(found: pa.Array, lengths: pa.Array, places: pa.Array) -> pa.Array:
+    """merged_of for columns of ranges, lengths and places."""
+    return _as_ranges(None if f is None else merged_of([[x["s"], x["e"]] for x in f], n, p) for f, n, p in zip(found.to_pylist(), lengths.to_pylist(), places.to_pylist(), strict=True))
 
-    return let(upto, joined)
+
+LAYOUT = StructType().add("section", ArrayType(StringType())).add("anchor", ArrayType(StringType())).add("ranges", _RANGES)
+
+
+@F.arrow_udf(LAYOUT)
+def layout(kinds: pa.Array, levels: pa.Array, texts: pa.Array, anchors: pa.Array, lengths: pa.Array) -> pa.Array:
+    """Of a page's blocks the sections and anchors, and the merged ranges."""
+    sections_, anchors_, ranges_ = [], [], []
+    for k, level, t, a, n in zip(*(c.to_pylist() for c in (kinds, levels, texts, anchors, lengths)), strict=True):
+        s, own = sections_of(k or [], level or [], t or [], a or [])
+        sections_.append(s)
+        anchors_.append(own)
+        ranges_.append(merged_of(ranges_of(k or []), n or [], list(zip(s, own, strict=True))))
+    names = pa.list_(pa.string())
+    return pa.StructArray.from_arrays([pa.array(sections_, names), pa.array(anchors_, names), _as_ranges(ranges_)], names=["section", "anchor", "ranges"])
 
 
 def build_units(chunks: DataFrame) -> DataFrame:
@@ -132,15 +154,11 @@ def build_units(chunks: DataFrame) -> DataFrame:
 
     A unit shorter than MIN_UNIT_CHARS, its code included, is dropped; text is without code and image marks (so it may
     be empty), embed_text has all. Units without a section are named by the page; several of a page are numbered.
-    Everything happens in the page's row; nothing is shuffled.
+    Everything happens in the page's row; nothing is shuffled. Only kinds, lengths and headings go through Python.
     """
     head = ["chunk_id", "page_id", "book_id", "path", "source_url"]
     title = F.coalesce(F.when(F.length("page_title") > 0, F.col("page_title")), F.try_element_at("path", F.lit(-1)), F.lit(""))
 
-    def found(b: Column) -> Column:
-        lengths = F.transform(b, lambda x: F.length(x["render"]))
-        return merged(F.array_sort(ranges(F.transform(b, lambda x: x["type"]))), lengths, F.transform(b, lambda x: F.struct(x["section"], x["anchor"])))
-
     def unit(b: Column, r: Column) -> Column:
         chosen = F.slice(b, r["s"] + 1, r["e"] - r["s"])
         not_blank = lambda c, key: F.array_join(F.filter(F.transform(c, lambda x: x[key]), lambda t: F.length(t) > 0), "\n")
@@ -149,22 +167,25 @@ def build_units(chunks: DataFrame) -> DataFrame:
             F.get(c, F.lit(0))["section"].alias("section"), F.get(c, F.lit(0))["anchor"].alias("anchor"), F.flatten(F.transform(c, lambda x: x["code_paths"])).alias("codes"),
         ))
 
-    def units_of(b: Column) -> Column:
+    def units_of(b: Column, found: Column) -> Column:
         """Units with their text, numbered among those without a section."""
-        all_ = F.transform(found(b), lambda r: let(unit(b, r), lambda u: u.withField("full", strip(F.regexp_replace(u["raw"], IMAGE_MARK, "")))))
+        all_ = F.transform(found, lambda r: let(unit(b, r), lambda u: u.withField("full", strip(F.regexp_replace(u["raw"], IMAGE_MARK, "")))))
         long = F.filter(all_, lambda u: F.length(u["full"]) >= MIN_UNIT_CHARS)
-        bare = lambda us: F.size(F.filter(us, lambda u: F.length(u["section"]) == 0))
-        return let(long, lambda us: F.transform(us, lambda u, i: F.struct(u.alias("u"), bare(us).alias("n"), bare(F.slice(us, 1, i + 1)).alias("nth"))))
-
-    def readied(s: Column) -> Column:
-        none = F.array().cast("array<string>")
-        return F.transform("blocks", lambda x, i: F.struct(
-            x["type"].alias("type"), strip(F.coalesce(x["render"], F.lit(""))).alias("render"), F.coalesce(x["embed"], F.lit("")).alias("embed"),
-            F.coalesce(F.transform(x["codes"], lambda c: c["path"]), none).alias("code_paths"), F.get(s, i)["section"].alias("section"), F.get(s, i)["anchor"].alias("anchor"),
-        ))
-
-    units = let(let(section_array(F.col("blocks")), readied), units_of)
-    rows = chunks.select(*head, title.alias("title"), F.explode_outer(units).alias("x")).where("x is not null").select(*head, "title", "x.u.*", "x.n", "x.nth")
+        bare = lambda u: F.length(u["section"]) == 0
+        numbered = lambda us, n: F.transform(us, lambda u, i: F.struct(u.alias("u"), n.alias("n"), (i + 1).alias("nth")))
+        return let(long, lambda us: let(F.filter(us, bare), lambda few: F.concat(numbered(few, F.size(few)), numbered(F.filter(us, lambda u: ~bare(u)), F.size(few)))))
+
+    none = F.array().cast("array<string>")
+    readied = F.transform("blocks", lambda x: F.struct(
+        x["type"].alias("type"), strip(F.coalesce(x["render"], F.lit(""))).alias("render"), F.coalesce(x["embed"], F.lit("")).alias("embed"),
+        F.coalesce(F.transform(x["codes"], lambda c: c["path"]), none).alias("code_paths"), x["level"].cast("int").alias("level"), x["anchor"].alias("anchor"), F.when(x["type"].isin("heading", "subheading"), x["text"]).alias("head"),
+    ))
+    of = lambda f: F.transform("b", f)
+    pages = chunks.select(*head, title.alias("title"), readied.alias("b"))
+    pages = pages.withColumn("l", layout(of(lambda x: x["type"]), of(lambda x: x["level"]), of(lambda x: x["head"]), of(lambda x: x["anchor"]), of(lambda x: F.length(x["render"]))))
+    placed = F.transform("b", lambda x, i: F.struct(*[x[c].alias(c) for c in ("type", "render", "embed", "code_paths")], F.get("l.section", i).alias("section"), F.get("l.anchor", i).alias("anchor")))
+    units = let(placed, lambda b: units_of(b, F.col("l.ranges")))
+    rows = pages.select(*head, "title", F.explode_outer(units).alias("x")).where("x is not null").select(*head, "title", "x.u.*", "x.n", "x.nth")
     text = strip(F.regexp_replace(F.regexp_replace("full", FENCED_CODE, ""), "\\n{3,}", "\n\n"))
     named = F.when((F.length("section") > 0) & (F.col("section") != F.col("title")), F.concat(F.lit("["), "title", F.lit("] "), "section")).otherwise(F.concat(F.lit("["), "title", F.lit("]")))
     rows = rows.withColumn("text", text).withColumn("embed_text", strip(F.concat(named, F.lit("\n"), "embed"))).withColumn("fallback", F.length("section") == 0)
