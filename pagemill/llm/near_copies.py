@@ -32,6 +32,8 @@ from .words import shingles_of
 
 #: Texts that are sampled for hot shingles, how many of them a hot shingle stands in, and most hot shingles of a round.
 SAMPLE_TEXTS, HOT_TEXTS, HOT_SHINGLES = 20_000, 3, 100_000
+#: A table of texts that are wanted again is broadcast up to this many rows (16 bytes each).
+BROADCAST_ROWS = 500_000
 #: A shingle that more texts than this have in their prefixes is hot too, and prefixes are taken anew; in so many rounds at most.
 CROWDED, ROUNDS = 1_000, 3
 
@@ -112,6 +114,7 @@ def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5,
     def texts_of(nodes: DataFrame) -> DataFrame:
         """Of each of some nodes a row, to read its text again."""
         wanted = written(reps.join(nodes, reps["rep"] == nodes["node"], "left_semi").select(F.col("id").alias("i"), F.col("key").alias("k")).distinct(), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else texts are shuffled to find a few of them
         return rows.join(wanted, rows["id"].eqNullSafe(wanted["i"]) & (rows["key"] == wanted["k"]), "left_semi")
 
     hot = hot_shingles(rows, shingle)
