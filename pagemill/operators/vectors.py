@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .retrieval import QUERY_BLOCK, VECTOR_BLOCK, blocks, distances
 
 SNIPPET_CHARS, LABEL_CHARS = 160, 30
+#: Ranges of a histogram, and how many values are few enough to be sorted.
+HISTOGRAM, FEW = 1024, 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -83,11 +85,59 @@ def centres(vectors: DataFrame, label: str) -> DataFrame:
     return mean.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
 
 
+def kth_smallest(values: DataFrame, k: int) -> float:
+    """The k-th smallest (from 0) of values (x double, no nulls), exactly, without bringing values together.
+
+    Rounds of range histograms: each counts the values in HISTOGRAM equal ranges between the ends known so far, a row for a
+    range, and goes on in the range that holds the k-th; its own least and greatest value are the next ends, so gaps and
+    ties cost no rounds. A range of few values, or of one, ends it.
+    """
+    low, high, below = None, None, 0
+    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    while low < high:
+        width = high - low
+        if width in (0.0, float("inf")):  # ends so far apart that their difference is no number: halve them first
+            place = F.when(F.col("x") < low / 2 + high / 2, 0).otherwise(1)
+        else:
+            place = F.least(F.floor((F.col("x") - low) / width * HISTOGRAM), F.lit(HISTOGRAM - 1))
+        within = values.where(F.col("x").between(low, high))
+        found = within.groupBy(place.cast("int").alias("place")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("place").collect()  # HISTOGRAM rows at most
+        for r in found:
+            if below + r["n"] > k:
+                break
+            below += r["n"]
+        if r["n"] <= FEW or (len(found) == 1 and r["n"] <= HISTOGRAM * FEW):
+            rows = values.where(F.col("x").between(r["low"], r["high"])).orderBy("x").limit(k - below + 1)
+            return rows.agg(F.max("x")).first()[0]
+        low, high = r["low"], r["high"]
+    return low
+
+
+def percentile(values: DataFrame, share: float) -> float | None:
+    """The share-percentile of values (x double), exactly, between the two values nearest to it in proportion; None of no values.
+
+    Nulls and NaN are left out.
+    """
+    held = values.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    n = held.count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    k = int(place)
+    first = kth_smallest(held, k)
+    if place == k:
+        return first
+    after = held.agg(F.count_if(F.col("x") <= first).alias("upto"), F.min(F.when(F.col("x") > first, F.col("x"))).alias("next")).first()
+    second = first if after["upto"] > k + 1 else after["next"]
+    return first + (second - first) * (place - k)
+
+
 def heatmap(vectors: DataFrame, first: int = 32) -> DataFrame:
     """The dimensions of largest variance as rows (dim, variance, place, bound), places up to first; bound: the 99th percentile of
     all absolute values, where a colour scale ends."""
     top = dimensions(vectors).where(F.col("place") <= first)
-    bound = vectors.select(F.explode("v").alias("x")).agg(F.percentile(F.abs(F.col("x").cast("double")), 0.99).alias("bound")).first()["bound"]
+    bound = percentile(vectors.select(F.explode("v").alias("y")).select(F.abs(F.col("y").cast("double")).alias("x")), 0.99)
     return top.withColumn("bound", F.lit(bound).cast("double"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, evidence, index, ingest, quiz, refine, retrieval, units, vector_index, vectors
+from ..operators import calls, evaluation, evidence, index, ingest, quiz, refine, retrieval, units, vector_index, vectors
 from ..sources import bucket_table
 from ..sources.scratch import scratch_path
 
@@ -392,6 +392,31 @@ def toc_breadcrumb(spark, sf_dir):
     return ingest.breadcrumbs(items)
 
 
+# -- calls of a model -------------------------------------------------------------------------------------------------
+
+
+def _short_only(system: str, user: str) -> str:
+    """A stand-in for a model that cannot answer long prompts."""
+    if len(user) > 230:
+        raise ValueError("too long")
+    return f"first {len(user)}"
+
+
+def _any_length(system: str, user: str) -> str:
+    return f"second {len(user)}"
+
+
+@query("""SELECT item_id::VARCHAR AS key, CASE WHEN item_id % 3 <> 0 AND length(text) <= 230 THEN 'first ' ELSE 'second ' END || length(text) AS reply,
+CASE WHEN item_id % 3 <> 0 AND length(text) > 230 THEN 4 ELSE 1 END::BIGINT AS calls, CASE WHEN item_id % 3 <> 0 AND length(text) > 230 THEN 4 ELSE 1 END * length(text) AS chars FROM benchmark""")
+def resumed_calls(spark, sf_dir):
+    """A run over two thirds of the passages, whose model fails for long ones, and then one over all with another model: what
+    has a reply keeps it, what failed or was not there is asked."""
+    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.lit("").alias("system"), F.col("text").alias("user"), "item_id")
+    path = scratch_path(spark, "calls")
+    calls.called(prompts.where("item_id % 3 <> 0"), _short_only, path, most_errors=10**9)
+    return calls.called(prompts, _any_length, path).select("key", "reply", "calls", "chars")
+
+
 # -- vector table -----------------------------------------------------------------------------------------------------
 
 
