@@ -12,9 +12,10 @@ from ..functions.providers import MAX_TOKENS, count_tokens
 from ..operators import index, refine, units
 from ..sources import bucket_table
 from ..sources.files import digest, written_if_changed
-from ..sources.scratch import written
+from ..sources.scratch import counted, written
 
 STAGES = ("refine", "embed")
+CODE_KINDS = ("python", "repl", "ipython", "shell", "pseudo", "output", "other")
 STORED = "unit_id string, chunk_id string, page_id long, book_id long, source_dir string, path string, section string, embed_model string, embed_hash string, embedding array<float>"
 
 
@@ -61,12 +62,12 @@ def refine_stage(spark: SparkSession, pages: DataFrame, root: str, selector: str
     inputs = f"{digest(pages)} {selector} {tree_mode} {base_url} {sorted(rules.items())}"
     if not force and up_to_date(spark, inputs, f"{root}/refined"):
         return {"up_to_date": True}
-    parsed = written(refine.parsed_pages(pages, selector, tree_mode), "parsed")
+    parsed, seen = counted(refine.parsed_pages(pages, selector, tree_mode), "parsed", no_body=F.count_if(F.col("status") != "ok"))
     chunks, excluded = refine.refine(pages.drop("html"), parsed, base_url, **rules)
     chunks = written(chunks, "chunks")
-    code = written(refine.code_rows(chunks), "code")
+    code, kinds = counted(refine.code_rows(chunks), "code", **{k: F.count_if(F.col("kind") == k) for k in CODE_KINDS})
     done = {"chunks": written_if_changed(chunks, f"{root}/chunks"), "code": written_if_changed(code, f"{root}/code"), "excluded": written_if_changed(excluded, f"{root}/excluded")}
-    done |= {"no_body": parsed.where("status <> 'ok'").count(), "code_kinds": {r["kind"]: r["count"] for r in code.groupBy("kind").count().collect()}}
+    done |= {"no_body": seen["no_body"], "code_kinds": {k: n for k, n in kinds.items() if n}}
     marked(spark, inputs, f"{root}/refined")
     return done
 
@@ -80,8 +81,8 @@ def embed_stage(spark: SparkSession, root: str, embed: Callable[[list[str]], lis
     rows = written(units.build_units(latest(spark, f"{root}/chunks")), "units")
     table = vector_table(spark, f"{root}/vectors")
     stored = table.read()
-    status = written(index.diff(stored, rows), "status")
-    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+    status, counts = counted(index.diff(stored, rows), "status", **{k: F.count_if(F.col("status") == k) for k in ("new", "changed", "same", "stale")})
+    counts = {k: n for k, n in counts.items() if n}
     todo = rows if rebuild else rows.join(status.where("status in ('new', 'changed')").select("unit_id"), "unit_id", "left_semi")
     if rebuild or counts.get("new") or counts.get("changed"):
         ready = index.metadata(todo, source_dir, model).join(todo.select("unit_id", "embed_text"), "unit_id")

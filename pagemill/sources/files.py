@@ -8,7 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .bucket_table import names_in
+from .scratch import counted
 
 PAGE_SCHEMA = "id long, book_id long, book_title string, parent_id long, depth int, `order` int, title string, breadcrumb array<string>, url string, fetched_at string"
 
@@ -83,30 +84,37 @@ def rules(spark: SparkSession, path: str, source_dir: str) -> dict[str, list]:
         raise ValueError(f"{path}: {e}") from e
 
 
+def digest_parts(columns: list[str]) -> dict[str, Column]:
+    """Aggregates from which digest_of makes a digest of rows, whatever their order."""
+    h = F.xxhash64(*columns)
+    return {"n": F.count(F.lit(1)), "s": F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)), "x": F.coalesce(F.bit_xor(h), F.lit(0))}
+
+
+def digest_of(parts: dict) -> str:
+    return f"{parts['n']}-{parts['s']}-{parts['x']}"
+
+
 def digest(df: DataFrame) -> str:
     """A digest of the rows, whatever their order."""
-    h = F.xxhash64(*df.columns)
-    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x")).first()
-    return f"{row['n']}-{row['s']}-{row['x']}"
+    return digest_of(df.agg(*[v.alias(k) for k, v in digest_parts(df.columns).items()]).first().asDict())
 
 
 def written_if_changed(df: DataFrame, path: str, now: datetime | None = None) -> bool:
     """Write df as a new version under path, unless the latest version has the same rows. Versions are never overwritten.
 
-    The rows are computed once, into a scratch table; that is what is compared and kept.
+    The rows are computed once, into a scratch table, and digested on the way; the digest is kept beside the version, so
+    that no version is read again to compare it.
     """
     spark = df.sparkSession
-    fresh = written(df, "version")
-    try:
-        old = spark.read.parquet(path)
-        latest = old.agg(F.max("version")).first()[0]
-        if latest and digest(old.where(F.col("version") == latest).select(*fresh.columns)) == digest(fresh):
-            return False
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    fresh, parts = counted(df, "version", **digest_parts(df.columns))
+    now_has = digest_of(parts)
+    digests = f"{path}/_digests"  # names with an underscore are no part of the table
+    before = names_in(spark, digests)
+    if before and spark.read.text(f"{digests}/{before[-1]}").first()["value"] == now_has:
+        return False
     stamp = (now or datetime.now()).strftime("v%Y%m%d_%H%M%S_%f")
     fresh.withColumn("version", F.lit(stamp)).write.mode("append").partitionBy("version").parquet(path)
+    spark.createDataFrame([(now_has,)], "value string").coalesce(1).write.text(f"{digests}/{stamp}")
     return True
 
 

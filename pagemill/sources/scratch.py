@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
@@ -37,6 +38,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, what: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """written(df, what), and some aggregates over its rows, which the job that writes it works out on its way."""
+    seen = Observation()
+    rows = written(df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[m.alias(k) for k, m in metrics.items()]), what)
+    return rows, {k: v for k, v in seen.get.items() if k != "_rows"}
+
+
 def n_written(spark: SparkSession) -> int:
     """How many tables `written` and places of scratch_path there are by now; a mark for remove_written."""
     return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
