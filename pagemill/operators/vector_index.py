@@ -104,7 +104,7 @@ class Lists:
         self.blank = sum(r["n"] for r in rows if r["list"] == NO_DIRECTION)
         self.numbers = np.array([r["list"] for r in own], np.int32)
         self.n, self.least, self.most = (np.array([r[c] for r in own], float) for c in ("n", "least", "most"))
-        self.centroids = np.array([r["centroid"] for r in own], float).reshape(len(own), -1)
+        self.centroids = np.array([r["centroid"] for r in own], float).reshape(len(own), -1 if own else 0)
 
     def first(self, m: np.ndarray, n: int, probes: int | None) -> list[np.ndarray]:
         """Of each query the places of the lists to look into first: the nearest, as many as hold n vectors, or `probes`."""
@@ -116,6 +116,8 @@ class Lists:
 
     def nearest_possible(self, m: np.ndarray) -> np.ndarray:
         """(queries, lists): a bound below the cosine distances of the list's vectors to a query; 0 for one without direction."""
+        if not len(self.n):
+            return np.zeros((len(m), 0))
         far = _to_centroids(m, self.centroids)
         gap = np.maximum(np.maximum(far - self.most, self.least - far) - ROOM, 0)
         return np.where(m.any(axis=1, keepdims=True), gap * gap / 2, 0)
