@@ -117,6 +117,7 @@ def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5,
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else texts are shuffled to find a few of them
         return rows.join(wanted, rows["id"].eqNullSafe(wanted["i"]) & (rows["key"] == wanted["k"]), "left_semi")
 
+    spark = rows.sparkSession
     hot = hot_shingles(rows, shingle)
     for left in reversed(range(ROUNDS)):
         signs = written(signatures(rows, shingle, threshold, n_longs, hot), "signatures")
@@ -136,16 +137,26 @@ def near_copy_groups(rows: DataFrame, threshold: float = 0.8, shingle: int = 5,
     crowded = written(keys.join(buckets.select("key"), "key").select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest")), "crowded")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of those pairs (a, b) that are links."""
-        x, y = (one.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-        possible = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-        left = written(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b").distinct(), "pairs")
-        nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        """(a, b) of those pairs (a, b) that are links. What is written on the way is deleted at the end."""
+        before = n_written(spark)
+        pairs = written(pairs.distinct(), "proposed")
+        some = written(pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct(), "some")
+        few = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        known = one.join(few, F.col("node") == F.col("p"), "left_semi").select("node", "n", "prefix")
+        x, y = (known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab")
+        alike = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+        # common shingles are in both prefixes, or after the end of that prefix which ends first
+        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+        possible = alike & (most * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
+        left = written(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b"), "pairs")
+        nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
         sets = written(shingle_sets(texts_of(nodes), shingle).dropDuplicates(["node"]), "shingles")
         shared = F.size(F.array_intersect("sa", "sb"))
         exact = shared / (F.size("sa") + F.size("sb") - shared) >= threshold
         sa, sb = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-        return written(left.join(sa, "a").join(sb, "b").where(exact).select("a", "b"), "links")
+        found = written(left.join(sa, "a").join(sb, "b").where(exact).select("a", "b"), "links")
+        remove_written(spark, before, keep_last=1)
+        return found
 
     prints = one.select(F.col("node").alias("id"), "fp")
     hits = looked_up(prints, segments, segment_bits, radius)
