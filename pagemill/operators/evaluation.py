@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MADE, NOT_MADE, FAILED, SKIPPED = "출제", "출제 못함", "오류", "건너뜀"
+# Bounds, reasons of refusal, and below the cells and messages of the results, as their readers expect them.
 MAX_TRIES, MAX_ROUNDS, MIN_HANGUL = 3, 2, 5
 REJECT_REASONS = ["정보 없음", "비유", "다른 언어", "추상적 주장", "개념 불일치"]
 #: Names of the language and of its basic types, which are no examples' own.

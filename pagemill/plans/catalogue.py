@@ -335,6 +335,51 @@ def code_store(spark, sf_dir):
     return refine.code_rows(chunks).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_PLAIN_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[^A-Za-z0-9 ,.]', '', 'g'), ' +', ' ', 'g'))), lambda x: length(x) > 0)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS page_id, coalesce(lang, 'none') AS lang, {_PLAIN_LINES} AS lines FROM documents),
+b AS (SELECT page_id, 0 AS place, 'heading' AS type, '## Page ' || page_id AS plain, '## Page ' || page_id AS render, 'Page ' || page_id AS embed FROM d
+UNION ALL SELECT page_id, 1, 'list', '- ' || array_to_string(lines, chr(10) || '- '), '- - ' || array_to_string(lines, chr(10) || '- '), '- ' || array_to_string(lines, chr(10) || '- ') FROM d WHERE len(lines) > 0
+UNION ALL SELECT page_id, 2, 'list', '1. top' || chr(10) || '  - ' || lang || chr(10) || '2. end', '- 1. top' || chr(10) || '  - ' || lang || chr(10) || '2. end', '1. top' || chr(10) || '  - ' || lang || chr(10) || '2. end' FROM d
+UNION ALL SELECT page_id, 3, 'table', '| lines | lang |' || chr(10) || '| ' || len(lines) || ' | ' || lang || ' |', 'lines | lang' || chr(10) || len(lines) || ' | ' || lang, 'lines | lang' || chr(10) || len(lines) || ' | ' || lang FROM d
+UNION ALL SELECT page_id, 4, 'table', '| ' || lang || ' | x |', lang || ' | x', lang || ' | x' FROM d
+UNION ALL SELECT page_id, 5, 'code', '```python' || chr(10) || 'x = ' || page_id || chr(10) || '```', '```python' || chr(10) || 'x = ' || page_id || chr(10) || '```', 'x = ' || page_id FROM d
+UNION ALL SELECT page_id, 6, 'note', '> Mind ' || page_id || '.' || chr(10) || '>' || chr(10) || '> Well.', 'Mind ' || page_id || '.' || chr(10) || chr(10) || 'Well.', 'Mind ' || page_id || '.' || chr(10) || chr(10) || 'Well.' FROM d)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS pos, type, plain, render, embed FROM b""")
+def html_structures(spark, sf_dir):
+    """Lists, a list within a list, tables with and without a header, code and notes: each document as a page of these."""
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9 ,.]", ""), " +", " "))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), clean), lambda x: F.length(x) > 0)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.coalesce("lang", F.lit("none")).alias("lang"), lines.alias("lines"))
+    items = F.when(F.size("lines") > 0, F.concat(F.lit("<ul><li>"), F.array_join("lines", "</li><li>"), F.lit("</li></ul>"))).otherwise("")
+    html = F.concat(
+        F.format_string("<article><h2>Page %d</h2>", "page_id"), items, F.format_string("<ol><li>top<ul><li>%s</li></ul></li><li>end</li></ol>", "lang"),
+        F.format_string("<table><tr><th>lines</th><th>lang</th></tr><tr><td>%d</td><td>%s</td></tr></table><table><tr><td>%s</td><td>x</td></tr></table>", F.size("lines"), "lang", "lang"),
+        F.format_string("<pre><code class='language-python'>x = %d</code></pre><blockquote><p>Mind %d.</p><p>Well.</p></blockquote></article>", "page_id", "page_id"),
+    )
+    blocks = refine.block_rows(refine.parsed_pages(rows.select("page_id", html.alias("html")), selector="article", tree_mode="html5"))
+    return blocks.select("page_id", F.col("pos").cast("long").alias("pos"), "type", "plain", "render", "embed")
+
+
+#: Code by the remainder of an id: how it is marked, what it is (%d: the id), and its kind.
+CODE_CASES = [("bash", "ls %d", "shell"), ("", "$ ls %d", "shell"), ("", "In [1]: x = %d", "ipython"), ("python", ">>> x = %d", "repl"), ("python", "x = %d", "python"), ("python", "x = (%d", "pseudo"), ("python", "2024-01-01 %d", "output"), ("js", "let x = %d", "other"), ("", "%d words", "output")]
+
+
+@query("SELECT ['shell', 'shell', 'ipython', 'repl', 'python', 'pseudo', 'output', 'other', 'output'][doc_id % 9 + 1] AS kind, CASE WHEN doc_id % 9 IN (3, 4) THEN true WHEN doc_id % 9 = 5 THEN false END AS syntax_ok, count(*) AS n, sum(length(doc_id::VARCHAR))::BIGINT AS digits FROM documents GROUP BY ALL")
+def code_kinds(spark, sf_dir):
+    """A code element of one of nine sorts for each document, by kind and by whether it is valid Python."""
+    k = F.col("doc_id") % len(CODE_CASES)
+    html = F.lit("")
+    for n, (lang, code, _) in enumerate(CODE_CASES):
+        mark = f" class='language-{lang}'" if lang else ""
+        html = F.when(k == n, F.format_string(f"<article><pre><code{mark}>{code.replace('>', '&gt;')}</code></pre></article>", "doc_id")).otherwise(html)
+    parsed = refine.parsed_pages(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html")), selector="article")
+    chunks = parsed.select(F.concat(F.col("page_id").cast("string"), F.lit("-01")).alias("chunk_id"), "page_id", F.lit(None).cast("long").alias("book_id"), "blocks")
+    return refine.code_rows(chunks).groupBy("kind", "syntax_ok").agg(F.count("*").alias("n"), F.sum(F.length(F.col("page_id").cast("string"))).alias("digits"))
+
+
 # -- folds and windows ------------------------------------------------------------------------------------------------
 
 
