@@ -70,14 +70,14 @@ def _log_of(prompts: DataFrame, path: str) -> DataFrame | None:
     return spark.read.schema(LOG).parquet(*folders) if folders else None
 
 
-def called(prompts: DataFrame, chat: Callable[[str, str], str], path: str, retries: int = CALL_RETRIES, most_errors: int = MAX_API_ERRORS, breaker: Breaker | None = None, wave: int = WAVE, per_minute: float | None = None) -> DataFrame:
+def called(prompts: DataFrame, chat: Callable[[str, str], str], path: str, retries: int = CALL_RETRIES, most_errors: int = MAX_API_ERRORS, breaker: Breaker | None = None, wave: int = WAVE, per_minute: float | None = None, task_rows: int | None = None) -> DataFrame:
     """prompts (key, system, user) -> (key, reply, error, calls, chars), a row for each row of prompts.
 
     chat(system, user) gives a text; it is tried again up to retries times. The log under path is read first and added to;
     a prompt with a reply in it is not asked again, one with an error is. Once most_errors calls in a row have failed
     (breaker: shared by several steps of a run) nothing is asked any more, and prompts without a reply in the log have the
     error "stopped". calls and chars count what this prompt has cost over all runs. per_minute bounds the calls a minute
-    over all tasks. A key may be repeated; rows equal in key and texts share a reply.
+    over all tasks; wave and task_rows are for models that are so fast that a wave's job costs more than its calls. A key may be repeated; rows equal in key and texts share a reply.
     """
     spark = prompts.sparkSession
     breaker = breaker or Breaker(most_errors)
@@ -97,7 +97,7 @@ def called(prompts: DataFrame, chat: Callable[[str, str], str], path: str, retri
             if breaker.open:
                 break
             rows = spark.read.schema(asked.schema).parquet(f"{queue}/wave={n}")
-            tasks = -(-(FIRST_WAVE if n == 0 else wave) // TASK_ROWS)
+            tasks = -(-(FIRST_WAVE if n == 0 else wave) // (task_rows or TASK_ROWS))
             part = f"{path}/log/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
             asked_now = _asked(rows.repartition(tasks), chat, retries, most_errors, 60 * tasks / per_minute if per_minute else 0.0)
             # version 2: what a task has written stays, whatever becomes of the job

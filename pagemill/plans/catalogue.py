@@ -440,26 +440,28 @@ def toc_breadcrumb(spark, sf_dir):
 # -- calls of a model -------------------------------------------------------------------------------------------------
 
 
-def _short_only(system: str, user: str) -> str:
-    """A stand-in for a model that cannot answer long prompts."""
-    if len(user) > 230:
-        raise ValueError("too long")
+def _clean_only(system: str, user: str) -> str:
+    """A stand-in for a model that cannot read some prompts."""
+    if user.endswith("toxic 1"):
+        raise ValueError("refused")
     return f"first {len(user)}"
 
 
-def _any_length(system: str, user: str) -> str:
+def _any(system: str, user: str) -> str:
     return f"second {len(user)}"
 
 
-@query("""SELECT item_id::VARCHAR AS key, CASE WHEN item_id % 3 <> 0 AND length(text) <= 230 THEN 'first ' ELSE 'second ' END || length(text) AS reply,
-CASE WHEN item_id % 3 <> 0 AND length(text) > 230 THEN 4 ELSE 1 END::BIGINT AS calls, CASE WHEN item_id % 3 <> 0 AND length(text) > 230 THEN 4 ELSE 1 END * length(text) AS chars FROM benchmark""")
+@query("""WITH p AS (SELECT *, 'document ' || doc_id || ' quality ' || coalesce(quality, -1) || ' toxic ' || coalesce(toxic, -1) AS u, doc_id % 3 <> 0 AS early FROM labels)
+SELECT doc_id::VARCHAR AS key, CASE WHEN early AND NOT ends_with(u, 'toxic 1') THEN 'first ' ELSE 'second ' END || length(u) AS reply,
+CASE WHEN early AND ends_with(u, 'toxic 1') THEN 4 ELSE 1 END::BIGINT AS calls, CASE WHEN early AND ends_with(u, 'toxic 1') THEN 4 ELSE 1 END * length(u) AS chars FROM p""")
 def resumed_calls(spark, sf_dir):
-    """A run over two thirds of the passages, whose model fails for long ones, and then one over all with another model: what
-    has a reply keeps it, what failed or was not there is asked."""
-    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.lit("").alias("system"), F.col("text").alias("user"), "item_id")
-    path = scratch_path(spark, "calls")
-    calls.called(prompts.where("item_id % 3 <> 0"), _short_only, path, most_errors=10**9)
-    return calls.called(prompts, _any_length, path).select("key", "reply", "calls", "chars")
+    """A run over two thirds of the labels, whose model refuses some, and then one over all with another model: what has a
+    reply keeps it, what failed or was not there is asked."""
+    told = F.format_string("document %d quality %d toxic %d", "doc_id", F.coalesce("quality", F.lit(-1)), F.coalesce("toxic", F.lit(-1)))
+    prompts = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"), F.lit("").alias("system"), told.alias("user"), "doc_id")
+    path, fast = scratch_path(spark, "calls"), {"wave": 100_000, "task_rows": 10_000}
+    calls.called(prompts.where("doc_id % 3 <> 0"), _clean_only, path, most_errors=10**9, **fast)
+    return calls.called(prompts, _any, path, **fast).select("key", "reply", "calls", "chars")
 
 
 # -- vector table -----------------------------------------------------------------------------------------------------
