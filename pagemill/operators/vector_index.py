@@ -8,6 +8,8 @@ less the list's largest radius (or the smallest radius less that distance, for a
 A search first looks into the nearest lists, as many as hold n vectors. The n-th best distance found there bounds the
 second look: lists whose bound lies beyond it cannot hold anything better, all others are read. The result is exact; only
 the number of lists that are read depends on the centroids. Lists are folders, so lists that no query wants are not read.
+Where many lists stay possible, a copy of a query for each would outgrow the input by far, so the second look sends copies
+to bundles, lists in a row that hold about VECTOR_BLOCK vectors together.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
@@ -105,6 +107,8 @@ class Lists:
         self.numbers = np.array([r["list"] for r in own], np.int32)
         self.n, self.least, self.most = (np.array([r[c] for r in own], float) for c in ("n", "least", "most"))
         self.centroids = np.array([r["centroid"] for r in own], float).reshape(len(own), -1 if own else 0)
+        #: of each list, and of the one of vectors without direction (last), the bundle it is in
+        self.bundles = np.append((np.cumsum(self.n) - self.n) // VECTOR_BLOCK, NO_DIRECTION).astype(np.int32)
 
     def first(self, m: np.ndarray, n: int, probes: int | None) -> list[np.ndarray]:
         """Of each query the places of the lists to look into first: the nearest, as many as hold n vectors, or `probes`."""
@@ -123,24 +127,35 @@ class Lists:
         return np.where(m.any(axis=1, keepdims=True), gap * gap / 2, 0)
 
 
-def _asked(queries: DataFrame, wanted) -> DataFrame:
-    """queries (qid, vector, ...) -> (qid, vector, list) for each list that wanted(batch, matrix) names for a query."""
+def _asked(queries: DataFrame, wanted, by: str = "list") -> DataFrame:
+    """queries (qid, vector, ...) -> (qid, vector, by) for each list or bundle that wanted(batch, matrix) names for a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                found = wanted(b, _matrix(b.column(1), b.num_rows))
-                rows = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(np.concatenate(found).astype(np.int32))], names=["qid", "vector", "list"])
+            for at in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(at, QUERY_BLOCK)
+                found = wanted(part, _matrix(part.column(1), part.num_rows))
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(found).astype(np.int32))], names=["qid", "vector", by])
 
-    return queries.mapInArrow(run, "qid long, vector array<double>, list int")
+    return queries.mapInArrow(run, f"qid long, vector array<double>, {by} int")
 
 
-def _met(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
-    """Blocks of queries and vectors of the same list. Only folders of lists that are asked for are read."""
-    lists = [r["list"] for r in asked.select("list").distinct().collect()]  # MAX_LISTS and one at most
-    held = rows_of(spark, path).where(F.col("list").isin(lists)).select("id", "vector", "list")
-    return blocks(held, VECTOR_BLOCK, ("ids", "v"), "list", in_order=True).join(blocks(asked.select("qid", "vector", "list"), QUERY_BLOCK, ("qids", "q"), "list"), "list")
+def _met(spark: SparkSession, path: str, asked: DataFrame, bundles: dict[int, int] | None = None) -> DataFrame:
+    """Blocks of queries and vectors of the same list, or of the same bundle (bundles: list -> bundle). Only folders of lists
+    that are asked for are read.
+
+    Copies of one query take little room on disk and much in memory, so Spark would take a large table of them for one that
+    can be broadcast: the hint has both sides shuffled, whatever their files' size.
+    """
+    by = "list" if bundles is None else "bundle"
+    wanted = {r[by] for r in asked.select(by).distinct().collect()}  # MAX_LISTS and one at most
+    places = [(k, b) for k, b in (bundles or {k: k for k in wanted}).items() if b in wanted]
+    held = rows_of(spark, path).where(F.col("list").isin([k for k, _ in places]))
+    if bundles is not None:
+        held = held.join(spark.createDataFrame(places, "list int, bundle int"), "list")
+    met = blocks(held.select("id", "vector", by), VECTOR_BLOCK, ("ids", "v"), by, in_order=bundles is None)
+    return met.join(blocks(asked.select("qid", "vector", by), QUERY_BLOCK, ("qids", "q"), by).hint("merge"), by)
 
 
 def search(queries: DataFrame, path: str, n: int = FETCH_LIMIT, probes: int | None = None) -> DataFrame:
@@ -166,11 +181,16 @@ def search(queries: DataFrame, path: str, n: int = FETCH_LIMIT, probes: int | No
     left = rows.join(reached, "qid", "left").select("qid", "vector", F.coalesce(bound, F.lit(3.0)).alias("bound"))
 
     def at_last(batch: pa.RecordBatch, m: np.ndarray) -> list[np.ndarray]:
+        """The bundles to look into: none, or those of all lists that are possible and of those looked into at first."""
         possible = lists.nearest_possible(m) <= np.asarray(batch.column(2))[:, None] + ROOM
-        for k, x in enumerate(lists.first(m, n, None)):
-            possible[k, x] = False
-        return [lists.numbers[p] for p in possible]
-
-    more = nearest_in(_met(spark, path, written(_asked(left, at_last), "asked")), n)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return near.unionByName(more).withColumn("nearness", rank).where(F.col("nearness") <= n).drop("nearness")
+        found = []
+        for p, x in zip(possible, lists.first(m, n, None), strict=True):
+            seen = np.zeros(len(p), bool)
+            seen[x] = True
+            found.append(np.unique(np.append(lists.bundles[:-1][p | seen], blank)) if (p & ~seen).any() else np.zeros(0, np.int32))
+        return found
+
+    asked = written(_asked(left, at_last, "bundle"), "asked")
+    more = nearest_in(_met(spark, path, asked, dict(zip([*lists.numbers.tolist(), NO_DIRECTION], lists.bundles.tolist(), strict=True))), n)
+    # a query that looks again meets once more what it met at first
+    return near.join(asked.select("qid").distinct(), "qid", "left_anti").unionByName(more)

@@ -119,3 +119,23 @@ def test_recall_of_a_few_lists_and_an_index_without_rows(spark, tmp_path):
     vector_index.build_index(v.limit(0), empty)
     assert vector_index.search(q, empty, 10).count() == 0
     assert vector_index.search(q.limit(0), path, 10).count() == 0
+
+
+def test_many_copies_of_queries_are_shuffled(spark, tmp_path, monkeypatch):
+    """The second look sends a query to bundles, not to each list, and no table of copies is broadcast."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 16)))]
+    rows += [(7, rows[7][1]), (900, [0.0] * 16), (901, [0.0] * 16)]  # an id twice, and vectors without direction
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.where("id % 50 = 0 or id = 7").withColumnRenamed("id", "qid")
+    monkeypatch.setattr(vector_index, "VECTOR_BLOCK", 200)
+    path = str(tmp_path / "index")
+    vector_index.build_index(v, path, lists=40)
+    tables, wrote = [], vector_index.written
+    monkeypatch.setattr(vector_index, "written", lambda df, what: tables.append((what, wrote(df, what))) or tables[-1][1])
+    found = vector_index.search(q, path, 10)
+    copies = [t for what, t in tables if what == "asked"][-1]
+    assert copies.count() <= 5 * q.count()  # of 40 lists, four bundles of vectors with a direction, and one without
+    assert "SortMergeJoin [bundle" in found._jdf.queryExecution().toString()
+    key = lambda df: sorted((r["qid"], r["id"], round(r["distance"], 9)) for r in df.distinct().collect())
+    assert key(found) == key(retrieval.top_n(q, v, 10))
