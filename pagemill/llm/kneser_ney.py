@@ -1,11 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is fitted on a bounded sample of labelled rows (TRAIN_DOCS documents of each language at most), so its count
-tables have a bounded size; they are joined to the tokens of all documents, which gives each document's perplexity. A
-document is kept if its perplexity is at most a quantile of its language's trusted documents that were not fitted on.
+Trusted documents are dealt into two folds by a hash of their ids. The model is fitted on all of one; its count tables are
+joined to the tokens of all documents, which gives each document's perplexity. A document is kept if its perplexity is at
+most a quantile of its language's trusted documents of the other fold: a threshold from documents that the model has seen
+would be too low.
 
-All work is DataFrame joins and sums. Tables of up to BROADCAST_ROWS rows are broadcast (the bound on the sample keeps
-them there by default); larger ones are joined by shuffles on the n-gram.
+All work is DataFrame joins and sums. Tables of up to BROADCAST_ROWS rows are broadcast; larger ones, as those of a large
+corpus are, are joined by shuffles on the n-gram.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-#: Most trusted documents of a language that the model is fitted on; its threshold is taken from all others.
-TRAIN_DOCS = 400
+#: About how many trusted documents of a language the model is fitted on at most; none: the whole fold.
+TRAIN_DOCS: int | None = None
 BROADCAST_ROWS = 2_000_000
 #: A document is kept up to this quantile of its language's trusted documents, with some room above.
 QUANTILE, ROOM = 0.99, 1.1
 #: A language's threshold is a mean of its own quantile and that of all languages, which counts as so many documents.
 PRIOR_DOCS = 30
-#: Longest text a document may have to be fitted on, so that the sample is bounded in words too.
-TRAIN_CHARS = 20_000
+#: Longest text a document may have to be fitted on; none: of any length.
+TRAIN_CHARS: int | None = None
 START, END, OOV = -1, -2, -3  # tokens that are not words; word hashes that fall on them are moved
 
 
@@ -153,11 +154,11 @@ def sample_of(ids: DataFrame, by: str, most: int, seed: int) -> DataFrame:
     return ids.join(share, F.col(by).eqNullSafe(F.col("_by"))).where(draw < F.col("share")).drop("_by", "share")
 
 
-def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = TRAIN_DOCS) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) for each row of docs (doc_id, text, lang).
 
-    labels (doc_id, quality): trusted documents have quality 1. Half of them (by a hash of the id) may be fitted on (if they
-    are not long); all that are not fitted on, of any length, set the thresholds. Null text has no words: only its end is
+    labels (doc_id, quality): trusted documents have quality 1. Half of them (by a hash of the id) are fitted on; all that are
+    not fitted on set the thresholds. train_docs bounds the former, by default nothing does. Null text has no words: only its end is
     scored. A null lang is a language of its own. A language's threshold is drawn towards that of all languages, the more
     the fewer documents it has. Ties with the threshold are kept. An empty table gives no rows.
     Rows equal in doc_id, text and lang have one result, repeated. With no text to fit on all documents are kept, without
@@ -166,9 +167,10 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     key = F.xxhash64("doc_id", "text", "lang")
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    small = docs.where(F.length("text") <= TRAIN_CHARS)
+    small = docs.where("text is not null") if TRAIN_CHARS is None else docs.where(F.length("text") <= TRAIN_CHARS)
     half = small.join(good, "doc_id", "left_semi").where(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(2)) == 0)
-    chosen = written(sample_of(half.select("doc_id", "lang"), "lang", train_docs, 12).select("doc_id").distinct(), "sample")
+    some = half.select("doc_id", "lang") if train_docs is None else sample_of(half.select("doc_id", "lang"), "lang", train_docs, 12)
+    chosen = written(some.select("doc_id").distinct(), "fold")
     if chosen.isEmpty():
         n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
         return docs.select("doc_id", "lang", n.alias("n_words"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))

@@ -343,6 +343,16 @@ def test_op10_thresholds_cover_long_documents(tricky, monkeypatch):
         assert threshold == pytest.approx((len(own) * max(own) + prior * max(p for _, p in left)) / (len(own) + prior) * kneser_ney.ROOM)
 
 
+def test_op10_is_fitted_on_a_whole_fold(spark, monkeypatch):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 200 == 0, F.repeat(F.lit("as long as it may be "), 1000)).otherwise(F.format_string("words of text %d", "id")).alias("text"), F.lit("en").alias("lang"))
+    fitted, fit = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda trusted: fitted.append({r["doc_id"] for r in trusted.select("doc_id").collect()}) or fit(trusted))
+    kneser_ney.classify(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    fold = docs.where(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(2)) == 0)
+    assert fitted == [{r["doc_id"] for r in fold.collect()}] and len(fitted[0]) > 450
+    assert fold.where(F.length("text") > 20_000).count() > 0
+
+
 def test_op10_against_brute_force(spark, tricky, tricky_rows):
     texts = [r[1] for r in tricky_rows if r[0] is not None and 100 <= r[0] <= 130]
     perplexity, p3, vocab, histories = brute.kneser_ney(texts)
