@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import blocks_of, code_facts, syntax_checks
 from ..functions.html import NODE, page_nodes
 
+#: Bytes of pages whose nodes a worker holds at once (a longer page is held alone).
+PAGE_BYTES = 1 << 20
 MIN_PAGE_CHARS, NAV_PAGE_MAX_CHARS, NAV_LINK_RATIO = 300, 800, 0.1
 # Titles of pages before and after a book's matter, and numbering in front of titles.
 FRONT_BACK_MATTER = "(?i)^(?:머리말|서문|들어가며|들어가는 ?글|저자 ?소개|지은이 ?소개|마치며|맺음말|나가며|감사의 ?글|참고 ?문헌|책 ?구입|구입 ?안내|(?:주요 ?)?변경 ?이력|정답|해답|연습 ?문제)|^(?:preface|acknowledgements?|references|bibliography|exercises?|answers?|solutions?)$"
 TITLE_NUMBERING = "^\\s*(?:제?\\s*\\d+\\s*장|\\d+(?:[-.]\\d+)*[.)]?)\\s*"
 
 
+def page_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (id, page) in slices of about PAGE_BYTES: nodes take many times the room of their page."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PAGE_BYTES)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def parsed_pages(pages: DataFrame, selector: str = "div.page-content", tree_mode: str = "htmlparser", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, status, chars, link_chars, blocks) for each page, without a shuffle.
 
@@ -31,7 +43,7 @@ def parsed_pages(pages: DataFrame, selector: str = "div.page-content", tree_mode
     node = pa.struct([("op", text), ("tag", text), ("text", text), ("bold", pa.bool_()), ("anchor", text), ("lang", text), ("th", pa.bool_()), ("cells", pa.list_(strings)), ("lines", pa.list_(line))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in page_slices(batch)):
             found = [page_nodes(h, selector, tree_mode == "html5") for h in b.column(1).to_pylist()]
             columns = [pa.array([f[n] for f in found], t) for n, t in zip(names[1:], (text, pa.int64(), pa.int64(), pa.list_(node)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
