@@ -133,20 +133,25 @@ def merged(found: pa.Array, lengths: pa.Array, places: pa.Array) -> pa.Array:
     return _as_ranges(None if f is None else merged_of([[x["s"], x["e"]] for x in f], n, p) for f, n, p in zip(found.to_pylist(), lengths.to_pylist(), places.to_pylist(), strict=True))
 
 
+#: Pages whose blocks a worker holds as Python values at once.
+PAGES_AT_ONCE = 128
 LAYOUT = StructType().add("section", ArrayType(StringType())).add("anchor", ArrayType(StringType())).add("ranges", _RANGES)
 
 
 @F.arrow_udf(LAYOUT)
 def layout(kinds: pa.Array, levels: pa.Array, texts: pa.Array, anchors: pa.Array, lengths: pa.Array) -> pa.Array:
     """Of a page's blocks the sections and anchors, and the merged ranges."""
-    sections_, anchors_, ranges_ = [], [], []
-    for k, level, t, a, n in zip(*(c.to_pylist() for c in (kinds, levels, texts, anchors, lengths)), strict=True):
-        s, own = sections_of(k or [], level or [], t or [], a or [])
-        sections_.append(s)
-        anchors_.append(own)
-        ranges_.append(merged_of(ranges_of(k or []), n or [], list(zip(s, own, strict=True))))
-    names = pa.list_(pa.string())
-    return pa.StructArray.from_arrays([pa.array(sections_, names), pa.array(anchors_, names), _as_ranges(ranges_)], names=["section", "anchor", "ranges"])
+    names, columns = pa.list_(pa.string()), (kinds, levels, texts, anchors, lengths)
+    parts = []
+    for at in range(0, len(kinds), PAGES_AT_ONCE):
+        sections_, anchors_, ranges_ = [], [], []
+        for k, level, t, a, n in zip(*(c.slice(at, PAGES_AT_ONCE).to_pylist() for c in columns), strict=True):
+            s, own = sections_of(k or [], level or [], t or [], a or [])
+            sections_.append(s)
+            anchors_.append(own)
+            ranges_.append(merged_of(ranges_of(k or []), n or [], list(zip(s, own, strict=True))))
+        parts.append(pa.StructArray.from_arrays([pa.array(sections_, names), pa.array(anchors_, names), _as_ranges(ranges_)], names=["section", "anchor", "ranges"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("section", names), ("anchor", names), ("ranges", _as_ranges([]).type)]))
 
 
 def build_units(chunks: DataFrame) -> DataFrame:
