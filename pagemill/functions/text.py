@@ -27,6 +27,8 @@ LLM_BLANK = "(?<![A-Za-z0-9])_{3,}(?![A-Za-z0-9])"
 BLANK = "____"
 MAX_ANSWER_CHARS, MIN_EVIDENCE_CHARS = 30, 8
 SHORT_UNIT_CHARS, SHORT_PENALTY, MIN_FACT_CHARS = 80, 0.1, 40
+#: White space in the Unicode sense, as (?U)\\s has it.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SENTENCE_SPLIT = "(?U)(?<=[.!?])\\s+|\\n+"
 
 
@@ -37,13 +39,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squash(c: Column) -> Column:
     """For comparing: straight quotes, no white space, no end marks."""
-    straight = F.translate(c, "‘’“”", "''\"\"")
-    return F.regexp_replace(F.regexp_replace(straight, "(?U)\\s+", ""), "[.!?]+$", "")
+    return F.rtrim(F.translate(c, "‘’“”" + WHITE, "''\"\""), F.lit(".!?"))
 
 
 def contains(text: Column, part: Column) -> Column:
@@ -73,25 +74,35 @@ def make_question(text: Column, answer: Column) -> Column:
     A run of three underscores or more that touches no letter or digit is a blank. With one blank written, further
     occurrences of the answer are masked too; with none, all are masked as words, or else the first as it stands.
     """
-    answer = strip(answer)
-    text = F.regexp_replace(text, LLM_BLANK, BLANK)
+    return let(strip(answer), lambda a: let(F.regexp_replace(text, LLM_BLANK, BLANK), lambda t: _masked(t, a)))
+
+
+def _masked(text: Column, answer: Column) -> Column:
+    def asked(masked: Column) -> Column:
+        at = F.instr(text, answer)
+        first_only = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(BLANK), F.substring(text, at + F.length(answer), F.length(text)))
+        return F.when(F.contains(text, F.lit(BLANK)) | F.contains(masked, F.lit(BLANK)), masked).otherwise(first_only)
+
+    def result(asked: Column) -> Column:
+        return let(_mask_error(text, answer, asked), lambda error: F.struct(F.when(error.isNull(), asked).alias("question"), F.when(error.isNull(), occurrences(asked, BLANK)).alias("blanks"), error.alias("error")))
+
+    # masked, asked and error are each used several times
+    return let(let(F.regexp_replace(text, answer_pattern(answer), BLANK), asked), result)
+
+
+def _mask_error(text: Column, answer: Column, asked: Column) -> Column:
     has_blank = F.contains(text, F.lit(BLANK))
-    masked = F.regexp_replace(text, answer_pattern(answer), BLANK)
-    at = F.instr(text, answer)
-    first_only = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(BLANK), F.substring(text, at + F.length(answer), F.length(text)))
-    asked = F.when(has_blank | F.contains(masked, F.lit(BLANK)), masked).otherwise(first_only)
     written = occurrences(text, BLANK)
-    error = (
+    refilled = filled(asked, answer)
+    return (
         F.when(F.length(answer) == 0, F.lit("정답이 비어 있음"))
         .when(F.length(answer) > MAX_ANSWER_CHARS, F.concat(F.lit("정답이 너무 김("), F.length(answer), F.lit("자)")))
         .when(has_blank & (written > 1), F.concat(F.lit("LLM이 쓴 빈칸이 "), written, F.lit("개, 빈칸은 하나만 쓸 것")))
         .when(has_blank & (F.length(strip(F.replace(asked, F.lit(BLANK), F.lit("")))) == 0), F.lit("문제에 빈칸 말고 내용이 없음"))
         .when(~has_blank & ~F.contains(text, answer), F.concat(F.lit("정답이 문장에 없음: "), answer))
         .when(~has_blank & (squash(answer) == squash(text)), F.lit("정답이 문장 전체"))
-        .when(~has_blank & (squash(F.replace(asked, F.lit(BLANK), answer)) != squash(text)), F.lit("채운 문장이 원문과 다름"))
+        .when(~has_blank & (refilled != text) & (squash(refilled) != squash(text)), F.lit("채운 문장이 원문과 다름"))
     )
-    ok = error.isNull()
-    return F.struct(F.when(ok, asked).alias("question"), F.when(ok, occurrences(asked, BLANK)).alias("blanks"), error.alias("error"))
 
 
 def filled(question: Column, answer: Column) -> Column:
