@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 QUESTION_WORDS = ["어떻게", "무엇", "무엇인가", "무엇인지", "무엇일까", "뭐", "뭐야", "뭐가", "뭘", "왜", "언제", "어디", "어떤", "무슨", "어느", "얼마나", "어때"]
 VERB_ENDING = "^[가-힣]$|[가-힣](어|아|요|까|니|나|해|돼|라|야|려면|으면|하면)$"
 PARTICLE = "(이란|에서|으로|란|로|은|는|이|가|을|를|의|와|과|에|도|만)$"
+# The same within a text, where a word ends before white space. A particle stays on a word that would keep one character;
+# then no part of it goes either. Java looks behind by UTF-16 units, of which two characters have up to four.
+_DROPPED = f"(?U)(?<!\\S)(?:{'|'.join(QUESTION_WORDS)}|[가-힣]|\\S*{VERB_ENDING.split('|', 1)[1].removesuffix('$')})(?!\\S)"
+_PARTICLE = f"(?U)(?<=\\S{{2,4}})(?:{PARTICLE.removesuffix('$').replace('|란', '|(?<!이)란').replace('|로', '|(?<!으)로')})(?!\\S)"
 GATE_STOPWORDS = ["자료형", "파이썬", "파이썬의", "값을", "저장하는", "공간", "기본"]
 GATE_ALIASES = {"불리언": ["boolean", "bool"], "불": ["bool", "불 자료형"], "숫자형": ["숫자"]}
 DEFINITION = "(?:은|는|이란|란)\\s.{4,}?(?:의미한다|의미합니다|말한다|말합니다|뜻한다|뜻합니다|가리킨다|가리킵니다|부른다|부릅니다|라고 한다|라고 합니다|이라고 한다|이라고 합니다)[.!]?$"
@@ -111,11 +115,11 @@ def filled(question: Column, answer: Column) -> Column:
 
 def question_keywords(question: Column) -> Column:
     """A question without interrogatives, verbs and particles; the question itself if nothing is left."""
-    words = F.transform(F.split(strip(question), "(?U)\\s+"), lambda w: F.regexp_replace(w, "^[?!.,~]+|[?!.,~]+$", ""))
-    kept = F.filter(words, lambda w: (F.length(w) > 0) & ~w.isin(QUESTION_WORDS) & ~w.rlike(VERB_ENDING))
-    bare = lambda w: F.regexp_replace(w, PARTICLE, "")
-    joined = F.array_join(F.transform(kept, lambda w: F.when(F.length(bare(w)) >= 2, bare(w)).otherwise(w)), " ")
-    return F.when(F.length(joined) > 0, joined).otherwise(question)
+    # over the whole text at once: an array of its words would cost an object and several patterns a word
+    bare = F.regexp_replace(question, "(?U)(?<!\\S)[?!.,~]++|(?<![?!.,~])[?!.,~]++(?!\\S)", "")
+    korean = F.regexp_replace(F.regexp_replace(bare, _DROPPED, ""), _PARTICLE, "")
+    some = F.when(question.rlike("[가-힣]"), korean).otherwise(bare)
+    return let(strip(F.regexp_replace(some, "(?U)\\s+", " ")), lambda joined: F.when(F.length(joined) > 0, joined).otherwise(question))
 
 
 def _aliases(words: Column) -> Column:
