@@ -7,17 +7,21 @@ score, but cut by the distance of the row of the best score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..functions.text import concept_tokens, short_penalty
 
 FETCH_LIMIT, MAX_DISTANCE, DISTANCE_MARGIN = 300, 0.45, 0.15
 #: Vectors, and queries, that meet as one matrix product.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors of a block that nearest_in looks at at a time, and queries whose best rows it gives out at a time.
+SLICE, GIVEN_QUERIES = 2048, 512
 #: Queries whose best rows a task holds before it gives them out.
 KEPT_QUERIES = 4096
 
@@ -27,8 +31,9 @@ def blocks(rows: DataFrame, size: int, names: tuple[str, str], by: str | None =
 
     by: rows are (id, vector, by), and a block holds rows of one value only, which it has as a column. For that the rows are
     sorted by range, so that a value with a large share of all rows lies in as many partitions as its size asks for;
-    in_order: they come with rows of one value together.
+    in_order: they come with rows of one value together. Vectors of floats stay floats, which halves what is sent.
     """
+    exact = "float" if rows.schema[1].dataType.elementType == FloatType() else "double"
     kind = None if by is None else rows.schema[by].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,24 +45,27 @@ def blocks(rows: DataFrame, size: int, names: tuple[str, str], by: str | None =
             for start, end in zip(cuts, cuts[1:], strict=False):
                 for at in range(start, end, size):
                     part = b.slice(at, min(size, end - at))
-                    flat = np.asarray(part.column(1).flatten(), np.float64)
-                    columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.float64()))]
+                    flat = part.column(1).flatten().cast(exact)
+                    columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)]
                     yield pa.RecordBatch.from_arrays(columns + ([] if by is None else [part.column(2).slice(0, 1)]), names=[*names, *([] if by is None else [by])])
 
     if by is not None and not in_order:
         first = rows.columns[0]
         rows = rows.repartitionByRange(by, first).sortWithinPartitions(by, first)
-    return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} array<double>" + ("" if by is None else f", `{by}` {kind}"))
+    return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} array<{exact}>" + ("" if by is None else f", `{by}` {kind}"))
 
 
-def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, cosine distances, vector ids) of each pair of blocks."""
+def distances(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, cosine distances, vector ids) of each pair of blocks; size: of so many of its vectors at a time."""
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     for b in batches:
         for k in range(b.num_rows):
             qids, ids = (np.array(b.column(c)[k].as_py(), np.int64) for c in (0, 2))
             a, m = (unit(np.asarray(b.column(c)[k].values, np.float64).reshape(len(x), -1)) for c, x in ((1, qids), (3, ids)))
-            yield qids, 1 - a @ m.T, ids
+            step = size or max(len(ids), 1)
+            for at in range(0, len(ids), step):
+                far = a @ m[at : at + step].T
+                yield qids, np.subtract(1, far, out=far), ids[at : at + step]
 
 
 def nearest_in(pairs: DataFrame, n: int) -> DataFrame:
@@ -71,13 +79,14 @@ def nearest_in(pairs: DataFrame, n: int) -> DataFrame:
         # of each query the best so far in this task, so that few rows leave it however many blocks it meets
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def given() -> pa.RecordBatch:
-            sizes = [len(d) for d, _ in best.values()]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), sizes)), pa.array(np.concatenate([i for _, i in best.values()])), pa.array(np.concatenate([d for d, _ in best.values()]))], names=["qid", "id", "distance"])
+        def given() -> Iterator[pa.RecordBatch]:
+            for part in batched(best.items(), GIVEN_QUERIES):
+                sizes = [len(d) for _, (d, _) in part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, _ in part], np.int64), sizes)), pa.array(np.concatenate([i for _, (_, i) in part])), pa.array(np.concatenate([d for _, (d, _) in part]))], names=["qid", "id", "distance"])
 
-        for qids, far, ids in distances(batches):
+        for qids, far, ids in distances(batches, SLICE):
             if len(best) > KEPT_QUERIES:
-                yield given()
+                yield from given()
                 best = {}
             for row, qid in enumerate(qids.tolist()):
                 d, i = far[row], ids
@@ -86,7 +95,7 @@ def nearest_in(pairs: DataFrame, n: int) -> DataFrame:
                 order = np.lexsort((i, d))[:n]
                 best[qid] = d[order], i[order]
         if best:
-            yield given()
+            yield from given()
 
     near = pairs.select("qids", "q", "ids", "v").mapInArrow(run, "qid long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,20 @@ def test_many_copies_of_queries_are_shuffled(spark, tmp_path, monkeypatch):
     assert "SortMergeJoin [bundle" in found._jdf.queryExecution().toString()
     key = lambda df: sorted((r["qid"], r["id"], round(r["distance"], 9)) for r in df.distinct().collect())
     assert key(found) == key(retrieval.top_n(q, v, 10))
+
+
+def test_memory_of_a_task_is_bounded(spark, monkeypatch):
+    """Vectors of floats are not widened on their way, products and best rows come in slices, and nothing depends on the slices."""
+    rows = spark.range(0, 700, 1, 2).select("id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (F.pmod(F.xxhash64("id", k), F.lit(1000)) / 1000).cast("float")).alias("vector"))
+    asked = rows.where("id % 10 = 0").withColumnRenamed("id", "qid")
+    met = retrieval.blocks(rows, 300, ("ids", "v"))
+    assert met.schema["v"].dataType.simpleString() == "array<float>"
+    assert retrieval.blocks(rows.withColumn("vector", F.col("vector").cast("array<double>")), 300, ("ids", "v")).schema["v"].dataType.simpleString() == "array<double>"
+    whole = sorted(map(tuple, retrieval.top_n(asked, rows, 7).collect()))
+    monkeypatch.setattr(retrieval, "SLICE", 64)
+    monkeypatch.setattr(retrieval, "GIVEN_QUERIES", 3)
+    parts = sorted(map(tuple, retrieval.top_n(asked, rows, 7).collect()))
+    assert len(parts) == 490 and [r[:2] for r in parts] == [r[:2] for r in whole] and max(abs(a[2] - b[2]) for a, b in zip(parts, whole, strict=True)) < 1e-12
+    pair = pa.RecordBatch.from_pylist([{"qids": [1, 2], "q": [1.0, 0.0, 0.0, 1.0], "ids": list(range(150)), "v": [1.0, 1.0] * 150}])
+    assert [d.shape for _, d, _ in retrieval.distances(iter([pair]), 64)] == [(2, 64), (2, 64), (2, 22)]
+    assert [d.shape for _, d, _ in retrieval.distances(iter([pair]))] == [(2, 150)]
