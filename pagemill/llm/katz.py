@@ -44,10 +44,10 @@ END, START = (np.uint64(xxhash.xxh3_64_intdigest(s) & ~1 & (1 << 64) - 1) for s
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_numbers(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vocabulary, words, sizes) of an array of texts without nulls: sorted even keys of the distinct words and of the end;
     the tokens of all texts end to end, as places in the vocabulary; how many tokens each text has."""
-    hashes, numbers, n_words = numbered_words(texts)
+    hashes, numbers, n_words = numbered_words(texts, lower=lower)
     vocabulary, place = np.unique(np.append(hashes & ~np.uint64(1), END), return_inverse=True)
     words = np.full(len(numbers) + len(texts), place[-1], np.uint32)
     words[np.arange(len(numbers)) + np.repeat(np.arange(len(texts)), n_words)] = place[numbers]
@@ -117,22 +117,21 @@ def shard_edges(shards: int) -> np.ndarray:
     return (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
 
 
-CHUNKS = "chunk long, ids array<long>, vocabulary binary, words binary, sizes binary"
-
-
-def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """docs (id, text) -> a row for each chunk: its ids, its vocabulary, its tokens as places in that, and its texts' sizes."""
+def chunks(docs: DataFrame, chunk_bytes: int, lower: bool = True) -> DataFrame:
+    """docs (id of any type, text) -> a row for each chunk: its ids, its vocabulary, its tokens as places in that, and its
+    texts' sizes. Words are taken in lower case unless lower is false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 20
         turn, held, size = 0, [], 0
 
         def closed() -> pa.RecordBatch:
-            ids = [i for part in held for i in part.column(0).to_pylist()]
-            vocabulary, words, sizes = word_numbers(pa.concat_arrays([part.column(1) for part in held]))
-            row = {"chunk": first + turn, "ids": ids, "vocabulary": _squeeze(vocabulary), "words": _pack(words), "sizes": _pack(sizes)}
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
+            ids = pa.concat_arrays([part.column(0) for part in held])
+            vocabulary, words, sizes = word_numbers(pa.concat_arrays([part.column(1) for part in held]), lower)
+            row = {"chunk": first + turn, "vocabulary": _squeeze(vocabulary), "words": _pack(words), "sizes": _pack(sizes)}
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=[*row, "ids"])
 
         for b in batches:
             b = pa.RecordBatch.from_arrays([b.column(0), pc.fill_null(b.column(1).cast(pa.string()), "")], names=["id", "text"])
@@ -152,7 +151,8 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if held:
             yield closed()
 
-    return docs.mapInArrow(run, CHUNKS)
+    kind = docs.schema[docs.columns[0]].dataType.simpleString()
+    return docs.mapInArrow(run, f"chunk long, vocabulary binary, words binary, sizes binary, ids array<{kind}>")
 
 
 def chunk_of(row: dict) -> Chunk:

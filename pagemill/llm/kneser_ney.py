@@ -1,22 +1,36 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted documents are dealt into two folds by a hash of their ids. The model is fitted on all of one; its count tables are
-joined to the tokens of all documents, which gives each document's perplexity. A document is kept if its perplexity is at
-most a quantile of its language's trusted documents of the other fold: a threshold from documents that the model has seen
-would be too low.
-
-All work is DataFrame joins and sums. Tables of up to BROADCAST_ROWS rows are broadcast; larger ones, as those of a large
-corpus are, are joined by shuffles on the n-gram.
+Trusted documents are dealt into two folds by a hash of their ids. The model is fitted on all of one, and gives each
+document's perplexity. A document is kept if its perplexity is at most a quantile of its language's trusted documents of
+the other fold: a threshold from documents that the model has seen would be too low.
+
+Texts are taken in chunks of a bounded number of bytes (katz.chunks). A chunk's distinct words are joined to the table of
+words; its distinct pairs and trigrams are sent as sorted blocks of 64-bit keys to the shards of the key space, whose counts
+answer in the order of the block. So keys are spread evenly, however common a word or a pair is. In fitting, a shard tells
+one chunk of each trigram (then pair) that it owns it, and that chunk, which knows its words, hands its count on to the lower
+orders.
+
+Documents are scored in rounds, each a part of them against all of the model, and what a round wrote is deleted after it:
+what is on disk at a time is the model, and a round's share of the n-grams.
 """
 
 from __future__ import annotations
 
 import math
-
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import WORD, written
+from .common import WORD, n_written, remove_written, written
+from .katz import END, START, _pack, _squeeze, _unpack, _unsqueeze, chunks, pair_keys, shard_edges
 
 #: About how many trusted documents of a language the model is fitted on at most; none: the whole fold.
 TRAIN_DOCS: int | None = None
@@ -27,17 +41,16 @@ QUANTILE, ROOM = 0.99, 1.1
 PRIOR_DOCS = 30
 #: Longest text a document may have to be fitted on; none: of any length.
 TRAIN_CHARS: int | None = None
-START, END, OOV = -1, -2, -3  # tokens that are not words; word hashes that fall on them are moved
-
-
-def token_hashes(text: Column) -> Column:
-    """Hashes of the words of a text (case matters: it tells shouting from prose), then the end."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    return F.concat(F.transform(words, lambda w: F.abs(F.xxhash64(w))), F.array(F.lit(END).cast("long")))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
+#: Bytes of text for each shard of the key space.
+SHARD_BYTES = 6 << 20
+#: Documents are scored in rounds of about this many bytes of text, in ROUNDS at most, as each reads the model anew.
+ROUND_BYTES, ROUNDS = 24 << 20, 6
+#: A chunk closes at this many bytes of text.
+CHUNK_BYTES = 4 << 20
+OOV_KEY = np.uint64(xxhash.xxh3_64_intdigest(b"\n unknown") & ~1 & (1 << 64) - 1)
+_as_long = lambda k: int(k.astype(np.int64))
+OOV, PAD = _as_long(OOV_KEY), pair_keys(START, START)
+END_KEY, START_KEY, END, START = END, START, _as_long(END), _as_long(START)  # words have no white space, so none is one of these
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -50,7 +63,10 @@ def discounts(counts: DataFrame) -> list[float]:
     The counts of counts n(1) to n(4) are smoothed by a line, log n(r) = a + b log r, by least squares over those that are
     not 0 (at most 0; -2 where fewer than two are there), so that D(r) lies between 0 and r in a corpus of any size.
     """
-    n = {row["c"]: row["count"] for row in counts.where("c between 1 and 4").groupBy("c").count().collect()}  # four rows at most
+    return _discounts({row["c"]: row["count"] for row in counts.where("c between 1 and 4").groupBy("c").count().collect()})  # four rows at most
+
+
+def _discounts(n: dict[int, int]) -> list[float]:
     points = [(math.log(r), math.log(k)) for r, k in n.items()]
     b = -2.0
     if len(points) > 1:
@@ -64,87 +80,317 @@ def _discount(c: Column, d: list[float]) -> Column:
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def fit(trusted: DataFrame, text_col: str = "text") -> dict[str, DataFrame | int]:
+class Grams:
+    """Tokens of a chunk with unknown words made OOV, its distinct pairs and trigrams in order, and where among them they stand.
+
+    A token's own pair is the word before and itself; its history is the pair of the two words before.
+    """
+
+    def __init__(self, row: dict, *only: str):
+        vocabulary, words, self.sizes = _unsqueeze(row["vocabulary"]), _unpack(row["words"]), _unpack(row["sizes"])
+        self.known = np.unpackbits(np.frombuffer(row["known"], np.uint8), count=len(vocabulary)).astype(bool)
+        #: keys of the vocabulary, and last the start; w and v are each token and the one before as places in it
+        self.names = np.append(np.where(self.known, vocabulary, OOV_KEY), START_KEY)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.w = words
+
+        def shifted(x: np.ndarray, first: int | np.uint64) -> np.ndarray:
+            x = np.roll(x, 1)
+            x[self.starts] = first
+            return x
+
+        self.v = shifted(words, len(vocabulary))
+        pair = pair_keys(self.names[self.v], self.names[words])
+        triple = pair_keys(shifted(pair, PAD), self.names[words])
+        if only:  # the keys of either alone; a plain sort is several times as fast as one that tells places
+            keys = np.sort(triple if only == ("triples",) else np.append(pair, PAD))
+            self.triples = self.pairs = keys[np.append(True, keys[1:] != keys[:-1])]
+            return
+        self.triples, self.triple = np.unique(triple, return_inverse=True)
+        self.pairs, at = np.unique(np.append(pair, PAD), return_inverse=True)
+        self.pair, self.history = at[:-1], shifted(at[:-1], at[-1])
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.Table.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=list(names))
+
+
+def _blocks(chunk: int | None, keys: np.ndarray, values: np.ndarray, shards: int) -> list[tuple]:
+    """(shard, chunk, keys, values) for each shard that has some of the sorted keys; values has a row for each kind of value."""
+    cuts = [0, *np.searchsorted(keys, shard_edges(shards)).tolist(), len(keys)]
+    return [(n, chunk, _squeeze(keys[x:y]), _pack(values[:, x:y].ravel())) for n, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+
+
+def _values(data: bytes, kinds: int) -> np.ndarray:
+    return _unpack(data).reshape(kinds, -1)
+
+
+def _answered(answered: pa.Table, kinds: int) -> np.ndarray:
+    """The answers of all shards, in their order: values in the order of the keys that were asked for."""
+    found = sorted(zip(answered.column("shard").to_pylist(), answered.column("values").to_pylist(), strict=True))
+    return np.concatenate([_values(v, kinds) for _, v in found], axis=1)
+
+
+BLOCKS = "shard int, chunk long, keys binary, values binary"
+
+
+def _mapped(made: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+    """Chunks with the words that are known (one bit each), and with the columns p, back and n of words (w, p, back, n) for these."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, vocabulary in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = _unsqueeze(vocabulary).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), chunk)), pa.array(w)], names=["chunk", "w"])
+
+    def run(key: tuple, made: pa.Table, found: pa.Table) -> pa.Table:
+        vocabulary = _unsqueeze(made.column("vocabulary")[0].as_py())
+        w = found.column("w").to_numpy().view(np.uint64)
+        order = np.argsort(w)
+        known = np.zeros(len(vocabulary), bool)
+        known[np.searchsorted(vocabulary, w)] = True
+        for name in ("p", "back", "n"):
+            numbers = found.column(name).to_numpy()[order].astype("<f8").tobytes()
+            made = made.append_column(name, pa.array([zstandard.ZstdCompressor(level=1).compress(numbers)], pa.binary()))
+        return made.append_column("known", pa.array([np.packbits(known).tobytes()], pa.binary()))
+
+    found = made.select("chunk", "vocabulary").mapInArrow(listed, "chunk long, w long").join(_small(words, n_words), "w")
+    schema = StructType(list(made.schema.fields)).add("p", "binary").add("back", "binary").add("n", "binary").add("known", "binary")
+    return made.groupBy("chunk").cogroup(found.select("chunk", "w", "p", "back", "n").groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _each_chunk(made: DataFrame, body: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """The rows that body gives for each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                (row,) = b.slice(k, 1).to_pylist()
+                yield from _rows(body(row), schema).to_batches()
+
+    return made.drop("ids").mapInArrow(run, schema)
+
+
+def _each_answered(made: DataFrame, answered: DataFrame, body: Callable[[dict, pa.Table], list[tuple]], schema: str) -> DataFrame:
+    """The rows that body gives for each chunk and its answers."""
+
+    def run(key: tuple, made: pa.Table, answered: pa.Table) -> pa.Table:
+        return _rows(body(made.to_pylist()[0], answered), schema)
+
+    return made.drop("ids").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
+
+
+SUMMED = "shard int, chunk long, keys binary, values binary, owned binary, stats array<long>"
+
+
+def _summed(asked: DataFrame, kinds: int) -> DataFrame:
+    """Blocks -> a row for each shard without a chunk: its keys, their summed values, and of the first value how many keys
+    have 1, 2, 3, 4 and more than 2, and its sum; and an answer to each block: the first value in the order of its keys, and
+    a bit for each key that the chunk owns."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        shard, found = key[0].as_py(), sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "keys", "values")), strict=True))
+        blocks = [_unsqueeze(k) for _, k, _ in found]
+        flat = np.concatenate([_values(v, kinds) for _, _, v in found], axis=1)
+        keys, first, place = np.unique(np.concatenate(blocks), return_index=True, return_inverse=True)
+        total = np.stack([np.bincount(place, v, len(keys)) for v in flat]).astype(np.int64)
+        owned = np.zeros(len(place), bool)
+        owned[first] = True
+        stats = [*(int((total[0] == r).sum()) for r in (1, 2, 3, 4)), int((total[0] > 2).sum()), int(total[0].sum())]
+        rows, at = [(shard, None, _squeeze(keys), _pack(total.ravel()), None, stats)], 0
+        for (chunk, _, _), block in zip(found, blocks, strict=True):
+            part = slice(at, at + len(block))
+            rows.append((shard, chunk, None, _pack(total[0][place[part]]), np.packbits(owned[part]).tobytes(), None))
+            at += len(block)
+        return _rows(rows, SUMMED)
+
+    return asked.groupBy("shard").applyInArrow(run, SUMMED)
+
+
+def _owned(answered: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk's keys: the total, and whether the chunk owns the key."""
+    found = sorted(zip(*(answered.column(c).to_pylist() for c in ("shard", "values", "owned")), strict=True))
+    counts = [_unpack(v) for _, v, _ in found]
+    bits = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)) for (_, _, o), c in zip(found, counts, strict=True)]
+    return np.concatenate(counts), np.concatenate(bits).astype(bool)
+
+
+def _cut(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(c, 3)]
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def fit(trusted: DataFrame, text_col: str = "text") -> dict[str, DataFrame | int | list[float]]:
     """trusted texts -> the model's tables.
 
-    words (w, p, back): interpolated unigram probability (continuation counts), and the weight it has after w;
-    pairs (g, q, back): discounted share of the bigram after its history, and the weight left after the bigram;
-    triples (g, q): discounted share of the trigram.
+    words (w, p, back, n): interpolated unigram probability (continuation counts), the weight it has after w, and the
+    count of pairs that begin with w; pairs and triples: a row (shard, keys, values, ...) for each shard of the key space, with
+    the counts of its n-grams in the order of their keys. Those of pairs are continuation counts, then what the pair is followed
+    by (tokens, and types seen once, twice, more often); q is what the shard's pairs keep after discounts. discounts: D1 to
+    D3+ of pairs, and of trigrams. shards: how many parts the key space has.
     Words seen once are unknown (OOV); oov_types is their number, over which the probability of OOV is spread. Null texts
     count as empty ones, repeated rows as texts of their own; no texts give empty tables.
     """
-    texts = written(trusted.select(token_hashes(F.col(text_col)).alias("t")), "trusted")
-    types = written(texts.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "types")
-    vocab = written(types.where("n > 1 or w = -2").select("w"), "vocabulary")
-    n_words = vocab.count()
-    known = _small(vocab, n_words).withColumn("known", F.lit(True))
-
-    def mapped(df: DataFrame, c: str) -> DataFrame:
-        side = known.withColumnRenamed("w", f"{c}_").withColumnRenamed("known", f"{c}_known")
-        return df.join(side, F.col(c) == F.col(f"{c}_"), "left").withColumn(c, F.when(F.col(c) < 0, F.col(c)).when(F.col(f"{c}_known"), F.col(c)).otherwise(F.lit(OOV).cast("long"))).drop(f"{c}_", f"{c}_known")
-
-    grams = mapped(mapped(mapped(trigrams(texts), "u"), "v"), "w")
-    triples = written(grams.groupBy("u", "v", "w").agg(F.count("*").alias("c")), "triples")
-    d3 = discounts(triples)
-    # lower orders count the distinct words before; after a start there is no word before, so those keep their counts
-    pairs = written(triples.groupBy("v", "w").agg(F.sum(F.when(F.col("v") == START, F.col("c")).otherwise(1)).alias("c")), "pairs")
-    d2 = discounts(pairs)
-    singles = written(pairs.groupBy("w").agg(F.count("*").alias("c")), "singles")
-    d1 = discounts(singles)
-
-    def left_over(df: DataFrame, by: list[str], d: list[float]) -> DataFrame:
-        return df.groupBy(*by).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("cut"))
-
-    total = singles.agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d1)).alias("cut")).first()
-    n, cut = float(total["total"] or 1), float(total["cut"] or 1)
-    uniform = cut / n / (n_words + 1)
-    after_w = left_over(pairs, ["v"], d2).select(F.col("v").alias("w"), (F.col("cut") / F.col("total")).alias("back"))
-    p1 = singles.select("w", ((F.col("c") - _discount(F.col("c"), d1)) / n + uniform).alias("p"))
-    words = written(p1.join(after_w, "w", "full").select("w", F.coalesce("p", F.lit(uniform)).alias("p"), F.coalesce("back", F.lit(1.0)).alias("back")), "words")
-    after_pair = left_over(triples, ["u", "v"], d3).select(_pair(F.col("u"), F.col("v")).alias("g"), (F.col("cut") / F.col("total")).alias("back"), F.col("total").alias("n"))
-    by_v = left_over(pairs, ["v"], d2).select("v", F.col("total").alias("n_v"))
-    q2 = pairs.join(by_v, "v").select(_pair(F.col("v"), F.col("w")).alias("g"), ((F.col("c") - _discount(F.col("c"), d2)) / F.col("n_v")).alias("q"))
-    pairs_out = written(q2.join(after_pair.drop("n"), "g", "full").select("g", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("back", F.lit(1.0)).alias("back")), "pair-table")
-    q3 = triples.withColumn("h", _pair(F.col("u"), F.col("v"))).join(after_pair.select(F.col("g").alias("h"), "n"), "h")
-    triples_out = written(q3.select(_pair(F.col("h"), F.col("w")).alias("g"), ((F.col("c") - _discount(F.col("c"), d3)) / F.col("n")).alias("q")), "triple-table")
-    return {"words": words, "pairs": pairs_out, "triples": triples_out, "oov_types": types.count() - n_words}
-
-
-def trigrams(texts: DataFrame, *keep: str) -> DataFrame:
-    """texts (t array<long>, keep...) -> a row (keep..., u, v, w) for each token w with the two tokens before it."""
-    t = F.col("t")
-    before = lambda i, k: F.when(i >= k, F.get(t, i - k)).otherwise(F.lit(START).cast("long"))
-    rows = F.transform(t, lambda w, i: F.struct(before(i, 2).alias("u"), before(i, 1).alias("v"), w.alias("w")))
-    # explode_outer: for explode, Spark would add a filter on the array's size and compute the words anew inside it
-    return texts.select(*keep, F.explode_outer(rows).alias("r")).select(*keep, "r.u", "r.v", "r.w")
-
-
-def perplexities(docs: DataFrame, model: dict[str, DataFrame | int], by: list[str], text_col: str = "text") -> DataFrame:
+    spark, mark = trusted.sparkSession, n_written(trusted.sparkSession)
+    with _shuffles_deleted(spark):
+        made = written(chunks(trusted.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), CHUNK_BYTES, lower=False), "chunks")
+        shards = _bytes(trusted, text_col) // SHARD_BYTES + 1
+
+        def counted(row: dict) -> list[tuple]:
+            words = _unsqueeze(row["vocabulary"]).view(np.int64)
+            return list(zip(words.tolist(), np.bincount(_unpack(row["words"]), minlength=len(words)).tolist(), strict=True))
+
+        types = written(_each_chunk(made, counted, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "types")
+        vocab = types.where((F.col("n") > 1) | (F.col("w") == END)).select("w", *[F.lit(0.0).alias(c) for c in ("p", "back", "n")])
+        n_words = vocab.count()
+        oov_types = types.count() - n_words
+        mapped = written(_mapped(made, vocab, n_words), "mapped")
+
+        def asked(row: dict) -> list[tuple]:
+            g = Grams(row)
+            return _blocks(row["chunk"], g.triples, np.bincount(g.triple)[None], shards)
+
+        triples = written(_summed(_each_chunk(mapped, asked, BLOCKS), 1), "triples")
+
+        def pairs_of(row: dict, answered: pa.Table) -> list[tuple]:
+            g, (c, owned) = Grams(row), _owned(answered)
+            at = np.empty(len(g.triples), np.int64)
+            at[g.triple] = np.arange(len(g.triple))
+            at, c = at[owned], c[owned]
+            # lower orders count the distinct words before; after a start there is no word before, so those keep their counts
+            one = np.where(g.v[at] == len(g.names) - 1, c, 1)
+            values = [np.bincount(g.pair[at], one, len(g.pairs))] + [np.bincount(g.history[at], x, len(g.pairs)) for x in (c, c == 1, c == 2, c > 2)]
+            return _blocks(row["chunk"], g.pairs, np.stack(values).astype(np.int64), shards)
+
+        answers = lambda df: df.where("chunk is not null").select("shard", "chunk", "values", "owned")
+        pairs = written(_summed(_each_answered(mapped, answers(triples), pairs_of, BLOCKS), 5), "pairs")
+
+        def words_of(row: dict, answered: pa.Table) -> list[tuple]:
+            g, (c, owned) = Grams(row), _owned(answered)
+            at = np.full(len(g.pairs), -1)
+            at[g.pair] = np.arange(len(g.pair))
+            mine = owned & (c > 0) & (at >= 0)
+            at, c, n = at[mine], c[mine], len(g.names)
+            values = [np.bincount(g.w[at], minlength=n)] + [np.bincount(g.v[at], x, n).astype(np.int64) for x in (c, c == 1, c == 2, c > 2)]
+            some = np.flatnonzero((values[0] > 0) | (values[1] > 0))
+            return list(zip(g.names[some].astype(np.int64).tolist(), *(v[some].tolist() for v in values), strict=True))
+
+        rows = _each_answered(mapped, answers(pairs), words_of, "w long, c long, n long, n1 long, n2 long, n3 long")
+        singles = written(rows.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("c", "n", "n1", "n2", "n3")]), "singles")
+
+        def of(df: DataFrame) -> list[float]:
+            found = df.where("stats is not null").agg(*[F.sum(F.get("stats", F.lit(k))) for k in range(4)]).first()
+            return _discounts({r: k for r, k in enumerate(found, 1) if k})
+
+        d1, d2, d3 = discounts(singles), of(pairs), of(triples)
+        total = singles.where("c > 0").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d1)).alias("cut")).first()
+        n, cut = float(total["total"] or 1), float(total["cut"] or 1)
+        uniform = cut / n / (n_words + 1)
+        p = F.when(F.col("c") > 0, (F.col("c") - _discount(F.col("c"), d1)) / n).otherwise(0.0) + uniform
+        back = F.when(F.col("n") > 0, sum(F.col(f"n{k}") * x for k, x in enumerate(d2, 1)) / F.col("n")).otherwise(1.0)
+        words = written(singles.select("w", p.alias("p"), back.alias("back"), F.col("n").cast("double").alias("n")), "words")
+    stat = lambda k: F.get("stats", F.lit(k))
+    kept = (stat(5) - stat(0) * d2[0] - stat(1) * d2[1] - stat(4) * d2[2]).alias("q")
+    tables = {"triples": triples.where("chunk is null").select("shard", "keys", "values"), "pairs": pairs.where("chunk is null").select("shard", "keys", "values", kept)}
+    remove_written(spark, mark, keep_last=4)
+    return {"words": words, **tables, "oov_types": oov_types, "discounts": [d2, d3], "shards": shards}
+
+
+def perplexities(docs: DataFrame, model: dict[str, DataFrame | int | list[float]], by: list[str], text_col: str = "text") -> DataFrame:
     """(by..., n_tokens, perplexity), a row for each distinct by; texts with the same by count as one.
 
     A null text is one end. Nulls in by are values like any other. An empty table gives no rows.
     """
-    words, pairs, triples = (model[k] for k in ("words", "pairs", "triples"))
-    sizes = {"words": words.count(), "pairs": pairs.count(), "triples": triples.count()}
-    spread = 1 / (model["oov_types"] + 1)
-    p_oov = words.where(F.col("w") == OOV).first()
-    oov = (float(p_oov["p"]), float(p_oov["back"])) if p_oov else (float(words.agg(F.min("p")).first()[0] or 1.0), 1.0)
-    rows = trigrams(docs.select(*by, token_hashes(F.col(text_col)).alias("t")), *by)
-
-    def look(df: DataFrame, c: str) -> DataFrame:
-        side = _small(words.select(F.col("w").alias(f"{c}_"), F.col("p").alias(f"{c}_p"), F.col("back").alias(f"{c}_back")), sizes["words"])
-        found = df.join(side, F.col(c) == F.col(f"{c}_"), "left")
-        return found.withColumn(c, F.when(F.col(f"{c}_").isNull() & (F.col(c) >= 0), F.lit(OOV).cast("long")).otherwise(F.col(c)))
-
-    known = look(look(look(rows, "w"), "v"), "u")
-    known = known.select(*by, F.when(F.col("w") == OOV, spread).otherwise(1.0).alias("one_of"), F.coalesce("w_p", F.lit(oov[0])).alias("p1"), F.coalesce("v_back", F.when(F.col("v") == OOV, oov[1]).otherwise(1.0)).alias("b1"), _pair(F.col("v"), F.col("w")).alias("g2"), _pair(F.col("u"), F.col("v")).alias("h"), _pair(_pair(F.col("u"), F.col("v")), F.col("w")).alias("g3"))
-    q2 = _small(pairs.select(F.col("g").alias("g2"), F.col("q").alias("q2")), sizes["pairs"])
-    b2 = _small(pairs.select(F.col("g").alias("h"), F.col("back").alias("b2")), sizes["pairs"])
-    q3 = _small(triples.select(F.col("g").alias("g3"), F.col("q").alias("q3")), sizes["triples"])
-    known = known.join(q2, "g2", "left").join(b2, "h", "left").join(q3, "g3", "left")
-    p2 = F.coalesce("q2", F.lit(0.0)) + F.col("b1") * F.col("p1")
-    p3 = F.coalesce("q3", F.lit(0.0)) + F.coalesce("b2", F.lit(1.0)) * p2
-    return known.groupBy(*by).agg(F.count("*").alias("n_tokens"), F.exp(-F.avg(F.log(p3 * F.col("one_of")))).alias("perplexity"))
+    spark, words = docs.sparkSession, model["words"]
+    d2, d3 = model["discounts"]
+    n_words, spread = words.count(), 1 / (model["oov_types"] + 1)
+    fixed = {r["w"]: (float(r["p"]), float(r["back"]), float(r["n"])) for r in words.where(F.col("w").isin(OOV, START)).collect()}
+    rare = (float(words.agg(F.min("p")).first()[0] or 1.0), 1.0, 0.0)
+    oov, start = fixed.get(OOV, rare), fixed.get(START, rare)
+    size = _bytes(docs, text_col)
+    rounds = min(ROUNDS, size // ROUND_BYTES + 1)
+    finer = size // rounds // (model["shards"] * SHARD_BYTES) + 1
+    shards = model["shards"] * finer
+
+    def table(name: str, kinds: int) -> DataFrame:
+        """The model's table, its shards cut up where a round has much more text than the model was fitted on."""
+
+        def run(row: dict) -> list[tuple]:
+            return [(s, keys, values) for s, _, keys, values in _blocks(None, _unsqueeze(row["keys"]), _values(row["values"], kinds), shards)]
+
+        found = model[name].select("shard", "keys", "values")
+        return found if finer == 1 else _each_chunk(found, run, "shard int, keys binary, values binary")
+
+    def looked_up(name: str, kinds: int, mapped: DataFrame) -> DataFrame:
+        def asked(row: dict) -> list[tuple]:
+            keys = getattr(Grams(row, name), name)
+            return [block[:3] for block in _blocks(row["chunk"], keys, np.zeros((0, len(keys))), shards)]
+
+        def run(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+            keys, values = np.zeros(1, np.uint64), np.zeros((kinds, 1), np.int64)  # what is not found is 0
+            for k, v in zip(table.column("keys").to_pylist(), table.column("values").to_pylist(), strict=True):
+                keys, values = np.append(_unsqueeze(k), keys), np.append(_values(v, kinds), values, axis=1)
+            rows = []
+            for chunk, block in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+                block = _unsqueeze(block)
+                at = np.searchsorted(keys[:-1], block)
+                at[keys[at] != block] = len(keys) - 1
+                rows.append((key[0].as_py(), chunk, _pack(values[:, at].ravel())))
+            return _rows(rows, "shard int, chunk long, values binary")
+
+        blocks = _each_chunk(mapped, asked, BLOCKS.rsplit(", ", 1)[0])
+        return table(name, kinds).groupBy("shard").cogroup(blocks.groupBy("shard")).applyInArrow(run, "shard int, chunk long, values binary").withColumn("kinds", F.lit(kinds))
+
+    result = StructType([*docs.select(*by).schema.fields, StructField("n_tokens", LongType()), StructField("logs", DoubleType())])
+
+    def scored(key: tuple, made: pa.Table, answered: pa.Table) -> pa.Table:
+        row = made.drop(["ids"]).to_pylist()[0]
+        g = Grams(row)
+        (c3,), (c2, n, n1, n2, n3) = (_answered(answered.filter(pc.field("kinds") == kinds), kinds) for kinds in (1, 5))
+        p, back, n_v = (np.full(len(g.names), oov[k]) for k in range(3))
+        for k, (name, column) in enumerate((("p", p), ("back", back), ("n", n_v))):
+            column[:-1][g.known] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row[name]), "<f8")
+            column[-1] = start[k]
+        back2 = np.where(n > 0, (n1 * d3[0] + n2 * d3[1] + n3 * d3[2]) / np.maximum(n, 1), 1.0)
+        p2 = (c2 - _cut(c2, d2))[g.pair] / np.maximum(n_v[g.v], 1) + back[g.v] * p[g.w]
+        p3 = (c3 - _cut(c3, d3))[g.triple] / np.maximum(n[g.history], 1) + back2[g.history] * p2
+        one_of = np.where(g.names == OOV_KEY, spread, 1.0)[g.w]
+        ids = made.column("ids").combine_chunks().flatten()
+        columns = [ids.field(k) for k in range(len(by))]
+        return pa.Table.from_arrays([*columns, pa.array(g.sizes), pa.array(np.add.reduceat(np.log(p3 * one_of), g.starts))], names=result.names)
+
+    rows, parts = docs.select(F.struct(*by).alias("id"), F.col(text_col).alias("text")), []
+    with _shuffles_deleted(spark):
+        for turn in range(rounds):
+            mark = n_written(spark)
+            made = written(chunks(rows.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn), CHUNK_BYTES, lower=False), "chunks")
+            mapped = written(_mapped(made, words, n_words), "mapped")
+            remove_written(spark, mark, keep_last=1)
+            # one after the other, as each sends its table of the model
+            answered = [written(looked_up(name, kinds, mapped), name) for name, kinds in (("triples", 1), ("pairs", 5))]
+            parts.append(written(mapped.groupBy("chunk").cogroup(answered[0].unionAll(answered[1]).groupBy("chunk")).applyInArrow(scored, result), "scores"))
+            remove_written(spark, mark, keep_last=1)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionAll(part)
+    return found.groupBy(*by).agg(F.sum("n_tokens").alias("n_tokens"), F.exp(-F.sum("logs") / F.sum("n_tokens")).alias("perplexity"))
 
 
 def sample_of(ids: DataFrame, by: str, most: int, seed: int) -> DataFrame:
@@ -164,6 +410,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = TRAIN_
     Rows equal in doc_id, text and lang have one result, repeated. With no text to fit on all documents are kept, without
     a threshold.
     """
+    mark = n_written(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     key = F.xxhash64("doc_id", "text", "lang")
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -182,6 +429,8 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = TRAIN_
     overall = F.lit(ranked.agg(cut.alias("cut")).first()["cut"]).cast("double")
     own = (F.col("n") * F.col("own") + PRIOR_DOCS * overall) / (F.col("n") + PRIOR_DOCS)
     by_lang = ranked.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("n")).select(F.col("lang").alias("_l"), own.alias("own"))
+    by_lang = written(by_lang, "thresholds")
+    remove_written(docs.sparkSession, mark, keep_last=2)
     result = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_l")), "left")
     threshold = F.coalesce("own", overall)
     result = result.select("key", F.col("n_tokens").alias("n"), "perplexity", threshold.alias("threshold"))

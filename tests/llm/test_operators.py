@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagemill.llm import katz, kneser_ney, minhash, mixing, packing, quality, simhash, sstable, substrings, tokens
+from pagemill.llm import common, katz, kneser_ney, minhash, mixing, packing, quality, simhash, sstable, substrings, tokens
 from pagemill.llm.components import connected_components
 
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -366,6 +366,22 @@ def test_op10_against_brute_force(spark, tricky, tricky_rows):
         assert sum(p3(u, v, w) for w in vocab) == pytest.approx(1, abs=1e-9)
 
 
+def test_op10_in_parts(spark, tricky, tricky_rows, monkeypatch):
+    # a table that is not deleted stays on disk while documents are scored
+    labels = tricky.where("doc_id between 100 and 160").select("doc_id", F.lit(1).alias("quality"))
+    before = common.n_written(spark)
+    whole = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(tricky, labels).collect()}
+    assert common.n_written(spark) - before == 2 and len(whole) == len({r[0] for r in tricky_rows})
+    for name, value in (("CHUNK_BYTES", 3000), ("SHARD_BYTES", 4000), ("ROUND_BYTES", 20_000), ("ROUNDS", 3)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    perplexity, *_ = brute.kneser_ney([r[1] for r in tricky_rows if r[0] is not None and 100 <= r[0] <= 130])
+    model = kneser_ney.fit(tricky.where("doc_id between 100 and 130"))
+    assert model["shards"] > 1 and model["pairs"].count() > 1
+    rows = kneser_ney.perplexities(tricky.where("doc_id is not null and doc_id <> 12"), model, ["doc_id"]).collect()
+    want = {r[0]: perplexity(r[1]) for r in tricky_rows if r[0] is not None and r[0] != 12}
+    assert {r["doc_id"]: r["perplexity"] for r in rows} == pytest.approx(want, rel=1e-6)
+
+
 def test_op10_discounts_of_any_corpus(spark):
     for counts in ([], [1], [1, 1, 2], [2, 2, 3], [1] * 5 + [2] * 9 + [3] * 20, [1] * 50 + [2] * 20 + [3] * 10 + [4] * 6):
         d = kneser_ney.discounts(spark.createDataFrame([(c,) for c in counts], "c long"))
